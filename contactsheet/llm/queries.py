@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import packing, tokens, training_order
+from contactsheet.llm import norm_topk, packing, tokens, training_order, vamana
+from contactsheet.llm._common import usable_vectors
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +24,12 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER, RANKS, PATTERN)
 
 
+def op2_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = usable_vectors(_table(spark, sf_dir, "embeddings"), drop_zero=True).select("vec_id", F.col("embedding").alias("v"))
+    queries = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return vamana.nearest(vectors, queries, 20)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = tokens.encode(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
     decoded = tokens.decode(encoded, RANKS, PATTERN)
@@ -38,10 +45,31 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.write_in_training_order(_table(spark, sf_dir, "documents"), RANKS, PATTERN)[1]
 
 
+def op8_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x).cast("double"))
+    vectors = usable_vectors(_table(spark, sf_dir, "embeddings")).select("vec_id", whole.alias("v"))
+    queries = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return norm_topk.top_k(queries, vectors, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_vamana": op2_vamana,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_training_order": op7_training_order,
+    "op8_norm_topk": op8_norm_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_norm_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
