@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import norm_topk, packing, tokens, training_order, vamana
-from contactsheet.llm._common import usable_vectors
+from contactsheet.llm import attention_mil, langid, norm_topk, packing, pii, tokens, training_order, vamana
+from contactsheet.llm._common import crc_mod, usable_vectors
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,19 @@ def op2_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vamana.nearest(vectors, queries, 20)
 
 
+def op3_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return attention_mil.score(docs, attention_mil.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["plain"])
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text(plain).cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = tokens.encode(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
     decoded = tokens.decode(encoded, RANKS, PATTERN)
@@ -41,6 +54,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    profiles = langid.learn(docs, ~held_out)
+    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    return langid.identify(rows, profiles).drop("text")
+
+
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.write_in_training_order(_table(spark, sf_dir, "documents"), RANKS, PATTERN)[1]
 
@@ -55,7 +76,10 @@ def op8_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_vamana": op2_vamana,
+    "op3_attention_mil": op3_attention_mil,
+    "op4_pii_offsets": op4_pii_offsets,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_rank_order_langid": op6_rank_order_langid,
     "op7_training_order": op7_training_order,
     "op8_norm_topk": op8_norm_topk,
 }
