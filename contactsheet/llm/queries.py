@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import attention_mil, langid, norm_topk, packing, pii, tokens, training_order, vamana
+from contactsheet.llm import attention_mil, langid, norm_topk, packing, pii, tokens, toxicity, training_order, vamana
 from contactsheet.llm._common import crc_mod, usable_vectors
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -73,6 +73,10 @@ def op8_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_topk.top_k(queries, vectors, 5)
 
 
+def op10_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(*toxicity.learn(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_vamana": op2_vamana,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rank_order_langid": op6_rank_order_langid,
     "op7_training_order": op7_training_order,
     "op8_norm_topk": op8_norm_topk,
+    "op10_nearest_toxicity": op10_nearest_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
