@@ -1,0 +1,38 @@
+"""Connected components of an edge table, by the large-star and small-star operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from contactsheet.llm._common import materialise
+
+
+def _star(edges: DataFrame, *, large: bool) -> DataFrame:
+    """One operation: of every node's neighbours (and itself), all are tied to the least; large: only the greater ones."""
+    if large:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    else:
+        both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    tied = both.join(least, "u")
+    out = tied.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")) if large else tied.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.where(F.col("a") != F.col("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): for every node of the edges (a long, b long), the least node that it is connected to.
+
+    Every round halves the way to the root at least on average; rounds end when an operation changes nothing. Each
+    round's edges are written to the shared folder, so the plan does not grow.
+    """
+    now = materialise(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
+    seen = None
+    while True:
+        now = materialise(_star(_star(now, large=True), large=False), "edges")
+        # Both operations only ever lower the parents: the same sum over as many edges means the same edges.
+        state = tuple(now.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
+        if state == seen:
+            break
+        seen = state
+    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactsheet.llm import attention_mil, langid, norm_topk, packing, pii, tokens, toxicity, training_order, vamana
+from contactsheet.llm import attention_mil, langid, ngram_join, norm_topk, packing, pii, tokens, toxicity, training_order, vamana
 from contactsheet.llm._common import crc_mod, usable_vectors
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -73,6 +73,10 @@ def op8_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_topk.top_k(queries, vectors, 5)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(*toxicity.learn(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
@@ -86,10 +90,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rank_order_langid": op6_rank_order_langid,
     "op7_training_order": op7_training_order,
     "op8_norm_topk": op8_norm_topk,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_nearest_toxicity": op10_nearest_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_ngram_jaccard": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+    lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS shingle
+  FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 80 * (p.n + q.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+""",
     "op8_norm_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
