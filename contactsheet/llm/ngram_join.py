@@ -259,3 +259,19 @@ def near_duplicates(docs: DataFrame, p: JoinParams | None = None, *, id_col: str
     full = sets.where(F.col("n") > 0).select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(by_set, "set_key").select("doc_id", "n_shingles", "component_id")
     empty = sets.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionAll(empty)
+
+
+def drop_near_duplicates(docs: DataFrame, p: JoinParams | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked texts: the one with the least id (a null id last).
+
+    Rows are told apart by their place, so ``docs`` has to be a table scan. Rows without words all stay. What goes,
+    rather than what stays, is joined with the texts.
+    """
+    place = "__row"
+    rows = docs.withColumn(place, F.monotonically_increasing_id())
+    members = near_duplicates(rows, p, id_col=place, text_col=text_col).select(F.col("doc_id").alias("__member"), "component_id")
+    members = materialise(members.join(rows.select(F.col(place).alias("__member"), F.col(id_col).alias("__id")), "__member"), "members")
+    least = F.min(F.struct(F.col("__id").isNull(), "__id", "__member")).getField("__member").alias("__kept")
+    stays = members.groupBy("component_id").agg(least, F.count("*").alias("size")).where(F.col("size") > 1)
+    goes = members.join(stays, "component_id").where(F.col("__member") != F.col("__kept")).select(F.col("__member").alias(place))
+    return rows.join(goes, place, "left_anti").drop(place)

@@ -277,3 +277,19 @@ def score(model: Model, all_vectors: DataFrame, *, threshold: float = 0.7, id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, kind)], [id_col, "held_out", "score", "predicted", "evidence"])
 
     return all_vectors.select(id_col, "held_out", "terms", "counts").mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+
+
+def judge(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text", flag_as: str = "toxic_predicted") -> DataFrame:
+    """``docs`` with its columns, then ``flag_as`` int (1 if the whole text's score is ``threshold`` or more): no join,
+    no shuffle. Nulls stay; a null text scores as one without terms; a column named like the flag is replaced."""
+    keep = [c for c in docs.columns if c != flag_as]
+    rows = docs.select(*keep)
+    at = keep.index(text_col)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{flag_as}` int"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = [int(model.score(model.vocabulary.vector(text.as_py()))[0] >= threshold) for text in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.int32())], [*keep, flag_as])
+
+    return rows.mapInArrow(run, schema)
