@@ -47,7 +47,7 @@ _BARE_SIGN = re.compile(rf"(?i)\s+at\s+|\s+dot\s+|{_OPEN}(?:at|@|dot|\.){_CLOSE}
 
 
 @lru_cache(maxsize=1)
-def _glyphs() -> tuple[dict[str, str], re.Pattern[str]]:
+def _glyphs() -> dict[str, str]:
     """What each disguised character stands for: digits by their value, compatibility forms by their plain one."""
     table = dict.fromkeys(INVISIBLE, "") | LOOKALIKES | PUNCTUATION
     for code in [*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
@@ -55,7 +55,7 @@ def _glyphs() -> tuple[dict[str, str], re.Pattern[str]]:
         plain = str(unicodedata.digit(char)) if unicodedata.category(char) == "Nd" else unicodedata.normalize("NFKC", char)
         if len(plain) == 1 and " " <= plain <= "~":
             table.setdefault(char, plain)
-    return table, re.compile("[" + "".join(map(re.escape, table)) + "]+")
+    return table
 
 
 def _luhn(digits: str) -> bool:
@@ -131,8 +131,10 @@ def _spelled(match: re.Match[str]) -> str:
 def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
     if text.isascii():
         return []
-    table, seen = _glyphs()
-    return [(i, i + 1, table[text[i]]) for m in seen.finditer(text) for i in range(*m.span())]
+    table = _glyphs()
+    if table.keys().isdisjoint(set(text)):
+        return []
+    return [(i, i + 1, table[char]) for i, char in enumerate(text) if char in table]
 
 
 def _word_edits(text: str) -> list[tuple[int, int, str]]:
@@ -147,7 +149,8 @@ def _word_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-_HINT = re.compile(rf"(?i)[\[({{<]\s?(?:at|@|dot|\.)\s?[\])}}>]|\sdot\s|\b{_DIGIT_WORD}[\s-]+(?:{_DIGIT_WORD}|dot|point)\b")
+# What any rewriting of words needs; read on the lower-case text, where the first letters alone decide fast.
+_HINT = re.compile(rf"[\[({{<]\s?(?:at|@|dot|\.)\s?[\])}}>]|dot\s|{_DIGIT_WORD}[\s-]+(?:{_DIGIT_WORD}|dot|point)")
 
 
 def find(text: str | None) -> list[tuple[str, int, int, bool]]:
@@ -162,7 +165,7 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     found = [(*x, True) for x in plain]
     glyphs = Rewritten(text, edits) if (edits := _glyph_edits(text)) else None
     clear = glyphs.text if glyphs else text
-    words = Rewritten(clear, edits) if _HINT.search(clear) and (edits := _word_edits(clear)) else None
+    words = Rewritten(clear, edits) if _HINT.search(clear.lower()) and (edits := _word_edits(clear)) else None
     if glyphs or words:
         taken = sorted((s, e) for _, s, e in plain)
         starts, ends = [s for s, _ in taken], []
