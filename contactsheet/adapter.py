@@ -73,7 +73,7 @@ class Library:
 
     @cached_property
     def stream(self) -> DataFrame:
-        return self.table("events").select("event_id", "user_id", "event_type", "value", (F.unix_micros("ts") / 1e6).alias("ts"))
+        return self.table("events").select("event_id", "user_id", "event_type", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
 
 
 WITH = """WITH photos AS (

@@ -8,22 +8,13 @@ from pyspark.sql import functions as F
 from contactsheet.adapter import WITH, Library
 from contactsheet.operators import facets, predicates
 from contactsheet.operators.predicates import GridFilter, visible
+from contactsheet.plans import registry
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str, name: str = "", with_: str = WITH):
-    """Registers a function of a ``Library`` under its name, with the SQL for the same rows."""
-
-    def register(make):
-        key = name or make.__name__
-        QUERIES[key] = lambda spark, folder: make(Library(spark, folder))
-        if sql:
-            ORACLE_SQL[key] = with_ + sql
-        return make
-
-    return register
+query = registry(QUERIES, ORACLE_SQL, WITH)
 
 
 @query("SELECT id FROM visible")
