@@ -1,0 +1,452 @@
+"""The operators of the subpackage against brute-force versions, and on odd rows."""
+
+import hashlib
+import json
+import math
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from contactsheet.llm import attention_mil, langid, ngram_join, norm_topk, packing, pii, queries, shingles, tokens, toxicity, training_order, vamana
+from contactsheet.llm._common import usable_vectors
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, held_out string"
+RANKS, JSON, PATTERN = queries.RANKS, queries.TOKENIZER, queries.PATTERN
+
+
+def rows(spark, texts, ids=None):
+    ids = ids or range(len(texts))
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y") for i, t in zip(ids, texts, strict=True)], DOCS)
+
+
+ODD = [None, "", " ", "\n\n", "a", "Zürich, 東京 😀 \x00 end", "word " * 30_000, "x" * 50_000, "don't   stop\t\n 12345 !!", "the <|endoftext|> mark", "the <|endoftext|> mark"]
+
+
+# ---- op5, op1, op7
+
+
+def test_encode_decode_round_trip(spark):
+    encoded = tokens.encode(rows(spark, ODD), RANKS, PATTERN)
+    coder = tokens.encoder(RANKS, PATTERN)
+    for r in tokens.decode(encoded, RANKS, PATTERN).collect():
+        text = ODD[r.doc_id] or ""
+        assert r.ids == coder.encode_ordinary(text)
+        assert bytes(r.decoded) == text.encode()
+
+
+def test_safe_pieces_keep_ids():
+    coder = tokens.encoder(RANKS, PATTERN)
+    text = "  one two\n\nthree's   four  \n five, six!  \t seven " * 20
+    for limit in (1, 2, 3, 7, 50):
+        pieces = list(tokens.safe_pieces(text, limit))
+        assert "".join(pieces) == text
+        assert [i for p in pieces for i in coder.encode_ordinary(p)] == coder.encode_ordinary(text)
+
+
+def test_packing_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(JSON)
+    for text in ODD:
+        assert packing.text_ids(text, JSON, RANKS, PATTERN).tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def check_packing(pieces, docs, capacity):
+    by_doc, by_sequence = {}, {}
+    for r in pieces:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for i, text in docs.items():
+        ids = np.append(packing.text_ids(text, JSON, RANKS, PATTERN), 1).astype("<u4")
+        own = sorted(by_doc[i], key=lambda r: r.start)
+        assert [r.start for r in own] == np.cumsum([0, *(r.length for r in own)])[:-1].tolist()
+        assert sum(r.length for r in own) == len(ids) == own[0].doc_tokens
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+    for sequence in by_sequence.values():
+        sequence.sort(key=lambda r: r.offset)
+        assert [r.offset for r in sequence] == np.cumsum([0, *(r.length for r in sequence)])[:-1].tolist()
+        size = sum(r.length for r in sequence)
+        assert size <= capacity and size & (size - 1) == 0  # a power of two: nothing is padded
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+
+
+@pytest.mark.parametrize("capacity", [16, 2048])
+def test_packing_is_whole_and_gapless(spark, capacity):
+    texts = [*ODD, *("some words of a text " * n for n in range(60))]
+    found = packing.pack(rows(spark, texts), JSON, RANKS, PATTERN, capacity=capacity).collect()
+    check_packing(found, dict(enumerate(texts)), capacity)
+
+
+def test_packing_empty_and_null_ids(spark):
+    assert packing.pack(rows(spark, []), JSON, RANKS, PATTERN).count() == 0
+    found = packing.pack(rows(spark, ["a b", "a b"], [None, None]), JSON, RANKS, PATTERN).collect()
+    assert sum(r.length for r in found) == 6
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 5, 64, 1000, 4097):
+        assert sorted(training_order.feistel(np.arange(n), n, 42).tolist()) == list(range(n))
+    assert training_order.feistel(np.arange(1000), 1000, 1).tolist() != training_order.feistel(np.arange(1000), 1000, 2).tolist()
+
+
+def test_training_order_shards_read_back(spark, tmp_path):
+    texts = [*ODD, *("words in order " * (n * 7) for n in range(40))]
+    rows(spark, texts).write.parquet(str(tmp_path / "docs"))
+    folder, index = training_order.write_in_training_order(spark.read.parquet(str(tmp_path / "docs")), RANKS, PATTERN, folder=f"file://{tmp_path}/out", seq_len=32, shard_mb=1)
+    index = index.collect()
+    assert sorted(r.slot for r in index) == list(range(len(index)))
+    coder = tokens.encoder(RANKS, PATTERN)
+    got = {}
+    for r in index:
+        record = training_order.read_shard(folder, r.shard, 32, r.position, 1)[0]
+        assert zlib.crc32(record[: r.n_tokens].tobytes()) == r.ids_crc32 and not record[r.n_tokens :].any()
+        got.setdefault(r.doc_id, {})[r.part] = record[: r.n_tokens].tolist()
+    for i, text in enumerate(texts):
+        assert [t for p in sorted(got[i]) for t in got[i][p]] == [*coder.encode_ordinary(text or ""), 50256]
+    slots = [r.slot for r in sorted(index, key=lambda r: (r.doc_id, r.part))]
+    assert slots != sorted(slots)
+
+
+def test_training_order_empty(spark, tmp_path):
+    rows(spark, []).write.parquet(str(tmp_path / "docs"))
+    assert training_order.write_in_training_order(spark.read.parquet(str(tmp_path / "docs")), RANKS, PATTERN)[1].count() == 0
+
+
+# ---- op2, op8
+
+
+def vectors(spark, n=600, dim=8, seed=3, scale=1.0):
+    r = np.random.default_rng(seed)
+    data = (r.standard_normal((n, dim)) * r.uniform(0.2, 2, n)[:, None] * scale).tolist()
+    data[5] = data[6]
+    odd = [(n, None), (n + 1, [1.0, None] + [0.0] * (dim - 2)), (n + 2, [math.nan] * dim), (n + 3, [math.inf] * dim), (n + 4, [0.0] * dim), (n + 5, [1.0, 2.0]), (None, [1.0] * dim), (7, data[7])]
+    return spark.createDataFrame([*enumerate(data), *odd], "vec_id long, embedding array<double>")
+
+
+def brute(pairs, k):
+    out = {}
+    for q, i, s in pairs:
+        out.setdefault(q, []).append((-s, i))
+    return {q: [(i, -s) for s, i in sorted(v)[:k]] for q, v in out.items()}
+
+
+@pytest.mark.parametrize("scale", [1.0, 40.0])
+def test_norm_topk_is_exact(spark, scale):
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x).cast("double"))
+    held = usable_vectors(vectors(spark, scale=scale)).select("vec_id", whole.alias("v")).cache()
+    asked = held.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = {}
+    for r in norm_topk.top_k(asked, held, 5, classes=4, block=64, query_block=8).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    data = {r.vec_id: [int(x) for x in r.v] for r in held.collect()}
+    assert 604 in data and not {600, 601, 602, 603} & set(data)
+    pairs = [(q, i, sum(a * b for a, b in zip(data[q], data[i], strict=True))) for q in data if q % 20 == 0 for i in data if i != q and len(data[i]) == len(data[q])]
+    assert found == brute(pairs, 5)
+
+
+def test_norm_topk_empty(spark):
+    none = spark.createDataFrame([], "vec_id long, v array<double>")
+    assert norm_topk.top_k(none.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), none, 5).count() == 0
+
+
+def test_vamana_recall_and_scores(spark):
+    held = usable_vectors(vectors(spark), drop_zero=True).select("vec_id", F.col("embedding").alias("v")).cache()
+    asked = held.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = {}
+    for r in vamana.nearest(held, asked, 20, shard_size=200).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    data = {r.vec_id: r.v for r in held.collect()}
+    assert 604 not in data
+    pairs = [(q, i, float(np.dot(data[q], data[i]))) for q in data if q % 20 == 0 for i in data if i != q and len(data[i]) == len(data[q])]
+    best = brute(pairs, 20)
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in best[q]}) for q in best)
+    assert set(found) == set(best) and hits >= 0.95 * sum(map(len, best.values()))
+    assert all(abs(s - np.dot(data[q], data[i])) < 1e-9 and i != q for q, v in found.items() for i, s in v)
+    assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) for v in found.values())
+
+
+# ---- op4
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 13 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_plain_spans_match_the_patterns():
+    r = np.random.default_rng(1)
+    alphabet = list("aZ09.@+-% ()_") + ["1", "2", ".", "@"]
+    for _ in range(3000):
+        text = "".join(r.choice(alphabet, r.integers(0, 40)))
+        assert pii.find_plain(text) == base_spans(text), text
+    for text in ("a@b.c@d.e", "x@@y.z", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.255", "4111 1111 1111 1111", "+1 (415) 555-0199.", "é4111111111111111é", "a" * 200_000, "1." * 50_000):
+        assert pii.find_plain(text) == base_spans(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("mail john.doe (at) example (dot) com now", "email", "john.doe (at) example (dot) com"),
+        ("jane at corp dot example dot org please", "email", "jane at corp dot example dot org"),
+        ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+        ("😀 раul@exаmple.com x", "email", "раul@exаmple.com"),
+        ("j​oe@ex​ample.org", "email", "j​oe@ex​ample.org"),
+        ("call plus one four one five five five five zero one nine nine", "phone", "plus one four one five five five five zero one nine nine"),
+        ("host one nine two dot one six eight dot one dot two five.", "ip", "one nine two dot one six eight dot one dot two five"),
+        ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+    ],
+)
+def test_disguised_spans_map_back(text, kind, part):
+    assert [(k, text[s:e], p) for k, s, e, p in pii.find(text)] == [(kind, part, False)]
+    assert pii.redact_text(text) == text.replace(part, f"[{kind.upper()}]")
+
+
+def test_prose_is_left_alone():
+    for text in ("look at the dot product of one two", "we met at noon at home", "ten to one, two to four", "Straße à São Paulo"):
+        assert pii.find(text) == []
+
+
+def test_pii_rows_and_redaction(spark):
+    docs = rows(spark, [None, "", "write a@b.co", "write a@b.co", "x" * 300_000])
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_spans(docs).collect()}
+    assert found == {0: [], 1: [], 2: [("email", 6, 12, True)], 3: [("email", 6, 12, True)], 4: []}
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and [r.text for r in out.orderBy("doc_id").limit(3).collect()] == [None, "", "write [EMAIL]"]
+
+
+def test_op4_digests(spark, tmp_path):
+    texts = ["a@b.co 10.0.0.1", None, "x (at) y (dot) com a@b.co"]
+    rows(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in queries.op4_pii_offsets(spark, str(tmp_path)).collect()}
+    assert (found[0].n_email, found[0].n_ip, found[0].spans) == (1, 1, "email:0:6,ip:7:15")
+    assert found[0].base_sha256 == hashlib.sha256(b"email:0:6,ip:7:15").hexdigest()
+    assert (found[1].n_email, found[1].spans, found[1].base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
+    assert found[2].n_email == 1 and found[2].base_sha256 == hashlib.sha256(b"email:19:25").hexdigest() and found[2].spans == "email:0:18,email:19:25"
+
+
+# ---- op6
+
+
+def test_ngram_counts_by_hand():
+    keys, counts = langid.ngram_counts("Ab, ab!")
+    plain = {}
+    for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+        s = ""
+        while k:
+            s, k = chr(k & 0x1FFFFF) + s, k >> 21
+        plain[s] = n
+    assert plain == {"a": 2, "b": 2, " a": 2, "ab": 2, "b ": 2, " ab": 2, "ab ": 2}
+    assert len(langid.ngram_counts("12 !?")[0]) == 0
+
+
+def test_profile_distance_by_hand():
+    profiles = langid.Profiles({"xx": [97, 98, 99], "yy": [98, 97]}, size=4)
+    own = langid.ranking(*langid.ngram_counts("b"), 4)
+    place = {k: i for i, k in enumerate(own.tolist())}
+    far = lambda ranked: sum(min(abs(ranked.index(k) - i), 4) if k in ranked else 4 for k, i in place.items())
+    lang, score = profiles.predict("b")
+    assert lang == ("yy" if far([98, 97]) < far([97, 98, 99]) else "xx") and score == pytest.approx(1 - min(far([98, 97]), far([97, 98, 99])) / (4 * len(own)))
+
+
+def test_language_rows(spark):
+    texts = ["the cat and the dog", "der hund und die katze", "the house on the hill", "die maus und das haus"] * 5 + [None, "", "123 !!", "the " * 50_000]
+    docs = spark.createDataFrame([(i, t, None if t is None else ("en" if t[:3] == "the" else "de")) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    profiles = langid.learn(docs.where("text is null or length(text) > 6"), F.col("doc_id") % 4 != 2)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, profiles).collect()}
+    assert all(found[i][0] == ("en" if t[:3] == "the" else "de") for i, t in enumerate(texts) if t and len(t) > 6)
+    assert {found[i] for i in (20, 21, 22)} == {("und", 0.0)}
+    none = langid.learn(docs.limit(0), F.lit(True))
+    assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"} and langid.identify(docs.limit(0), none).count() == 0
+
+
+# ---- op3, op10
+
+
+def test_mil_gradient_matches_differences():
+    r = np.random.default_rng(0)
+    model = attention_mil.Model.start(1)
+    x, starts, y, w = r.standard_normal((9, attention_mil.FEATURES)), np.array([0, 2, 5]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0])
+    loss = lambda: float(-(w * (y * np.log(model.forward(x, starts)[0]) + (1 - y) * np.log(1 - model.forward(x, starts)[0]))).sum() / w.sum())
+    found = model.gradients(x, starts, y, w)
+    for key in ("we", "be", "v", "u", "wa", "wo", "bo"):
+        part = model.parts[key]
+        at = np.unravel_index(np.abs(found[key]).argmax(), part.shape)
+        kept, eps = part[at], 1e-6
+        part[at] = kept + eps
+        up = loss()
+        part[at] = kept - eps
+        assert (up - loss()) / (2 * eps) == pytest.approx(found[key][at], rel=1e-3, abs=1e-7)
+        part[at] = kept
+
+
+@pytest.fixture(scope="module")
+def sf(spark):
+    return "/root/testdata/sf0.01"
+
+
+def held_out_accuracy(spark, sf, found, label):
+    rows = found.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", label).collect()
+    return sum(r[0] == r[1] for r in rows) / len(rows)
+
+
+def test_quality_on_held_out_rows(spark, sf):
+    found = queries.op3_attention_mil(spark, sf)
+    assert held_out_accuracy(spark, sf, found, "quality") >= 0.93
+    assert found.count() == 1000 and found.where("score < 0 or score > 1 or score is null").count() == 0
+
+
+def test_toxicity_on_held_out_rows(spark, sf):
+    found = queries.op10_nearest_toxicity(spark, sf)
+    assert held_out_accuracy(spark, sf, found, "toxic") >= 0.9
+    assert found.count() == 1000 and found.where("score < 0 or score > 1 or score is null").count() == 0
+
+
+@pytest.mark.parametrize("label", ["quality", "toxic"])
+def test_classifiers_on_odd_rows(spark, label):
+    docs = rows(spark, [None, "", "word " * 40_000, "fine words", "fine words"], [None, 1, 2, 3, 3])
+    for labels in ([], [(3, 1)], [(3, 1), (2, 0), (2, 0), (None, 1), (9, None)]):
+        known = spark.createDataFrame([(i, x, x) for i, x in labels], "doc_id long, quality int, toxic int")
+        out = attention_mil.score(docs, attention_mil.learn(docs, known)) if label == "quality" else toxicity.score(*toxicity.learn(docs, known))
+        got = out.collect()
+        assert len(got) == 5 and all(0 <= r.score <= 1 and not r.held_out == (r.doc_id is None) or r.doc_id is not None for r in got)
+    empty = attention_mil.score(docs.limit(0), attention_mil.learn(docs.limit(0), known)) if label == "quality" else toxicity.score(*toxicity.learn(docs.limit(0), known))
+    assert empty.count() == 0
+
+
+def test_block_max_search_is_exact():
+    r = np.random.default_rng(4)
+    terms, made = 40, []
+    for _ in range(300):
+        t = np.sort(r.choice(terms, r.integers(0, 6), replace=False))
+        w = r.uniform(0.1, 1, len(t))
+        made.append((t, w / np.linalg.norm(w) if len(w) else w))
+    index = toxicity.BlockMaxIndex(made, terms)
+    dense = np.zeros((300, terms))
+    for i, (t, w) in enumerate(made):
+        dense[i, t] = w
+    for q in range(60):
+        without = q if q % 2 else -1
+        docs, cosines = index.nearest(*made[q], 7, without)
+        cos = dense @ dense[q]
+        best = [i for i in np.lexsort((np.arange(300), -np.round(cos, 12))) if cos[i] > 0 and i != without][:7]
+        assert np.allclose(cosines, cos[best]) and len(docs) == len(best)
+
+
+def test_isotonic():
+    x, v = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
+    assert x.tolist() == [0.1, 0.2, 0.3, 0.4] and v.tolist() == [0.0, 0.5, 0.5, 1.0]
+
+
+# ---- op9
+
+
+def plain_sets(texts):
+    out = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def plain_components(texts):
+    sets = plain_sets(texts)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            o = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * o >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return [(len(s), r) for s, r in zip(sets, root, strict=True)]
+
+
+def noisy_texts(seed, n):
+    r = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    shared = " ".join(r.choice(vocabulary, 60))
+    texts = [None, "", "\t\n", "One", "one", "one two", "a b c d e", "a b c d e f", "A b c d E", "x " * 3000]
+    while len(texts) < n:
+        words = list(r.choice(vocabulary, r.integers(3, 150)))
+        base = " ".join(words) + (" " + shared if r.random() < 0.4 else "")
+        for _ in range(r.integers(1, 6)):
+            own = base.split()
+            for _ in range(r.integers(0, 4)):
+                own[r.integers(len(own))] = str(r.choice(vocabulary))
+            texts.append(" ".join(own))
+    return texts[:n]
+
+
+def test_shingle_sets_have_the_right_sizes():
+    texts = noisy_texts(1, 200)
+    assert [len(shingles.shingle_hashes(t)) for t in texts] == [len(s) for s in plain_sets(texts)]
+    assert shingles.shingle_hashes("A  b\tc d E f").tolist() == shingles.shingle_hashes("a b c d e F").tolist()
+    assert shingles.shingle_hashes("É b").tolist() != shingles.shingle_hashes("é b").tolist()
+
+
+@pytest.mark.parametrize("params", [ngram_join.JoinParams(), ngram_join.JoinParams(cell_shingles=300, hot_sample=30, hot_keys=50)])
+def test_near_duplicates_match_brute_force(spark, params):
+    texts = noisy_texts(7, 260)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(rows(spark, texts), params).collect()}
+    assert [found[i] for i in range(len(texts))] == plain_components(texts)
+
+
+def test_all_links_match_brute_force(spark):
+    texts = noisy_texts(9, 150)
+    pairs, members = ngram_join.linked_pairs(rows(spark, texts))
+    of = {r.doc_id: r["class"] for r in members.collect()}
+    sets = plain_sets(texts)
+    want = {(min(of[i], of[j]), max(of[i], of[j])): len(sets[i] & sets[j]) for i in range(150) for j in range(i) if sets[i] and sets[j] and sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {(r.a, r.b): r.overlap for r in pairs.collect()} == want
+
+
+def test_near_duplicates_odd_rows(spark):
+    assert ngram_join.near_duplicates(rows(spark, [])).count() == 0
+    text = " ".join(f"t{i}" for i in range(60))
+    found = ngram_join.near_duplicates(rows(spark, [text, text + " more", "else " * 9, text, None], [5, 5, 5, None, 8])).collect()
+    assert sorted((r.n_shingles, r.component_id) for r in found) == [(0, 8), (1 + 0, 5), (56, 5), (56, 5), (57, 5)]
+
+
+def test_drop_near_duplicates_keeps_one(spark, tmp_path):
+    texts = noisy_texts(3, 120)
+    rows(spark, [*texts, texts[20]], [*range(120), 20]).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = [r.doc_id for r in ngram_join.drop_near_duplicates(docs).collect()]
+    want = sorted({c for _, c in plain_components(texts)})
+    assert sorted(kept) == want and ngram_join.drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_pipeline_against_its_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "personal_data", "packing"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert not any(pii.find_plain(t) for t in kept.values())
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == set(kept)
+    check_packing(pieces, kept, 2048)
+    assert json.dumps(sorted(kept))
