@@ -10,6 +10,7 @@ from contactsheet.functions import geo, text
 from contactsheet.operators import segments
 from contactsheet.operators.predicates import visible
 from contactsheet.plans import registry
+from contactsheet.streaming import incremental
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -171,3 +172,20 @@ SELECT place_id, strftime(a, '%-d %b %Y') || ' – ' || strftime(b, '%-d %b %Y')
 def f7_date_range_label(lib: Library) -> DataFrame:
     spans = visible(lib.photos).where(F.col("taken_ts").isNotNull()).groupBy("place_id").agg(F.timestamp_seconds(F.min("taken_ts")).alias("a"), F.timestamp_seconds(F.max("taken_ts")).alias("b"))
     return spans.select("place_id", text.date_range_label(F.col("a"), F.col("b")).alias("label"), text.age_on(F.col("a"), F.col("b")).alias("years"))
+
+
+@query(
+    """, g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM stream),
+s AS (SELECT *, sum(CASE WHEN gap >= 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, round(min(ts), 3) AS start_ts, round(max(ts) + 21600, 3) AS end_ts, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def t11_sessions(lib: Library) -> DataFrame:
+    found = incremental.sessions(lib.table("events"))
+    return found.select("user_id", F.round(F.unix_micros("start") / 1e6, 3).alias("start_ts"), F.round(F.unix_micros("end") / 1e6, 3).alias("end_ts"), "n")
+
+
+@query(
+    """SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"""
+)
+def t11_activity(lib: Library) -> DataFrame:
+    return incremental.activity(lib.table("events")).select(F.unix_timestamp("start").alias("start_ts"), "event_type", "n", "total")
