@@ -10,8 +10,9 @@ depends on the two sizes alone. The search has two levels, both of the DivideSki
 * Inside a block, over whole sets: the short inverted lists of a probe are merged, the long ones probed by binary
   search for the sets that can still reach T, and the overlap is exact.
 
-Sets that are equal are one class from the start. Blocks that are too large are cut into cells, each pair of parts in
-one cell, so no task holds more than a bounded number of shingles (and two sets).
+Sets that are equal are one class from the start. In a block that is too large for one task, members are compared with
+the hub first; what does not link with it meets the whole block in cells, so no task holds more than a bounded number of
+shingles (and two sets), and a large group of near copies costs its members rather than their pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,7 +36,7 @@ class JoinParams:
     num: int = 80  #: sets link when den * overlap >= num * union
     den: int = 100
     words: int = WORDS
-    cell_shingles: int = 2_000_000  #: of one part of a block
+    cell_shingles: int = 400_000  #: of one part of a block
     hot_sample: int = 20_000  #: sets, in expectation, among which frequent shingles are looked for
     hot_keys: int = 10_000  #: most shingles that are called frequent, and broadcast
 
@@ -174,19 +175,60 @@ def _blocks(classes: DataFrame, p: JoinParams) -> DataFrame:
     return short.join(hubs, "key").groupBy("rep", "hub").agg(F.first("n").alias("n"))
 
 
-def _cells(blocks: DataFrame, p: JoinParams) -> DataFrame:
-    """(rep, hub, part, i, j): the cells in which a block's member is compared; a small block is one cell."""
+def _sized(blocks: DataFrame, p: JoinParams) -> DataFrame:
+    """``blocks`` of two members or more, each with the parts it is to be cut into: (rep, n, hub, parts)."""
     sizes = blocks.groupBy("hub").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / F.lit(p.cell_shingles)).cast("int").alias("parts")).where(F.col("members") > 1)
-    dealt = blocks.join(sizes, "hub").select("rep", "hub", "parts", F.pmod(F.xxhash64("rep", "hub"), F.col("parts")).cast("int").alias("part"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.select("rep", "hub", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return blocks.join(sizes.drop("members"), "hub").select("rep", "n", "hub", "parts")
+
+
+def _part(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("rep", "hub"), parts).cast("int")
+
+
+def _square(sized: DataFrame) -> DataFrame:
+    """(hub, i, j, rep, side): all pairs of a block's parts are cells; in one of two parts, sides are compared with
+    each other, in one of a single part (side -1) all with all."""
+    dealt = sized.withColumn("part", _part(F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part"))
+    return dealt.select("hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", side.alias("side"))
+
+
+def _spokes(large: DataFrame, whole: DataFrame, p: JoinParams) -> DataFrame:
+    """(hub, rep, overlap), written once: every member of a large block against its hub; a null overlap is no link."""
+    hubs = whole.select(F.col("rep").alias("hub"), F.col("hashes").alias("hub_hashes"))
+    rows = large.where(F.col("rep") != F.col("hub")).select("hub", "rep").join(whole, "rep").join(hubs, "hub").select("hub", "rep", "hub_hashes", "hashes")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            overlaps = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                found = np.searchsorted(y, x)
+                o = int((y[np.minimum(found, len(y) - 1)] == x).sum())
+                overlaps.append(o if o >= p.overlap(len(x), len(y)) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlaps, pa.int64())], ["hub", "rep", "overlap"])
+
+    return materialise(rows.mapInArrow(run, "hub long, rep long, overlap long"), "spokes")
+
+
+def _rest(large: DataFrame, spokes: DataFrame, p: JoinParams) -> DataFrame:
+    """(hub, i, j, rep, side): what does not link with its hub against the whole block, in cells of bounded size."""
+    apart = spokes.where(F.col("overlap").isNull()).select("hub", "rep").join(large.select("hub", "rep", "n", "parts"), ["hub", "rep"])
+    sizes = apart.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(p.cell_shingles)).cast("int").alias("rows"))
+    probes = apart.join(sizes, "hub").select("hub", _part(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "rep", F.lit(0).alias("side"))
+    index = large.join(sizes, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), _part(F.col("parts")).alias("j"), "rep", F.lit(1).alias("side"))
+    return probes.unionAll(index)
 
 
 def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, p: JoinParams, id_col: str, text_col: str, every: bool) -> DataFrame:
-    """(a, b, overlap) over classes' numbers, a < b."""
-    cells = materialise(_cells(_blocks(classes, p), p), "cells")
+    """(a, b, overlap) over classes' numbers: all links, or (not ``every``) enough that what is linked stays connected.
+
+    A large block, such as thousands of near copies of one text, is first compared with its hub: members that link with
+    it are connected, and only the others meet the whole block. So its work grows with its members, not their pairs.
+    """
+    sized = materialise(_sized(_blocks(classes, p), p), "blocks")
     # Whole sets of the few classes that are left, from their texts again: cheaper than keeping every set.
-    wanted = cells.select("rep").distinct().join(sets.select(F.col("row").alias("rep"), "doc_id", "set_key"), "rep").withColumnRenamed("doc_id", "rep_doc")
+    wanted = sized.select("rep").distinct().join(sets.select(F.col("row").alias("rep"), "doc_id", "set_key"), "rep").withColumnRenamed("doc_id", "rep_doc")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     found = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(wanted["rep_doc"])).select("rep", "set_key", "text")
 
@@ -199,30 +241,39 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, p: JoinParams,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() for h in hashes], pa.binary())], ["rep", "hashes"]).filter(pa.array(same, pa.bool_()))
 
     whole = found.mapInArrow(shingle, "rep long, hashes binary").dropDuplicates(["rep"])
-    placed = cells.join(whole, "rep").select("hub", "i", "j", "rep", "part", "hashes")
+    large = sized.where(F.col("parts") > 1)
+    spokes = None
+    if every or not large.limit(1).count():
+        cells = _square(sized)
+    else:
+        whole = materialise(whole, "whole-sets")
+        spokes = _spokes(large, whole, p)
+        cells = _square(sized.where(F.col("parts") <= 1)).unionAll(_rest(large, spokes, p))
+    placed = cells.join(whole, "rep").select("hub", "i", "j", "rep", "side", "hashes")
     placed = placed.repartition(shuffle_partitions(docs.sparkSession), "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, reps, parts, hashes = None, [], [], []
+        cell, reps, sides, hashes = None, [], [], []
 
         def closed() -> Iterator[pa.RecordBatch]:
             if len(reps) > 1:
-                part = np.array(parts) if cell[1] != cell[2] else None
-                links = search(hashes, p, part=part, every=every)
+                links = search(hashes, p, part=None if sides[0] < 0 else np.array(sides), every=every)
+                links = [(reps[a], reps[b], o) for a, b, o in links if reps[a] != reps[b]]
                 if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([reps[a] for a, _, _ in links]), pa.array([reps[b] for _, b, _ in links]), pa.array([o for _, _, o in links], pa.int64())], ["a", "b", "overlap"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b", "overlap"])
 
         for batch in batches:
-            for hub, i, j, rep, part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for hub, i, j, rep, side, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cell != (hub, i, j):
                     yield from closed()
-                    cell, reps, parts, hashes = (hub, i, j), [], [], []
+                    cell, reps, sides, hashes = (hub, i, j), [], [], []
                 reps.append(rep)
-                parts.append(part)
+                sides.append(side)
                 hashes.append(np.frombuffer(raw, np.uint64))
         yield from closed()
 
-    return placed.mapInArrow(compare, "a long, b long, overlap long")
+    links = placed.mapInArrow(compare, "a long, b long, overlap long")
+    return links if spokes is None else links.unionAll(spokes.where(F.col("overlap").isNotNull()).select("hub", "rep", "overlap"))
 
 
 def _classes(sets: DataFrame) -> DataFrame:
