@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contactsheet.functions.geo import haversine_km
-from contactsheet.params import EARTH_KM
+from contactsheet.functions.geo import city_radius_km, city_score, haversine_km
+from contactsheet.functions.text import folder_tokens
+from contactsheet.params import EARTH_KM, SEAT_BONUS
 
 
 def nearest_within(points: DataFrame, places: DataFrame, km: float, *, most: int = 1) -> DataFrame:
@@ -42,14 +43,42 @@ def nearest_within(points: DataFrame, places: DataFrame, km: float, *, most: int
     return met.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def names_in_path(paths: DataFrame, cities: DataFrame, *, population: int = 50_000, lead: float = 3.0) -> DataFrame:
-    """(id, place_id): the city a folder is named after: runs of three to one words of the path, longest first; of
-    several cities of one name, one with ``lead`` times the population of the next. ``paths`` (id, folder), ``cities``
-    (place_id, name, population)."""
-    words = F.filter(F.split(F.lower(F.regexp_replace("folder", r"\d{4,}|[0-9]+", " ")), r"[^\p{L}]+"), lambda x: x != "")
+def names_in_path(paths: DataFrame, cities: DataFrame, *, population: int = 50_000, lead: float = 3.0, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(id, place_id): the city a folder is named after: from the leaf upward, runs of three to one words, the longest
+    first, of four letters or more and not in ``skip``; of several cities of one name, one with more than ``lead``
+    times the population of the next. ``paths`` (id, folder), ``cities`` (place_id, name, population), those of the
+    library's countries."""
+    parts = paths.select("id", F.posexplode(F.reverse(F.split("folder", "/"))).alias("depth", "part")).select("id", "depth", folder_tokens(F.col("part")).alias("w")).where(F.size("w") > 0)
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(n.alias("n"), i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("name")))))
-    named = paths.select("id", words.alias("w")).where(F.size("w") > 0).select("id", F.inline(runs))
+    named = parts.select("id", "depth", F.inline(runs)).where((F.length("name") >= 4) & ~F.col("name").isin(*skip))
     big = cities.where(F.col("population") >= population).select(F.lower("name").alias("name"), "place_id", "population")
     by = Window.partitionBy("name").orderBy(F.col("population").desc(), "place_id")
-    clear = big.withColumn("r", F.row_number().over(by)).withColumn("next", F.lead("population").over(by)).where((F.col("r") == 1) & (F.col("next").isNull() | (F.col("population") >= lead * F.col("next")))).select("name", "place_id")
-    return named.join(clear, "name").groupBy("id").agg(F.min_by("place_id", F.struct(-F.col("n"), -F.col("i"))).alias("place_id"))
+    clear = big.withColumn("r", F.row_number().over(by)).withColumn("next", F.lead("population").over(by)).where((F.col("r") == 1) & (F.col("next").isNull() | (F.col("population") > lead * F.col("next")))).select("name", "place_id")
+    return named.join(clear, "name").groupBy("id").agg(F.min_by("place_id", F.struct("depth", -F.col("n"), F.col("i"))).alias("place_id"))
+
+
+def city_of(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """M3: (id, city_id, locality_id): the nearest place within 15 km, and the best-scoring settlement whose reach covers
+    the point; failing that the nearest of 5,000 people within 25 km, the locality, or the nearest place within 60 km.
+
+    Between two villages the nearer name wins, and a named town at the edge of a bigger town's reach is its own place.
+    ``points`` (id, lat, lon), ``gazetteer`` (geonameid, lat, lon, population, fcode)."""
+    near = nearest_within(points, gazetteer.select(F.col("geonameid").alias("place_id"), "lat", "lon"), 60.0, most=1 << 30)
+    facts = gazetteer.select(F.col("geonameid").alias("place_id"), F.coalesce("population", F.lit(0)).alias("population"), F.coalesce("fcode", F.lit("")).alias("fcode"))
+    seat = F.col("fcode").isin("PPLC", "PPLA")
+    bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in SEAT_BONUS.items() for x in item]), F.col("fcode")), F.lit(0.0))
+    rows = near.join(facts, "place_id").withColumn("reach", city_radius_km(F.col("population"), seat)).withColumn("score", F.round(city_score(F.col("population"), seat, F.col("km"), bonus), 9))
+    one = F.struct("place_id", "km", "population", "fcode", "reach")
+    best = lambda on, order: F.min_by(F.when(on, one), F.when(on, order))
+    picked = rows.groupBy("id").agg(
+        best(F.col("km") <= 15, F.struct("km", "place_id")).alias("locality"),
+        best((F.col("km") <= 35) & (F.col("km") <= F.col("reach")), F.struct(-F.col("score"), F.col("place_id"))).alias("covering"),
+        best((F.col("km") <= 25) & (F.col("population") >= 5000), F.struct("km", "place_id")).alias("fallback"),
+        best(F.lit(True), F.struct("km", "place_id")).alias("nearest"),
+    )
+    picked = picked.withColumn("city", F.coalesce("covering", "fallback", "locality", "nearest"))
+    city, local = F.col("city"), F.col("locality")
+    village = (local["km"] <= 3.0) & (city["population"] < 20_000) & ~city["fcode"].isin("PPLC", "PPLA", "PPLA2", "PPLA3") & (city["km"] > local["km"])
+    edge = (local["population"] >= 3_000) & (city["km"] / city["reach"] > 0.75) & (city["population"] < 300_000)
+    own = F.coalesce((city["place_id"] != local["place_id"]) & (village | edge), F.lit(False))
+    return picked.select("id", F.when(own, local["place_id"]).otherwise(city["place_id"]).alias("city_id"), local["place_id"].alias("locality_id"))

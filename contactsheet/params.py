@@ -33,3 +33,6 @@ CLUSTER_K, CLUSTER_EDGE, CLUSTER_ROUNDS, CLUSTER_MIN, ATTACH, ATTACH_MARGIN = 24
 VISUAL_SIGMA, VISUAL_HEAD, VISUAL_MIN, VISUAL_MAX, DIVERSIFY, DIVERSIFY_LAST = 1.6, 0.60, 40, 800, 0.93, 40
 
 EARTH_KM = 6371.0088
+
+# How much likelier an administrative seat is the name a person would use.
+SEAT_BONUS = {"PPLC": 0.7, "PPLA": 0.5, "PPLA2": 0.35, "PPLA3": 0.2, "PPLA4": 0.1}

@@ -167,7 +167,7 @@ def m4_quality(lib: Library) -> DataFrame:
 
 @query(
     """, d AS (SELECT place_id, make_timestamp((min(taken_ts) * 1000000)::BIGINT) AS a, make_timestamp((max(taken_ts) * 1000000)::BIGINT) AS b FROM visible WHERE taken_ts IS NOT NULL GROUP BY 1)
-SELECT place_id, strftime(a, '%-d %b %Y') || ' – ' || strftime(b, '%-d %b %Y') AS label, (year(b) - year(a) - (strftime(b, '%m-%d') < strftime(a, '%m-%d'))::INT)::INT AS years FROM d"""
+SELECT place_id, strftime(a, '%b %Y') || ' – ' || strftime(b, '%b %Y') AS label, (year(b) - year(a) - (strftime(b, '%m-%d') < strftime(a, '%m-%d'))::INT)::INT AS years FROM d"""
 )
 def f7_date_range_label(lib: Library) -> DataFrame:
     spans = visible(lib.photos).where(F.col("taken_ts").isNotNull()).groupBy("place_id").agg(F.timestamp_seconds(F.min("taken_ts")).alias("a"), F.timestamp_seconds(F.max("taken_ts")).alias("b"))

@@ -73,13 +73,36 @@ def test_capture_date_prefers_what_is_sure(spark):
 
 def test_labels_and_ages(spark):
     label = lambda a, b: one(spark, text.date_range_label(F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp")))
-    assert label("2020-07-04", "2020-07-04") == "4 Jul 2020"
-    assert label("2020-07-04", "2020-07-06") == "4 – 6 Jul 2020"
+    assert label("2020-07-04", "2020-07-04") == "4 July 2020"
+    assert label("2020-07-04", "2020-07-06") == "4–6 July 2020"
     assert label("2020-07-30", "2020-08-02") == "30 Jul – 2 Aug 2020"
+    assert label("2019-12-30", "2020-01-02") == "Dec 2019 – Jan 2020"
     age = lambda b, d: one(spark, text.age_on(F.lit(b).cast("date"), F.lit(d).cast("date")))
     assert (age("2000-02-29", "2001-02-28"), age("2000-02-29", "2001-03-01"), age("2000-01-01", "1999-01-01"), age(None, "2001-01-01")) == (0, 1, None, None)
 
 
+@pytest.mark.parametrize(
+    ("folder", "ts", "precision"),
+    [("2019/2019-08-12 Goa", "2019-08-12", "date"), ("Wedding Jan 2026", "2026-01-15", "month"), ("2018/March 2019/pics", "2019-03-15", "month"), ("2019-05", "2019-05-15", "month"), ("2017/pics", "2017-07-01", "year"), ("pics", None, None), ("", None, None)],
+)
+def test_date_from_folder(spark, folder, ts, precision):
+    found = one(spark, text.date_from_folder(F.lit(folder)))
+    assert (found and str(found.ts)[:10], found and found.precision) == (ts, precision)
+
+
+def test_small_text_functions(spark):
+    offset = lambda x: one(spark, text.offset_minutes(F.lit(x)))
+    assert [offset(x) for x in ("+05:30", "-0800", "+00:00", "+15:00", "+05:70", "x", None)] == [330, -480, 0, None, None, None, None]
+    names = lambda *x: one(spark, text.joined_names(F.array(*map(F.lit, x)).cast("array<string>")))
+    assert [names(), names("a"), names("a", "", "b"), names("a", "b", "c")] == ["", "a", "a and b", "a, b and c"]
+    at = F.lit("2020-07-04").cast("timestamp")
+    title = lambda *x: one(spark, text.event_title(*[F.lit(v).cast("string") for v in x], at))
+    assert [title("Wedding", "Goa", "H"), title("Wedding", None, "H"), title(None, "Goa", "H"), title(None, "Goa", None), title(None, None, None)] == ["Wedding in Goa", "Wedding", "H", "Goa", "July 2020"]
+    assert one(spark, text.place_label(F.lit("Goa"), F.lit("Goa"), F.lit("India"))) == "Goa, India"
+    assert [one(spark, text.safe_name(F.lit(x))) for x in ("a/b: c?.", "...", None)] == ["a b c", "untitled", "untitled"]
+    assert one(spark, text.folder_tokens(F.lit("2019_Goa-Trip 12 v2"))) == ["goa", "trip", "v2"]
+
+
 def test_fold_tokens_and_search(spark):
     rows = spark.createDataFrame([(1, "Kandukūr Café"), (2, "cafe at kandukur"), (3, None), (4, "")], "id long, t string")
     assert [r.id for r in keywords.search_all(rows, "t", ["kandukur", "cafe"]).orderBy("id").collect()] == [1, 2]
@@ -173,6 +196,13 @@ def test_nearest_within_matches_brute_force(spark):
         assert {(x.id, x.place_id) for x in found.collect()} == want
 
 
+def test_city_of(spark):
+    gazetteer = [(1, 0.0, 0.0, 1_000_000, "PPLA"), (2, 0.0, 0.05, 4_000, "PPL"), (3, 0.0, 0.16, 5_000, "PPL"), (4, 10.0, 10.0, 300, "PPL"), (5, 10.0, 10.02, 9_000, "PPL"), (6, 30.0, 30.0, 10, "PPL")]
+    points = [(1, 0.0, 0.04), (2, 10.0, 10.005), (3, 30.0, 30.3), (4, 60.0, 60.0), (5, 0.0, 0.16)]
+    found = places.city_of(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(gazetteer, "geonameid long, lat double, lon double, population long, fcode string"))
+    assert {r.id: (r.city_id, r.locality_id) for r in found.collect()} == {1: (1, 2), 2: (4, 4), 3: (6, None), 5: (3, 3)}
+
+
 def test_names_in_path_take_the_longest_clear_name(spark):
     paths = spark.createDataFrame([(1, "2019/New York trip"), (2, "York 2020"), (3, "Springfield"), (4, "")], "id long, folder string")
     cities = spark.createDataFrame([(10, "New York", 8_000_000), (11, "York", 150_000), (12, "Springfield", 160_000), (13, "Springfield", 150_000), (14, "trip", 10)], "place_id long, name string, population long")
