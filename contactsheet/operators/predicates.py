@@ -170,3 +170,45 @@ def in_album(photos: DataFrame, members: DataFrame) -> DataFrame:
 def flags() -> Column:
     """Favourite 1, faces 2, video 4, as one number."""
     return (F.when(F.col("rating") >= 5, 1).otherwise(0) + F.when(F.col("face_count") > 0, 2).otherwise(0) + F.when(F.col("media_type") == "video", 4).otherwise(0)).cast("int")
+
+
+def in_event(photos: DataFrame, event: Column, trips: DataFrame, wanted: int | str) -> DataFrame:
+    """Photos of an event, or of a trip by membership, each once. ``trips`` (trip, photo_id)."""
+    members = trips.where(F.col("trip") == wanted).select("photo_id")
+    by_trip = photos.join(members, photos["id"] == members["photo_id"], "left_semi")
+    return photos.where(event == wanted).unionAll(by_trip).dropDuplicates(["id"])
+
+
+@dataclass(frozen=True)
+class Details:
+    """The search's further clauses, joined by AND. Screenshots: True for only, False for none, None for either."""
+
+    videos: bool | None = None
+    sources: tuple[str, ...] = ()
+    min_rating: int | None = None
+    colours: tuple[str, ...] = ()
+    screenshots: bool | None = None
+    min_faces: int | None = None
+    max_faces: int | None = None
+
+    def columns(self) -> list[Column]:
+        out = []
+        if self.videos is not None:
+            out.append((F.col("media_type") == "video") == F.lit(self.videos))
+        if self.sources:
+            out.append(F.col("source_kind").isin(*self.sources))
+        if self.min_rating is not None:
+            out.append(F.coalesce("rating", F.lit(0)) >= self.min_rating)
+        if self.colours:
+            out.append(F.arrays_overlap("colours", F.array(*map(F.lit, self.colours))))
+        if self.screenshots is not None:
+            out.append((F.coalesce("source_kind", F.lit("")) == "screenshot") == F.lit(self.screenshots))
+        if self.min_faces is not None:
+            out.append(F.coalesce("face_count", F.lit(0)) >= self.min_faces)
+        if self.max_faces is not None:
+            out.append(F.coalesce("face_count", F.lit(0)) <= self.max_faces)
+        return out
+
+
+def detailed(photos: DataFrame, spec: Details) -> DataFrame:
+    return reduce(lambda df, c: df.where(c), spec.columns(), photos)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contactsheet.adapter import WITH, Library
-from contactsheet.operators import segments, workflow
+from contactsheet.functions import scores
+from contactsheet.operators import predicates, segments, workflow
 from contactsheet.operators.facets import home_places
 from contactsheet.operators.predicates import visible
 from contactsheet.plans import registry
@@ -216,3 +217,29 @@ def w3_multiday_merge(lib: Library) -> DataFrame:
     order = Window.partitionBy("camera_model").orderBy("taken_ts", "id")
     parts = rows.select("camera_model", F.row_number().over(order).cast("long").alias("segment"), F.col("taken_ts").alias("start_ts"), F.col("taken_ts").alias("end_ts"), F.col("folder").alias("top"))
     return segments.merge_sessions(parts, "camera_model", cap_hours=240.0, overnight_hours=240.0)
+
+
+@query(_EVENTS + "SELECT id FROM visible WHERE folder = 'BUILDING/1996/03' OR id IN (SELECT photo_id FROM members WHERE event = 'cam1/320')")
+def p16_event_or_trip(lib: Library) -> DataFrame:
+    trips = _members(lib).select(F.when(F.col("event") == "cam1/320", "BUILDING/1996/03").otherwise(F.col("event")).alias("trip"), "photo_id")
+    return predicates.in_event(visible(lib.photos), F.col("folder"), trips, "BUILDING/1996/03").select("id")
+
+
+@query(
+    """SELECT id FROM visible WHERE media_type <> 'video' AND source_kind IN ('phone', 'camera', 'download') AND coalesce(rating, 0) >= 1 AND coalesce(source_kind, '') <> 'screenshot'
+  AND face_count BETWEEN 1 AND 2 AND (id % 5 = 0 OR id % 5 = 2)"""
+)
+def p22_details(lib: Library) -> DataFrame:
+    colour = F.element_at(F.array(*map(F.lit, ("red", "green", "blue", "white", None))), (F.col("id") % 5 + 1).cast("int"))
+    rows = visible(lib.photos).withColumn("colours", F.when(F.col("id") % 5 != 4, F.array(colour, F.lit("grey"))))
+    return predicates.detailed(rows, predicates.Details(False, ("phone", "camera", "download"), 1, ("red", "blue"), False, 1, 2)).select("id")
+
+
+@query(
+    """SELECT id, round(1 / (1 + exp(-30 * (quality_score / 1e6 - 0.2))), 6) AS aesthetic, round(least(1.0, greatest(0.0, (rating - 1) / 3)), 6) AS confidence, round(1 / (1 + exp(-(rating * 0.5 - 1))), 6) AS probability,
+  CASE WHEN id % 4 IN (1, 3) THEN height ELSE width END AS w, CASE WHEN id % 4 IN (1, 3) THEN width ELSE height END AS h FROM visible"""
+)
+def m11_scores(lib: Library) -> DataFrame:
+    size = scores.shown_size(F.col("width"), F.col("height"), (F.col("id") % 4 * 90).cast("int"))
+    shown = visible(lib.photos).withColumn("s", size)
+    return shown.select("id", F.round(scores.aesthetic(F.col("quality_score") / 1e6, F.lit(0.2)), 6).alias("aesthetic"), F.round(scores.tag_confidence(F.col("rating")), 6).alias("confidence"), F.round(scores.probability(F.col("rating"), 0.5, -1.0), 6).alias("probability"), F.col("s.w").alias("w"), F.col("s.h").alias("h"))

@@ -181,6 +181,14 @@ def test_clusters_are_pure_and_strangers_stay_out(spark):
     assert all(len(v) == 1 for v in of.values()) and set().union(*of.values()) == {0, 1, 2, 3, 4} and len(of) == 5
 
 
+def test_merging_clusters(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 10), (2, [1.0, 0.1, 0.0], 11), (3, [0.0, 0.0, 1.0], 12), (4, [1.0, 0.2, 0.0], 13)], "id long, vec array<double>, owner long")
+    assert {r.owner: r.merged for r in clustering.merge_close(rows, least=0.9).collect()} == {10: 10, 11: 10, 12: 12, 13: 10}
+    pairs = clustering.merge_candidates(rows, least=0.9)
+    said = spark.createDataFrame([(11, 10)], "a long, b long")
+    assert {(r.a, r.b) for r in clustering.undismissed(pairs, said, 9).collect()} == {(10, 13), (11, 13)}
+
+
 def test_nearest_within_matches_brute_force(spark):
     r = np.random.default_rng(2)
     points = [(i, float(r.uniform(-90, 90)), float(r.uniform(-180, 180))) for i in range(150)] + [(500, 89.9, 10.0), (501, 0.0, 179.99), (502, None, 1.0)]
