@@ -176,9 +176,14 @@ def _blocks(classes: DataFrame, p: JoinParams) -> DataFrame:
 
 
 def _sized(blocks: DataFrame, p: JoinParams) -> DataFrame:
-    """``blocks`` of two members or more, each with the parts it is to be cut into: (rep, n, hub, parts)."""
-    sizes = blocks.groupBy("hub").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / F.lit(p.cell_shingles)).cast("int").alias("parts")).where(F.col("members") > 1)
-    return blocks.join(sizes.drop("members"), "hub").select("rep", "n", "hub", "parts")
+    """``blocks`` of two members or more, each with the parts it is to be cut into: (rep, n, hub, parts).
+
+    Both tables are written first: Spark can then split the rows of one hub among the tasks of the join.
+    """
+    blocks = materialise(blocks, "blocks")
+    sizes = blocks.groupBy("hub").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / F.lit(p.cell_shingles)).cast("int").alias("parts"))
+    sizes = materialise(sizes.where(F.col("members") > 1).select("hub", "parts"), "block-sizes")
+    return blocks.join(sizes, "hub").select("rep", "n", "hub", "parts")
 
 
 def _part(parts: Column) -> Column:
@@ -214,7 +219,7 @@ def _spokes(large: DataFrame, whole: DataFrame, p: JoinParams) -> DataFrame:
 def _rest(large: DataFrame, spokes: DataFrame, p: JoinParams) -> DataFrame:
     """(hub, i, j, rep, side): what does not link with its hub against the whole block, in cells of bounded size."""
     apart = spokes.where(F.col("overlap").isNull()).select("hub", "rep").join(large.select("hub", "rep", "n", "parts"), ["hub", "rep"])
-    sizes = apart.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(p.cell_shingles)).cast("int").alias("rows"))
+    sizes = materialise(apart.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(p.cell_shingles)).cast("int").alias("rows")), "rest-sizes")
     probes = apart.join(sizes, "hub").select("hub", _part(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "rep", F.lit(0).alias("side"))
     index = large.join(sizes, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), _part(F.col("parts")).alias("j"), "rep", F.lit(1).alias("side"))
     return probes.unionAll(index)
@@ -226,7 +231,7 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, p: JoinParams,
     A large block, such as thousands of near copies of one text, is first compared with its hub: members that link with
     it are connected, and only the others meet the whole block. So its work grows with its members, not their pairs.
     """
-    sized = materialise(_sized(_blocks(classes, p), p), "blocks")
+    sized = _sized(_blocks(classes, p), p)
     # Whole sets of the few classes that are left, from their texts again: cheaper than keeping every set.
     wanted = sized.select("rep").distinct().join(sets.select(F.col("row").alias("rep"), "doc_id", "set_key"), "rep").withColumnRenamed("doc_id", "rep_doc")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
@@ -304,9 +309,10 @@ def near_duplicates(docs: DataFrame, p: JoinParams | None = None, *, id_col: str
     classes = _classes(sets)
     links = _links(docs, sets, classes.select("rep", "n", "sampled"), p, id_col, text_col, False)
     roots = components(links.select("a", "b"))
-    named = classes.select("set_key", "rep", "first_doc").join(roots, F.col("rep") == F.col("node"), "left").select("set_key", "first_doc", F.coalesce("root", "rep").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_set = named.join(least, "root").select("set_key", "component_id")
+    linked = classes.select("rep", "first_doc").join(roots, F.col("rep") == F.col("node")).select("rep", "root", "first_doc")
+    least = materialise(linked.groupBy("root").agg(F.min("first_doc").alias("component_id")), "component-ids")
+    of_linked = linked.join(least, "root").select("rep", "component_id")
+    by_set = classes.select("set_key", "rep", "first_doc").join(of_linked, "rep", "left").select("set_key", F.coalesce("component_id", "first_doc").alias("component_id"))
     full = sets.where(F.col("n") > 0).select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(by_set, "set_key").select("doc_id", "n_shingles", "component_id")
     empty = sets.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionAll(empty)
