@@ -27,6 +27,7 @@ class GraphParams:
     relax: float = 1.2  #: how much nearer a kept neighbour must be to a candidate to make that candidate redundant
     width: int = 4  #: points a search expands at a time
     batch: int = 256  #: points inserted, or queries asked, together
+    entries: int = 8  #: points besides the middle one that a query sets out from
     seed: int = 11
 
 
@@ -36,8 +37,11 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
     return np.hstack([vectors, np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0.0))[:, None]])
 
 
-def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, keep: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances), each (queries, keep), nearest first; -1 and inf where fewer were met."""
+def beam_search(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, keep: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, squared distances), each (queries, keep), nearest first; -1 and inf where fewer were met.
+
+    The search sets out from the points ``entry``, at most ``keep`` of them.
+    """
     n, m = len(points), len(queries)
     squares = (points * points).sum(axis=1)
     rows = np.arange(m)[:, None]
@@ -46,9 +50,9 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.n
     ids = np.full((m, keep), n)
     far = np.full((m, keep), np.inf)
     open_ = np.zeros((m, keep), bool)
-    ids[:, 0], open_[:, 0] = entry, True
+    ids[:, : len(entry)], open_[:, : len(entry)] = entry, True
     offset = (queries * queries).sum(axis=1)
-    far[:, 0] = squares[entry] - 2 * queries @ points[entry] + offset
+    far[:, : len(entry)] = squares[entry] - 2 * queries @ points[entry].T + offset[:, None]
     while open_.any():
         nearest = np.argsort(np.where(open_, far, np.inf), axis=1, kind="stable")[:, :width]
         chosen = np.where(np.take_along_axis(open_, nearest, 1), np.take_along_axis(ids, nearest, 1), n)
@@ -109,7 +113,7 @@ def build_graph(points: np.ndarray, p: GraphParams) -> tuple[np.ndarray, int]:
         order = random.permutation(n)
         for start in range(0, n, p.batch):
             at = order[start : start + p.batch]
-            met, _ = beam_search(points, np.where(edges < 0, n, edges), entry, points[at], p.beam, p.width)
+            met, _ = beam_search(points, np.where(edges < 0, n, edges), np.array([entry]), points[at], p.beam, p.width)
             edges[at] = robust_prune(points, at, np.hstack([met, edges[at]]), relax, p.degree)
             source, target = np.repeat(at, p.degree), edges[at].ravel()
             source, target = source[target >= 0], target[target >= 0]
@@ -171,12 +175,15 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = 96, quer
         vectors, ids = np.stack(points["v"].to_numpy()), points["vec_id"].to_numpy()
         edges, entry = np.stack(points["edges"].to_numpy()).astype(np.int64), int(points["entry"].iloc[0])
         cloud = lifted(vectors).astype(np.float32)
+        keep = min(max(beam, k + 1), len(ids))
+        # A few more points to set out from cost little; a shard no larger than the beam is met whole.
+        entries = np.arange(len(ids)) if keep == len(ids) else np.unique(np.append(np.linspace(0, len(ids) - 1, p.entries).astype(np.int64), entry))
         out = []
         for start in range(0, len(asked), p.batch):
             part = asked.iloc[start : start + p.batch]
             queries = np.stack(part["q"].to_numpy())
             flat = np.hstack([queries, np.zeros((len(queries), 1))]).astype(np.float32)
-            met, _ = beam_search(cloud, edges, entry, flat, min(max(beam, k + 1), len(ids)), p.width)
+            met, _ = beam_search(cloud, edges, entries, flat, keep, p.width)
             own = part["query_id"].to_numpy()
             score = np.einsum("mkd,md->mk", vectors[np.maximum(met, 0)], queries)
             drop = (met < 0) | (ids[np.maximum(met, 0)] == own[:, None])

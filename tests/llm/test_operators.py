@@ -169,6 +169,14 @@ def test_vamana_recall_and_scores(spark):
     assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) for v in found.values())
 
 
+def test_vamana_returns_all_of_a_few(spark):
+    held = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "vec_id long, v array<double>")
+    asked = held.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = vamana.nearest(held, asked, 20).collect()
+    assert len(found) == 90 and {(r.query_id, r.vec_id) for r in found} == {(a, b) for a in range(10) for b in range(10) if a != b}
+    assert vamana.nearest(held.limit(0), asked.limit(0), 20).count() == 0
+
+
 # ---- op4
 
 BASE = {
