@@ -79,8 +79,10 @@ c AS (SELECT a, b, CASE WHEN k IN ('near', 'likely') AND coalesce(dt >= 0.5 AND
 
 
 def _classified(lib: Library) -> DataFrame:
-    side = lambda s: lib.photos.select("camera_model", "place_id", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "sha256", "source_kind", "width", "height", "taken_ts")])
-    rows = side("a").join(side("b"), ["camera_model", "place_id"]).where((F.col("id_a") < F.col("id_b")) & (F.col("id_b") < F.col("id_a") + 400))
+    side = lambda s: lib.photos.select("camera_model", "place_id", F.floor(F.col("id") / 400).alias("band"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "sha256", "source_kind", "width", "height", "taken_ts")])
+    # Ids less than 400 apart lie in one band of 400 or in neighbouring ones: an equi-join that does not grow with a place.
+    near = side("a").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    rows = near.join(side("b"), ["camera_model", "place_id", "band"]).where((F.col("id_a") < F.col("id_b")) & (F.col("id_b") < F.col("id_a") + 400))
     a, b = F.col("id_a"), F.col("id_b")
     kind = duplicates.classify(
         (a * 7 + b) % 20,
