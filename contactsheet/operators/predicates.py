@@ -112,10 +112,17 @@ def grid(photos: DataFrame, spec: GridFilter) -> DataFrame:
     return reduce(lambda df, c: df.where(c), spec.columns(), visible(photos))
 
 
+def _holding_all(rows: DataFrame, column: str, values: Iterable) -> DataFrame:
+    """(photo_id) of photos with a row for every value; partial results are one flag a value, not the rows."""
+    wanted = list(dict.fromkeys(values))
+    flags = [F.bool_or(F.col(column) == v).alias(f"v{i}") for i, v in enumerate(wanted)]
+    every = reduce(lambda a, b: a & b, [F.col(f"v{i}") for i in range(len(wanted))])
+    return rows.where(F.col(column).isin(wanted)).groupBy("photo_id").agg(*flags).where(every).select("photo_id")
+
+
 def with_all_persons(photos: DataFrame, faces: DataFrame, persons: Iterable[int]) -> DataFrame:
-    """Photos that show every person; one pass over faces, whatever their number."""
-    wanted = list(dict.fromkeys(persons))
-    full = faces.where(F.col("person_id").isin(wanted)).groupBy("photo_id").agg(F.countDistinct("person_id").alias("met")).where(F.col("met") == len(wanted))
+    """Photos that show every person; one pass over faces and one shuffle, whatever their number."""
+    full = _holding_all(faces, "person_id", persons)
     return photos.join(full, photos["id"] == full["photo_id"], "left_semi")
 
 
@@ -141,7 +148,7 @@ def with_tags(photos: DataFrame, photo_tags: DataFrame, include: Iterable[str] =
     strong = photo_tags.where(F.col("score") >= least)
     out = photos
     if include:
-        full = strong.where(F.col("tag").isin(include)).groupBy("photo_id").agg(F.countDistinct("tag").alias("met")).where(F.col("met") == len(include))
+        full = _holding_all(strong, "tag", include)
         out = out.join(full, out["id"] == full["photo_id"], "left_semi")
     if exclude:
         bad = strong.where(F.col("tag").isin(exclude)).select("photo_id")

@@ -178,10 +178,10 @@ def m5_recompute_quality(lib: Library) -> DataFrame:
     return workflow.recompute_quality(visible(lib.photos), lib.faces)
 
 
-@query("SELECT id % 500 AS entry, list(id ORDER BY id) AS photo_ids FROM visible GROUP BY 1")
+@query("SELECT id % 500 AS entry, string_agg(id::VARCHAR, ',' ORDER BY id) AS photo_ids FROM visible GROUP BY 1")
 def p29_redacted_log(lib: Library) -> DataFrame:
     log = lib.photos.groupBy((F.col("id") % 500).alias("entry")).agg(F.array_sort(F.collect_list("id")).alias("photo_ids"))
-    return workflow.redacted_log(log, visible(lib.photos))
+    return workflow.redacted_log(log, visible(lib.photos)).select("entry", F.array_join(F.col("photo_ids").cast("array<string>"), ",").alias("photo_ids"))
 
 
 @query(
