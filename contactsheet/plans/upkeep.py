@@ -10,6 +10,7 @@ from contactsheet.functions import text
 from contactsheet.operators import keywords, maintenance
 from contactsheet.operators.predicates import visible
 from contactsheet.plans import registry
+from contactsheet.sources import export
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -138,3 +139,29 @@ def c8_overrides(lib: Library) -> DataFrame:
     k = F.col("id")
     corrected = lib.photos.where((k % 6 == 0) | (k % 10 == 0)).select(k.alias("photo_id"), F.when(k % 6 == 0, 1000.0).alias("user_ts"), F.when(k % 10 == 0, 7).alias("user_place"))
     return maintenance.overrides(lib.photos, corrected)
+
+
+@query(
+    """, t AS (SELECT filename AS rel_path, CASE WHEN id % 7 = 0 THEN size + 1 ELSE size END AS size, taken_ts + CASE WHEN id % 5 = 0 THEN 9 WHEN id % 5 = 1 THEN -9 ELSE 1 END AS mtime FROM photos WHERE id % 4 <> 0 AND taken_ts IS NOT NULL)
+SELECT filename AS rel_path, CASE WHEN t.size IS NULL THEN 'copy' WHEN p.size = t.size AND abs(taken_ts - t.mtime) <= 2 THEN 'equal' WHEN t.mtime > taken_ts + 2 THEN 'keep' ELSE 'copy' END AS action
+FROM photos p LEFT JOIN t ON t.rel_path = filename WHERE taken_ts IS NOT NULL"""
+)
+def k10_backup_plan(lib: Library) -> DataFrame:
+    k = F.col("id")
+    files = lib.photos.where(F.col("taken_ts").isNotNull()).select("id", F.col("filename").alias("rel_path"), "size", F.col("taken_ts").alias("mtime"))
+    shift = F.when(k % 5 == 0, 9).when(k % 5 == 1, -9).otherwise(1)
+    target = files.where(k % 4 != 0).select("rel_path", F.when(k % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), (F.col("mtime") + shift).alias("mtime"))
+    return export.backup_plan(files, target)
+
+
+@query("SELECT id, CASE WHEN id % 3 <> 0 THEN taken_ts - (id % 13 - 6) * 3600 ELSE taken_ts END AS utc FROM visible")
+def j10_utc(lib: Library) -> DataFrame:
+    offset = F.when(F.col("id") % 3 != 0, (F.col("id") % 13 - 6) * 60)
+    return visible(lib.photos).select("id", export.utc_of(F.col("taken_ts"), offset).alias("utc"))
+
+
+@query()
+def k8_xmp_export(lib: Library) -> DataFrame:
+    names = lib.faces.join(lib.persons.where(F.col("name").isNotNull()), F.col("person_id") == F.col("id")).groupBy("photo_id").agg(F.array_sort(F.collect_set("name")).alias("people"))  # one photo's names
+    rows = visible(lib.photos).join(names, F.col("id") == F.col("photo_id"), "left").withColumn("keywords", F.array("camera_model")).withColumn("description", F.lit(None).cast("string"))
+    return export.xmp_sidecars(rows)

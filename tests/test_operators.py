@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contactsheet.functions import text
 from contactsheet.functions import vectors as vx
 from contactsheet.operators import clustering, duplicates, keywords, library, maintenance, neighbours, places, predicates, segments
-from contactsheet.sources import evidence, listing
+from contactsheet.sources import evidence, export, listing
 from contactsheet.streaming import incremental
 
 
@@ -316,3 +316,20 @@ def test_listings_fold_into_versions(spark, tmp_path):
     last = sorted(p.name for p in (tmp_path / "table").iterdir())[-1]
     found = {r.rel_path: r["size"] for r in spark.read.parquet(str(tmp_path / "table" / last)).collect()}
     assert found == {"a": 2, "b": 1, "c": 1}
+
+
+def test_sidecars_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "a.jpg", 4, ["sea & sun"], ["Ana"], "<hi>"), ("", "b.jpg", 0, None, None, None)], "folder string, filename string, rating int, keywords array<string>, people array<string>, description string")
+    made = {r.path: r.xml for r in export.xmp_sidecars(rows).collect()}
+    assert set(made) == {"f/a.jpg.xmp"}
+    (tmp_path / "a.xmp").write_text(made["f/a.jpg.xmp"])
+    x = evidence.read_xmp(spark, str(tmp_path)).collect()[0]
+    assert (x.rating, x.description, x.people) == (4, "<hi>", ["Ana"])
+
+
+def test_audit_and_utc(spark):
+    rows = spark.createDataFrame([(1, 5)], "id long, rating int")
+    assert [tuple(r) for r in export.audit_rows(rows, "rate", "photo", "id", "me").collect()] == [("rate", "photo", 1, '{"id":1,"rating":5}', "me")]
+    noon = F.lit(43_200.0)
+    assert one(spark, export.utc_of(noon, F.lit(None).cast("int"), "Asia/Kolkata")) == 43_200 - 19_800
+    assert one(spark, export.utc_of(noon, F.lit(-60))) == 46_800
