@@ -1,40 +1,23 @@
-"""Helpers the operators of this subpackage share: the shared folder, materialised tables, small column expressions."""
+"""Helpers the operators of this subpackage share: parts of batches, small column expressions, usable vectors."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactsheet.storage import materialise, shared_dir, shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+__all__ = ["crc_mod", "materialise", "shared_dir", "shared_path", "shuffle_partitions", "slices", "usable_vectors"]
 
-    Only a local session without that setting (tests) gets a temporary folder; on a cluster a missing setting is an
-    error, because a machine's own folder would not be visible to the other machines.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no earlier call returned."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows, so that what a task makes of long texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def crc_mod(column: str, mod: int) -> Column:

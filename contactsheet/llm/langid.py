@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contactsheet.llm._common import slices
+
 #: N-grams of a profile, and of a document that are compared to it.
 PROFILE = 400
 
@@ -138,7 +140,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", lan
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{lang_as}` string", f"`{score_as}` double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [profiles.predict(text.as_py()) for text in batch.column(at)]
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, lang_as, score_as])

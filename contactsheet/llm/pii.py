@@ -16,6 +16,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from contactsheet.llm._common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -206,7 +208,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(id_col, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[dict(zip(("kind", "start", "end", "plain"), x, strict=True)) for x in find(text.as_py())] for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], [id_col, "spans"])
 
@@ -218,7 +220,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(batch.columns)
             columns[at] = pa.array([redact_text(text.as_py()) for text in columns[at]], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)

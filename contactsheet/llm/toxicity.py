@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm._common import materialise
+from contactsheet.llm._common import materialise, slices
 from contactsheet.llm.labelled import held_out, sample
 
 PER_CLASS = 2_500  #: labelled documents of either label, in expectation, that serve as examples
@@ -214,7 +214,7 @@ def vectors(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     rows = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [sorted(vocabulary.vector(text.as_py()).items()) for text in batch.column(1)]
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[t for t, _ in x] for x in found], kind), pa.array([[n for _, n in x] for x in found], kind)], [id_col, "held_out", "terms", "counts"])
@@ -288,7 +288,7 @@ def judge(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: st
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{flag_as}` int"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             flags = [int(model.score(model.vocabulary.vector(text.as_py()))[0] >= threshold) for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.int32())], [*keep, flag_as])
 
