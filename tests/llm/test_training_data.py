@@ -204,7 +204,7 @@ def test_plain_spans_match_the_patterns():
     for _ in range(3000):
         text = "".join(r.choice(alphabet, r.integers(0, 40)))
         assert pii.find_plain(text) == base_spans(text), text
-    for text in ("a@b.c@d.e", "x@@y.z", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.255", "4111 1111 1111 1111", "+1 (415) 555-0199.", "é4111111111111111é", "a" * 200_000, "1." * 50_000):
+    for text in ("a@b.c@d.e", "x@@y.z", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.255", "4111 1111 1111 1111", "+1 (415) 555-0199.", "é4111111111111111é", "a" * 20_000, "1." * 20_000):
         assert pii.find_plain(text) == base_spans(text)
 
 
