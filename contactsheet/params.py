@@ -10,6 +10,8 @@ TAGS_PER_PHOTO = 12
 PHASH_NEAR, DHASH_NEAR, PHASH_LIKELY = 6, 10, 16
 SEM_NEAR, SEM_LIKELY, SEM_SIMILAR, SEM_SYNTHETIC = 0.985, 0.955, 0.93, 0.995
 PHASH_SYNTHETIC, DHASH_SYNTHETIC, BURST_SECONDS, MAX_BUCKET = 2, 4, 180.0, 400
+# The reference skips buckets of more than MAX_BUCKET rows; here that is an option. Hashes of a bucket that meet in one cell.
+BAND_CELL = 1000
 KIND_RANK = {"exact": 3, "near": 2, "likely": 1, "similar": 0}
 ORIGIN_RANK = {"camera": 4, "phone": 4, "scan": 3, "edited": 2, "download": 1, "whatsapp": 0, "screenshot": -1}
 

@@ -65,7 +65,7 @@ SELECT node, min(other) AS root FROM r GROUP BY 1""",
     recursive=True,
 )
 def g5_components(lib: Library) -> DataFrame:
-    return duplicates.components(duplicates.band_pairs(_hashed(lib)).select("a", "b"))
+    return duplicates.components(duplicates.band_links(_hashed(lib)))
 
 
 _PAIRS = """, p AS (SELECT a.id AS a, b.id AS b, (a.id * 7 + b.id) % 20 AS ph, (a.id + b.id) % 12 AS dh, CASE WHEN a.id % 3 <> 0 THEN 0.92 + (a.id % 80) / 1000.0 END::DOUBLE AS sem,

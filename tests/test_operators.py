@@ -155,6 +155,21 @@ def test_hashes_and_boxes(spark):
     assert duplicates.band_pairs(rows, max_bucket=2).where("a = 1 and b = 2").count() == 1
 
 
+def test_large_buckets_are_compared_whole(spark):
+    r = np.random.default_rng(5)
+    hashes = [7] * 500 + [int(x) << 16 | 7 for x in r.integers(0, 1 << 10, 300)] + [int(x) << 16 | 9 for x in r.integers(0, 1 << 47, 450)]
+    rows = spark.createDataFrame(list(enumerate(hashes)), "id long, phash long")
+    band = lambda h, i: h >> 16 * i & 0xFFFF
+    near = lambda x, y: (x ^ y).bit_count() <= 16 and any(band(x, i) == band(y, i) for i in range(4))
+    wanted = {(a, b, (x ^ hashes[b]).bit_count()) for a, x in enumerate(hashes) for b in range(a + 1, len(hashes)) if near(x, hashes[b])}
+    found = [(x.a, x.b, x.bits) for x in duplicates.band_pairs(rows, cell=40).collect()]
+    assert set(found) == wanted and len(found) == len(wanted)
+    roots = lambda edges: {x.node: x.root for x in duplicates.components(edges).collect()}
+    assert roots(duplicates.band_links(rows, cell=40)) == roots(spark.createDataFrame([x[:2] for x in wanted], "a long, b long"))
+    assert duplicates.band_links(rows).where("a = 0 and b < 500").count() == 499
+    assert duplicates.band_pairs(rows, max_bucket=400).where("b < 500").count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (100, 100)], "a long, b long")
     found = {r.node: r.root for r in duplicates.components(edges).collect()}
