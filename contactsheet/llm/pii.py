@@ -158,8 +158,8 @@ _HINT = re.compile(rf"[\[({{<]\s?(?:at|@|dot|\.)\s?[\])}}>]|dot\s|{_DIGIT_WORD}[
 def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, plain) in code points, by kind as in ``KINDS``, then start; a null text has none.
 
-    All plain matches stay; a disguised one is added where it overlaps none of them and no earlier disguised one of its
-    kind.
+    All plain matches stay; a disguised one is added where it is not a plain one of its kind or inside one, and overlaps
+    no earlier disguised one of its kind. One that is disguised in part so stands beside its plain fragment.
     """
     if not text:
         return []
@@ -169,16 +169,17 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     clear = glyphs.text if glyphs else text
     words = Rewritten(clear, edits) if _HINT.search(clear.lower()) and (edits := _word_edits(clear)) else None
     if glyphs or words:
-        taken = sorted((s, e) for _, s, e in plain)
-        starts, ends = [s for s, _ in taken], []
-        for _, e in taken:
-            ends.append(max(e, ends[-1]) if ends else e)
+        taken: dict[str, tuple[list[int], list[int]]] = {kind: ([], []) for kind in KINDS}
+        for kind, start, end in plain:
+            taken[kind][0].append(start)
+            taken[kind][1].append(end)
         last = dict.fromkeys(KINDS, 0)
         for kind, start, end in find_plain((words or glyphs).text):
             for step in (words, glyphs):
                 start, end = step.source(start, end) if step else (start, end)
-            before = bisect_right(starts, end - 1)
-            if (before and ends[before - 1] > start) or start < last[kind]:
+            starts, ends = taken[kind]
+            before = bisect_right(starts, start)
+            if (before and ends[before - 1] >= end) or start < last[kind]:
                 continue
             last[kind] = end
             found.append((kind, start, end, False))

@@ -226,6 +226,24 @@ def test_disguised_spans_map_back(text, kind, part):
     assert pii.redact_text(text) == text.replace(part, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(
+    ("part", "kind", "fragment"),
+    [
+        ("jоhn@mail.com", "email", "hn@mail.com"),
+        ("john@mail.cоm", "email", "john@mail.c"),
+        ("john@mail (dot) example.com", "email", None),
+        ("192.168.1.1０", "ip", "192.168.1.1"),
+        ("+44 20 7946 0９58", "phone", "+44 20 7946 0"),
+        ("+44 20 7946 09 five eight", "phone", "+44 20 7946 09"),
+    ],
+)
+def test_partly_disguised_spans_are_whole(part, kind, fragment):
+    text = f"x {part}, y a@b.co"
+    found = {(k, text[s:e], p) for k, s, e, p in pii.find(text)}
+    assert found == {(kind, part, False), ("email", "a@b.co", True)} | ({(kind, fragment, True)} if fragment else set())
+    assert pii.redact_text(text) == f"x [{kind.upper()}], y [EMAIL]"
+
+
 def test_prose_is_left_alone():
     for text in ("look at the dot product of one two", "we met at noon at home", "ten to one, two to four", "Straße à São Paulo"):
         assert pii.find(text) == []
