@@ -36,6 +36,7 @@ PUNCTUATION = {"。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−"
 # Spelled digits, and endings that a domain written with bare "at" and "dot" must have.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "us", "de", "fr", "es", "eu", "ch", "at", "it", "nl")
+DETERMINERS = ("the", "a", "an", "this", "that", "each", "every", "any", "some", "no", "one", "my", "your", "his", "her", "its", "our", "their", "which", "what")
 
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
 _SPELLED_RUN = re.compile(rf"(?i)\b(?:plus[\s-]+)?{_DIGIT_WORD}(?:[\s-]+(?:{_DIGIT_WORD}|dot|point))*[\s-]+{_DIGIT_WORD}\b")
@@ -45,6 +46,12 @@ _AT_SIGN = re.compile(rf"(?i){_OPEN}(?:at|@){_CLOSE}")
 _DOT_SIGN = re.compile(rf"(?i){_OPEN}(?:dot|\.){_CLOSE}")
 _DOT = rf"(?:\s+dot\s+|{_OPEN}(?:dot|\.){_CLOSE}|\.)"
 _BARE = re.compile(rf"(?i)(?:(?<=[A-Za-z0-9])\s+at\s+|{_OPEN}(?:at|@){_CLOSE}|@)(?:[a-z0-9-]{{1,63}}{_DOT}){{1,4}}(?:{'|'.join(ENDINGS)})\b")
+# Both signs spelled out: any ending of letters; "at the dot" speaks of a dot.
+_SPELLED_OUT = re.compile(
+    rf"(?i)(?:(?<=[A-Za-z0-9])\s+at\s+|{_OPEN}at{_CLOSE})(?!(?:{'|'.join(DETERMINERS)})\s+dot\b)"
+    rf"(?:[a-z0-9-]{{1,63}}{_DOT}){{0,3}}[a-z0-9-]{{1,63}}(?:\s+dot\s+|{_OPEN}dot{_CLOSE})[a-z]{{2,63}}\b"
+)
+_DIGIT_DOT = re.compile(r"(?i)(?<=[0-9])\s+dot\s+(?=[0-9])")
 _BARE_SIGN = re.compile(rf"(?i)\s+at\s+|\s+dot\s+|{_OPEN}(?:at|@|dot|\.){_CLOSE}")
 
 
@@ -125,9 +132,9 @@ class Rewritten:
 
 
 def _spelled(match: re.Match[str]) -> str:
-    """The digits, dots and plus sign a run of words spells."""
+    """The digits, dots and plus sign a run of words spells; to a pattern without case, ı and İ are an i."""
     signs = {"dot": ".", "point": ".", "plus": "+"}
-    return "".join(SPELLED.get(w) or signs[w] for w in map(str.lower, _WORD.findall(match[0])))
+    return "".join(SPELLED.get(w) or signs[w] for w in map(str.lower, _WORD.findall(match[0].translate({0x130: "i", 0x131: "i"}))))
 
 
 def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
@@ -141,8 +148,8 @@ def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
 
 def _word_edits(text: str) -> list[tuple[int, int, str]]:
     edits = [(*m.span(), _spelled(m)) for m in _SPELLED_RUN.finditer(text)]
-    edits += [(*m.span(), "@") for m in _AT_SIGN.finditer(text)] + [(*m.span(), ".") for m in _DOT_SIGN.finditer(text)]
-    for m in _BARE.finditer(text):
+    edits += [(*m.span(), "@") for m in _AT_SIGN.finditer(text)] + [(*m.span(), ".") for p in (_DOT_SIGN, _DIGIT_DOT) for m in p.finditer(text)]
+    for m in (m for p in (_BARE, _SPELLED_OUT) for m in p.finditer(text)):
         edits += [(*s.span(), "@" if "at" in s[0].lower() or "@" in s[0] else ".") for s in _BARE_SIGN.finditer(text, *m.span())]
     out: list[tuple[int, int, str]] = []
     for edit in sorted(set(edits)):
@@ -151,8 +158,10 @@ def _word_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-# What any rewriting of words needs; read on the lower-case text, where the first letters alone decide fast.
-_HINT = re.compile(rf"[\[({{<]\s?(?:at|@|dot|\.)\s?[\])}}>]|dot\s|{_DIGIT_WORD}[\s-]+(?:{_DIGIT_WORD}|dot|point)")
+# What any rewriting of words needs, one part for each: a bracketed sign; a bare "dot"; a bare "at" whose host has plain
+# dots only; two spelled digits; letters that a pattern without case takes for others. It may hold where no rule does,
+# never the other way round; read on the lower-case text, where the first letters alone decide fast.
+_HINT = re.compile(rf"[\[({{<]\s?(?:at|@|dot|\.)\s?[\])}}>]|dot\s|at\s+[a-z0-9-]{{1,63}}\.[a-z0-9-]|{_DIGIT_WORD}[\s-]+(?:{_DIGIT_WORD}|dot|point)|[ı\u0307]")
 
 
 def find(text: str | None) -> list[tuple[str, int, int, bool]]:

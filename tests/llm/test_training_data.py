@@ -226,6 +226,32 @@ def test_disguised_spans_map_back(text, kind, part):
     assert pii.redact_text(text) == text.replace(part, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(
+    ("part", "kind"),
+    [
+        ("jane.doe at example.com", "email"),
+        ("jane.doe at mail.example.co.uk", "email"),
+        ("10 dot 0 dot 0 dot 1", "ip"),
+        *[(f"jane at corp dot example dot {x}", "email") for x in ("dev", "jp", "ru", "pl", "ai")],
+        ("jane at example (dot) dev", "email"),
+    ],
+)
+def test_bare_disguises_are_found_alone(part, kind):
+    for text in (part, f"write {part} soon", f"write {part}, dot it"):
+        start = text.index(part)
+        assert pii.find(text) == [(kind, start, start + len(part), False)], text
+
+
+def test_hint_never_rejects_what_rules_rewrite():
+    r = np.random.default_rng(11)
+    parts = ["at", "AT", "@", "dot", "Dot", "point", "(at)", "[ at ]", "( dot )", "<.>", "example.com", "x", "one", "fıve", "SİX", "oh", "plus", "7", "dev", "the", "ſix"]
+    gaps = [" ", "", "  ", ".", "-", "\n"]
+    for _ in range(20_000):
+        text = "".join(str(r.choice(parts)) + str(r.choice(gaps, p=[0.6, 0.1, 0.1, 0.1, 0.05, 0.05])) for _ in range(r.integers(2, 9)))
+        text = (pii.Rewritten(text, edits).text if (edits := pii._glyph_edits(text)) else text)
+        assert not pii._word_edits(text) or pii._HINT.search(text.lower()), text
+
+
 @pytest.mark.parametrize(
     ("part", "kind", "fragment"),
     [
