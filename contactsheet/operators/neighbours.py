@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from contactsheet.params import DIVERSIFY, DIVERSIFY_LAST, TAG_STORED, TAGS_PER_PHOTO, VISUAL_HEAD, VISUAL_MAX, VISUAL_MIN, VISUAL_SIGMA
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
+def unit(rows: pd.Series) -> np.ndarray:
+    """The vectors as rows of length 1."""
     m = np.stack(rows.to_numpy()).astype(np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1), 1e-8)[:, None]
 
@@ -35,7 +36,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, *, least: float | None = No
         if not len(a) or not len(b):
             return empty
         ids, own = b["id"].to_numpy(), a["query_id"].to_numpy()
-        sims = np.round(_unit(a["q"]) @ _unit(b["vec"]).T, 6)
+        sims = np.round(unit(a["q"]) @ unit(b["vec"]).T, 6)
         sims[ids[None, :] == own[:, None]] = -np.inf
         if least is not None:
             sims[sims < least] = -np.inf
@@ -93,7 +94,7 @@ def diversify(ranked: DataFrame, limit: int, *, cut: float = DIVERSIFY, last: in
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rank")
-        vectors, kept = _unit(frame["vec"]), []
+        vectors, kept = unit(frame["vec"]), []
         for i in range(len(frame)):
             if not any(vectors[i] @ vectors[j] > cut for j in kept[-last:]):
                 kept.append(i)

@@ -191,7 +191,7 @@ def j23_attach(lib: Library) -> DataFrame:
 
 @query()
 def j24_merge_candidates(lib: Library) -> DataFrame:
-    return clustering.merge_candidates(_vectors(lib).select("vec", (F.col("label") * 10 + F.col("id") % 10).cast("long").alias("owner")), least=0.1)
+    return clustering.merge_candidates(_vectors(lib).select("id", "vec", (F.col("label") * 10 + F.col("id") % 10).cast("long").alias("owner")), least=0.1)
 
 
 @query()

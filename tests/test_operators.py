@@ -204,6 +204,24 @@ def test_merging_clusters(spark):
     assert {(r.a, r.b) for r in clustering.undismissed(pairs, said, 9).collect()} == {(10, 13), (11, 13)}
 
 
+def test_merge_candidates_go_by_members(spark):
+    r = np.random.default_rng(8)
+    data = [(i, (r.standard_normal(6) + 1.5 * np.eye(6)[i % 7 % 6]).tolist(), i % 7) for i in range(200)]
+    rows = spark.createDataFrame(data, "id long, vec array<double>, owner long")
+    centres = {o: np.mean([v for _, v, w in data if w == o], axis=0) for o in range(7)}
+    cosine = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    wanted, below = {}, 0
+    for a in range(7):
+        for b in range(a + 1, 7):
+            score = float(np.mean(sorted(cosine(x, y) for _, x, o in data if o == a for _, y, w in data if w == b)[-3:]))
+            if cosine(centres[a], centres[b]) >= 0.3 and score >= 0.93:
+                wanted[a, b] = round(score, 6)
+                below += cosine(centres[a], centres[b]) < 0.93
+    assert wanted and below
+    found = {(x.a, x.b): x.cosine for x in clustering.merge_candidates(rows, least=0.93, gate=0.63, block=9).collect()}
+    assert found == pytest.approx(wanted, abs=2e-6)
+
+
 def test_nearest_within_matches_brute_force(spark):
     r = np.random.default_rng(2)
     points = [(i, float(r.uniform(-90, 90)), float(r.uniform(-180, 180))) for i in range(150)] + [(500, 89.9, 10.0), (501, 0.0, 179.99), (502, None, 1.0)]
