@@ -105,7 +105,9 @@ def g13_classify(lib: Library) -> DataFrame:
 
 @query()
 def g6_groups(lib: Library) -> DataFrame:
-    return duplicates.groups(_classified(lib))
+    # Copies of equal content are exact wherever they lie; only their links to the first are needed for groups.
+    exact = duplicates.exact_links(lib.photos).withColumn("kind", F.lit("exact"))
+    return duplicates.groups(_classified(lib).unionAll(exact))
 
 
 @query(

@@ -48,3 +48,14 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["month", "n", "cover_id", "first_ts", "last_ts"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_groups_hold_all_copies(spark, db):
+    found = {}
+    for r in plans.queries()["g6_groups"](spark, SF).where("kind = 'exact'").collect():
+        found.setdefault(r.root, set()).add(r.id)
+    photos = plans.similarity.Library(spark, SF).photos.select("sha256", "id").collect()
+    copies = {}
+    for r in photos:
+        copies.setdefault(r.sha256, set()).add(r.id)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in copies.values() if len(v) > 1)
