@@ -1,51 +1,31 @@
-"""Word shingles of a text as sorted 64-bit hashes, computed on whole arrays."""
+"""Word shingles of a text as sorted 64-bit hashes.
+
+A word's hash is XXH3 over its bytes; shingles combine the hashes of their words on whole arrays.
+"""
 
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 WORDS = 5
 
-_P = 0x9E3779B97F4A7C15
-_INVERSE = pow(_P, -1, 1 << 64)
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = {p: np.ones(1, np.uint64) for p in (_P, _INVERSE)}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64; kept and doubled when a longer text comes."""
-    kept = _powers[base]
-    with np.errstate(over="ignore"):
-        while len(kept) < n:
-            kept = np.concatenate([kept, kept * np.uint64(pow(base, len(kept), 1 << 64))])
-    _powers[base] = kept
-    return kept[:n]
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    """The finaliser of a 64-bit hash: every bit of the result depends on all bits."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash of each word (a run without blanks and the control characters 9 to 13), with A-Z lower-cased."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    if not len(edges):
-        return np.zeros(0, np.uint64)
-    start, end = edges[0::2], edges[1::2]
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_FOLD[raw] + np.uint64(1)) * _power(_P, len(raw)))])
-        value = (total[end] - total[start]) * _power(_INVERSE, len(raw))[start]
-        return _mix(value + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()  # bytes split at just these characters
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -58,7 +38,8 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     with np.errstate(over="ignore"):
         for j in range(k):
             value = value * np.uint64(0xD6E8FEB86659FD93) + hashes[j : len(hashes) - k + 1 + j]
-    return np.unique(_mix(value))
+        value = np.sort(_mix(value))
+    return value[np.concatenate([[True], value[1:] != value[:-1]])]
 
 
 def set_key(hashes: np.ndarray) -> bytes:
