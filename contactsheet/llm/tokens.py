@@ -16,12 +16,18 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+#: Fixed value: the pattern that the boundaries below are right for; texts under another pattern are encoded whole.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 #: A blank or line feed after a visible character: every alternative of the pattern ends before it or starts at it.
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
 
 #: Texts longer than this many characters are split before they are encoded.
 SPLIT_CHARS = 20_000
 
+#: White space as the pattern's library has it, in runs too long to be left to its backtracking.
+_LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
+
 #: Rows of one Arrow batch that a task hands back.
 OUT_ROWS = 1_000
 
@@ -51,13 +57,34 @@ def safe_pieces(text: str, limit: int = SPLIT_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def _matches_apart(text: str) -> Iterator[tuple[str, bool]]:
+    """``text`` in parts, each with whether it is one match of the pattern: a long run of white space.
+
+    Such a run, without its last character where a visible one follows, is one match; its front is a boundary, and what
+    is left of it begins the next match. The library's regular expression fails on runs of a million characters.
+    """
+    start = 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    yield text[start:], False
+
+
 def encode_text(text: str | None, coder: tiktoken.Encoding) -> np.ndarray:
     """The ids of a whole text as int32; a null text has none."""
     if not text:
         return np.zeros(0, np.int32)
-    if len(text) <= SPLIT_CHARS:
+    if len(text) <= SPLIT_CHARS or coder._pat_str != SPLIT_PATTERN:
         return np.array(coder.encode_ordinary(text), np.int32)
-    return np.concatenate([np.array(coder.encode_ordinary(piece), np.int32) for piece in safe_pieces(text)])
+    ids = []
+    for part, one_match in _matches_apart(text):
+        if one_match:
+            ids.append(coder._core_bpe.encode_single_piece(part.encode()))
+        else:
+            ids.extend(map(coder.encode_ordinary, safe_pieces(part)))
+    return np.concatenate([np.array(x, np.int32) for x in ids])
 
 
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:

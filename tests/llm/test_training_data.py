@@ -55,6 +55,44 @@ def test_packing_ids_are_the_tokenizers():
         assert packing.text_ids(text, JSON, RANKS, PATTERN).tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+RUNS = [a + c * n + b for c, n in ((" ", 2_000_000), ("\t", 2_000_000), ("\n", 2_000_000), (" \n\u3000", 700_000)) for a, b in (("", ""), ("word", "word"), ("two words", " 7"))]
+
+
+def test_long_white_space_has_the_ids_of_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(JSON)
+    coder = tokens.encoder(RANKS, PATTERN)
+    for text in RUNS:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert tokens.encode_text(text, coder).tolist() == want == packing.text_ids(text, JSON, RANKS, PATTERN).tolist()
+        assert coder.decode_bytes(want).decode() == text
+
+
+def test_ids_are_the_tokenizers_on_random_text():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(JSON)
+    coder = tokens.encoder(RANKS, PATTERN)
+    r = np.random.default_rng(11)
+    pools = ["ab'stdmrevl  \n\t ", "aé日😀\x1c\x85\xa0\u2003\u3000 1٣.!", " \t\n\r\x0b\x0c\u2028x", "".join(map(chr, range(33, 0x3000)))]
+    for n in range(1500):
+        pool = pools[n % 4]
+        text = "".join(pool[i] for i in r.integers(len(pool), size=r.integers(1, 60)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert packing.text_ids(text, JSON, RANKS, PATTERN).tolist() == want
+        # The same text among long runs, where encoding splits it.
+        long = text + " " * 6000 + text + "\n" * 21_000 + text
+        assert tokens.encode_text(long, coder).tolist() == coder.encode_ordinary(long)
+
+
+def test_long_blanks_in_spark(spark):
+    docs = rows(spark, [RUNS[1], "short", RUNS[7]])
+    found = {r.doc_id: r.n for r in tokens.encode(docs, RANKS, PATTERN).select("doc_id", F.size("ids").alias("n")).collect()}
+    pieces = packing.pack(docs, JSON, RANKS, PATTERN).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n - 1 for r in pieces} == found
+
+
 def check_packing(pieces, docs, capacity):
     by_doc, by_sequence = {}, {}
     for r in pieces:
