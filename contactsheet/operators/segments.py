@@ -49,7 +49,7 @@ def merge_sessions(segments: DataFrame, key: str, *, cap_hours: float = SAME_DAY
         for frame in frames:
             out = []
             for k, segment, start, stop, what in zip(frame[key], frame["segment"], frame["start_ts"], frame["end_ts"], frame["top"], strict=True):
-                if k != now:
+                if k != now and not (pd.isna(k) and pd.isna(now)) or event is None:
                     now, event, end, top = k, 0, stop, what
                 else:
                     gap = (start - end) / 3600
@@ -77,10 +77,10 @@ def bursts(rows: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, eli
 def inherit_nearest(rows: DataFrame, key: str, ts: str, tie: str, value: str, *, within: float = ASOF_SECONDS) -> DataFrame:
     """Rows without ``value`` take it from the one before, else the one after, of the same key within ``within``
     seconds (the first that fits, not the nearer): ``rows`` with ``inherited``."""
-    own = Window.partitionBy(key).orderBy(ts, tie)
     anchor = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))
-    before = F.last(anchor, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(anchor, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    latest = F.last(anchor, ignorenulls=True)  # growing frames in both directions: one pass each, whatever the key's size
+    before = latest.over(Window.partitionBy(key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1))
+    after = latest.over(Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, -1))
     found = rows.withColumn("__b", before).withColumn("__a", after)
     fits = lambda c: F.when(F.abs(F.col(ts) - F.col(f"{c}.t")) <= within, F.col(f"{c}.v"))
     return found.withColumn("inherited", F.coalesce(F.col(value), fits("__b"), fits("__a"))).drop("__b", "__a")
@@ -90,9 +90,10 @@ def interpolate(points: DataFrame, asked: DataFrame, key: str, ts: str, *, withi
     """The position between the track points before and after each asked time, both within ``within`` seconds;
     at a track's ends the one there is. ``points`` (key, ts, x), ``asked`` (key, ts, id): (id, x), rounded to 7."""
     both = points.select(key, ts, F.col("x"), F.lit(None).cast(asked.schema["id"].dataType).alias("id")).unionAll(asked.select(key, ts, F.lit(None).cast("double").alias("x"), "id"))
-    own = Window.partitionBy(key).orderBy(ts, F.col("x").isNull())
-    point = F.when(F.col("x").isNotNull(), F.struct(F.col(ts).alias("t"), F.col("x").alias("v")))
-    rows = both.withColumn("b", F.last(point, True).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first(point, True).over(own.rowsBetween(0, Window.unboundedFollowing))).where(F.col("x").isNull())
+    no_point = F.col("x").isNull()
+    point = F.when(~no_point, F.struct(F.col(ts).alias("t"), F.col("x").alias("v")))
+    latest = lambda *order: F.last(point, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("b", latest(F.col(ts), no_point)).withColumn("a", latest(F.col(ts).desc(), no_point.desc())).where(no_point)
     before, after = F.col(ts) - F.col("b.t"), F.col("a.t") - F.col(ts)
     between = F.col("b.v") + (F.col("a.v") - F.col("b.v")) * before / F.nullif(before + after, F.lit(0.0))
     value = (

@@ -366,3 +366,18 @@ def test_audit_and_utc(spark):
     noon = F.lit(43_200.0)
     assert one(spark, export.utc_of(noon, F.lit(None).cast("int"), "Asia/Kolkata")) == 43_200 - 19_800
     assert one(spark, export.utc_of(noon, F.lit(-60))) == 46_800
+
+
+def test_as_of_joins_of_one_large_key(spark):
+    n = 300_000
+    stream = spark.range(n).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("ts"), "id")
+    last = segments.inherit_nearest(stream.withColumn("v", F.when(F.col("id") == n - 1, 5.0)), "k", "ts", "id", "v", within=10.0)
+    assert last.where("inherited = 5").count() == 11
+    points = stream.where(F.col("id").isin(0, n - 1)).select("k", "ts", F.col("id").cast("double").alias("x"))
+    found = segments.interpolate(points, stream.select("k", "ts", "id"), "k", "ts", within=1e9)
+    assert found.where(F.abs(F.col("x") - F.col("id")) < 1e-6).count() == n
+
+
+def test_merge_fold_of_a_null_key(spark):
+    rows = spark.createDataFrame([(None, i, i * 3600.0, i * 3600.0 + 60, "a") for i in range(3)], "k long, segment long, start_ts double, end_ts double, top string")
+    assert [r.event for r in segments.merge_sessions(rows, "k").orderBy("segment").collect()] == [0, 0, 0]
