@@ -18,7 +18,7 @@ from contactsheet.llm.labelled import held_out, sample
 
 PASSAGE = 512  #: characters of a passage
 FIT_DOCUMENTS = 2_500  #: labelled documents of either label, in expectation, that the model is fitted on
-FIT_PASSAGES = 100  #: longer documents take no part in fitting (they are scored like all others)
+FIT_PASSAGES = 64  #: of a longer document of the sample, so many passages, evenly spread over it, are fitted on (scores use all)
 
 # Classes of characters: lower, upper, other letter, digit, blank, line end, full stop, comma, other marks, symbols.
 CLASSES = 12
@@ -76,6 +76,11 @@ def passages(text: str | None) -> np.ndarray:
     return out
 
 
+def spread(bag: np.ndarray, most: int) -> np.ndarray:
+    """``most`` rows of a bag from its first to its last in even steps; the whole bag if it has no more."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
+
+
 class Model:
     """Encoder, gated attention and scorer; ``parts`` are its arrays."""
 
@@ -130,8 +135,10 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, epoc
     if len(set(labels.tolist())) < 2:
         p["wo"][:], p["bo"][:] = 0, np.log(real / (1 - real))
         return model
-    every = np.concatenate(bags).astype(np.float64)
-    p["mean"], p["scale"] = every.mean(axis=0), 1 / np.maximum(every.std(axis=0), 1e-2)
+    # Bag by bag, so that the sample is never held a second time in double precision.
+    count = sum(map(len, bags))
+    p["mean"] = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / count
+    p["scale"] = 1 / np.maximum(np.sqrt(sum(((b - p["mean"]) ** 2).sum(axis=0) for b in bags) / count), 1e-2)
     share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) * len(labels)
     random = np.random.default_rng(seed)
     m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
@@ -152,16 +159,17 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, epoc
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", per_class: int = FIT_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of a bounded sample of labelled, not held-out documents (see ``FIT_DOCUMENTS``, ``FIT_PASSAGES``).
+def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", per_class: int = FIT_DOCUMENTS, fit_passages: int = FIT_PASSAGES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of a bounded sample of labelled, not held-out documents, of any length.
 
-    Passages are encoded in the tasks; the driver receives the sample's encodings, whose size the two bounds limit.
+    Passages of whole texts are encoded in the tasks; the driver receives ``fit_passages`` a document at most, so about
+    2 * ``per_class`` * ``fit_passages`` * FEATURES half-precision numbers (97 MB with the given values).
     """
-    few = sample(docs, labels, label_col, per_class, id_col=id_col, text_col=text_col).where(F.length("text") <= FIT_PASSAGES * PASSAGE)
+    few = sample(docs, labels, label_col, per_class, id_col=id_col, text_col=text_col)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [passages(text.as_py()).astype(np.float16).tobytes() for text in batch.column(1)]
+            bags = [spread(passages(text.as_py()), fit_passages).astype(np.float16).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "bag", "label", "weight"])
 
     id_type = few.schema["doc_id"].dataType.simpleString()
