@@ -23,6 +23,9 @@ PROFILE = 400
 #: Documents of a language, in expectation, that its profile is learned from.
 FIT_DOCUMENTS = 2_000
 
+#: Most languages that profiles are learned for: what the driver holds is PROFILE keys of each.
+MOST_LANGUAGES = 10_000
+
 UNKNOWN = "und"
 
 _SPACE = 32
@@ -98,17 +101,21 @@ class Profiles:
         return self.langs[best], float(1 - far[best] / (self.size * len(own)))
 
 
-def learn(docs: DataFrame, train: Column, *, lang_col: str = "lang", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS, size: int = PROFILE) -> Profiles:
+def learn(docs: DataFrame, train: Column, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS, size: int = PROFILE) -> Profiles:
     """Profiles of the languages of the rows where ``train`` holds and language and text are given.
 
-    Of a language with more than ``fit_documents`` rows, a share of its rows chosen by a hash of the text is used, so
-    that many are expected. N-grams are counted in the tasks; the driver receives ``size`` keys a language.
+    Of a language with more than ``fit_documents`` rows, a share chosen by a hash of id and text is used, so that many
+    are expected; of one that this would leave without a row (rows that all repeat each other), those of the least hash.
+    N-grams are counted in the tasks; the driver receives ``size`` keys a language. A table with more than
+    ``MOST_LANGUAGES`` values of ``lang_col`` is refused.
     """
-    rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.lit(float(fit_documents)) / F.col("n")
-    fit = rows.join(F.broadcast(sizes) if sizes.limit(1001).count() <= 1000 else sizes, "lang")
-    fit = fit.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)).alias("chance")
+    rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), chance)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("chance").alias("least"))
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
+    bound = F.greatest(F.lit(float(fit_documents)) / F.col("n") * 1_000_000, F.col("least") + 1)
+    fit = rows.join(F.broadcast(sizes), "lang").where(F.col("chance") < bound).select("lang", "text")  # at most ``MOST_LANGUAGES`` rows
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

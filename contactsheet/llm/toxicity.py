@@ -22,8 +22,7 @@ from contactsheet.llm._common import materialise, slices
 from contactsheet.llm.labelled import held_out, sample
 
 PER_CLASS = 2_500  #: labelled documents of either label, in expectation, that serve as examples
-TERMS = 1_000  #: terms of the vocabulary
-SURE = 12.0  #: least log-likelihood ratio of a term with the label
+SURE = 12.0  #: least log-likelihood ratio of a term with the label; whatever reaches it is a term
 NEIGHBOURS = 15
 DENSITIES = 20
 BLOCK = 32  #: examples of a block of the index
@@ -53,12 +52,14 @@ class Vocabulary:
         self.terms = terms
         self.number = {t: i for i, t in enumerate(terms)}
         self.size = len(terms) + DENSITIES
+        self._openings = {t[1:4] for t in terms if t[0] == "^"} | {t[:3] for t in terms if t[0] != "^"}
 
     def vector(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        number, total, hits = self.number, 0, 0
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            total += n
+        number, openings, hits = self.number, self._openings, 0
+        words = _WORD.findall((text or "").lower())
+        total = len(words)
+        for word, n in Counter(w for w in words if w[:3] in openings).items():  # a term's word begins like the term
             held = [number[t] for t in (word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)) if t in number]
             if held:
                 hits += n
@@ -177,11 +178,11 @@ class Model:
         return float(np.clip(np.interp(raw, *self.knots), 0, 1)), docs, cosines
 
 
-def choose_terms(few: DataFrame, terms: int = TERMS) -> list[str]:
+def choose_terms(few: DataFrame) -> list[str]:
     """The terms that toxic examples hold surely more often than others, by the log-likelihood ratio of their presence.
 
     Terms of clean prose are left out: they would bring a toxic text near to clean ones in proportion to its length.
-    Documents with the same text count once. Counting is done in tasks and shuffled by term; only the chosen terms
+    The sample bounds their number; no limit is set besides. Documents with the same text count once. Counting is done in tasks and shuffled by term; only the chosen terms
     reach the driver.
     """
     texts = few.groupBy("text").agg(F.max("label").alias("label"))
@@ -206,41 +207,45 @@ def choose_terms(few: DataFrame, terms: int = TERMS) -> list[str]:
 
     ratio = 2 * (part(F.col("n1"), seen, n1) + part(F.col("n0"), seen, n0) + part(n1 - F.col("n1"), n - seen, n1) + part(n0 - F.col("n0"), n - seen, n0))
     found = found.where((F.col("n1") * float(n0) > F.col("n0") * 2.0 * n1) & (ratio >= SURE))
-    return sorted(r["term"] for r in found.orderBy(ratio.desc(), "term").limit(terms).select("term").collect())
+    return sorted(r["term"] for r in found.select("term").collect())
 
 
-def vectors(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, held_out, terms array<int>, counts array<int>): the vocabulary's terms in every whole text."""
-    rows = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
+def vectors(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
+    """(id_col, further columns of ``keep``, __terms array<int>, __counts array<int>): the vocabulary's terms in every
+    whole text."""
+    kept = list(dict.fromkeys([id_col, *keep]))
+    rows = docs.select(*kept, *([] if text_col in kept else [text_col]))
+    at = rows.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [sorted(vocabulary.vector(text.as_py()).items()) for text in batch.column(1)]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[t for t, _ in x] for x in found], kind), pa.array([[n for _, n in x] for x in found], kind)], [id_col, "held_out", "terms", "counts"])
+            found = [sorted(vocabulary.vector(text.as_py()).items()) for text in batch.column(at)]
+            lists = [pa.array([[pair[i] for pair in x] for x in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *lists], [*kept, "__terms", "__counts"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, terms array<int>, counts array<int>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(kept)])
+    return rows.mapInArrow(run, f"{schema}, __terms array<int>, __counts array<int>")
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", per_class: int = PER_CLASS, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """(model, all documents' vectors). The driver receives the chosen terms, one count a term and the bounded sample's
-    vectors; document frequencies cover all documents. Without both labels among the examples, every score is the
-    labels' share (0 without any label)."""
+def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> tuple[Model, DataFrame]:
+    """(model, all documents' vectors, with the columns of ``keep``). The driver receives the chosen terms, one count a
+    term and the bounded sample's vectors; document frequencies cover all documents. Without both labels among the
+    examples, every score is the labels' share (0 without any label)."""
     few = materialise(sample(docs, labels, label_col, per_class, id_col=id_col, text_col=text_col), "toxicity-examples")
-    vocabulary = Vocabulary(choose_terms(few, terms))
-    all_vectors = materialise(vectors(docs, vocabulary, id_col, text_col), "toxicity-vectors")
+    vocabulary = Vocabulary(choose_terms(few))
+    all_vectors = materialise(vectors(docs, vocabulary, id_col, text_col, keep), "toxicity-vectors")
     idf = np.zeros(vocabulary.size)
     n = all_vectors.count()
-    for r in all_vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():  # one row a term
+    for r in all_vectors.select(F.explode("__terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():  # one row a term
         idf[r["term"]] = np.log((1 + n) / (1 + r["df"])) + 1
     rows = vectors(few, vocabulary, "doc_id", "text").join(few.select("doc_id", "label", "weight").dropDuplicates(["doc_id"]), "doc_id").toPandas()
     model = Model(vocabulary, idf)
     if not len(rows):
         return model, all_vectors
-    rows["at"] = [tuple(x) for x in rows["terms"]]
+    rows["at"] = [tuple(x) for x in rows["__terms"]]
     rows = rows.sort_values(["at", "label", "doc_id"], ascending=[True, False, True], ignore_index=True)  # like beside like: blocks differ in their maxima
     y, mass = rows["label"].to_numpy(float), rows["weight"].to_numpy(float)
-    examples = [model.weights(dict(zip(t, c, strict=True))) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
+    examples = [model.weights(dict(zip(t, c, strict=True))) for t, c in zip(rows["__terms"], rows["__counts"], strict=True)]
     model.ids, model.labels, model.index = rows["doc_id"].tolist(), y, BlockMaxIndex(examples, vocabulary.size)
     left_out = [model.vote(t, w, i)[0] for i, (t, w) in enumerate(examples)]
     none = np.array([x is None for x in left_out])
@@ -251,45 +256,54 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", per_c
     return model, all_vectors
 
 
+class _Memo:
+    """A model's scores; texts with the same terms, as often, are scored once."""
+
+    def __init__(self, model: Model, most: int = 50_000):
+        self.model, self.most, self.known = model, most, {}
+
+    def __call__(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float]]]:
+        """(score, the three nearest examples as (number, cosine))."""
+        key = (*terms, -1, *counts) if len(terms) > 1 else tuple(terms)  # one term has the length 1 whatever its count
+        if key not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            value, docs, cosines = self.model.score(dict(zip(terms, counts, strict=True)))
+            self.known[key] = value, list(zip(docs[:3].tolist(), cosines[:3].tolist(), strict=True))
+        return self.known[key]
+
+
 def score(model: Model, all_vectors: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:
     """(id_col, held_out, score, predicted, evidence array of (doc_id, similarity, toxic)): the three nearest examples.
 
-    A null or empty text has no terms, no evidence and the score of examples without terms. A null id stays null and
-    is not held out; repeated rows are scored each.
+    ``evidence.doc_id`` has the type of ``id_col``. A null or empty text has no terms, no evidence and the score of
+    examples without terms. A null id stays null and is not held out; repeated rows are scored each.
     """
     id_type = all_vectors.schema[id_col].dataType.simpleString()
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple, tuple] = {}
+        scored = _Memo(model)
         for batch in batches:
-            scores, evidence = [], []
-            for terms, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = (*terms, -1, *counts) if len(terms) > 1 else tuple(terms)  # one term has the length 1 whatever its count
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    value, docs, cosines = model.score(dict(zip(terms, counts, strict=True)))
-                    memo[key] = value, [{"doc_id": model.ids[d], "similarity": float(c), "toxic": int(model.labels[d])} for d, c in zip(docs[:3], cosines[:3], strict=True)]
-                scores.append(memo[key][0])
-                evidence.append(memo[key][1])
+            found = [scored(t, c) for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            scores = [value for value, _ in found]
             predicted = [int(s >= threshold) for s in scores]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, kind)], [id_col, "held_out", "score", "predicted", "evidence"])
+            kind = pa.list_(pa.struct([("doc_id", batch.column(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+            evidence = pa.array([[{"doc_id": model.ids[d], "similarity": c, "toxic": int(model.labels[d])} for d, c in near] for _, near in found], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), evidence], [id_col, "held_out", "score", "predicted", "evidence"])
 
-    return all_vectors.select(id_col, "held_out", "terms", "counts").mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+    rows = all_vectors.select(id_col, held_out(id_col).alias("held_out"), "__terms", "__counts")
+    return rows.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int, evidence array<struct<doc_id:{id_type},similarity:double,toxic:int>>")
 
 
-def judge(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text", flag_as: str = "toxic_predicted") -> DataFrame:
-    """``docs`` with its columns, then ``flag_as`` int (1 if the whole text's score is ``threshold`` or more): no join,
-    no shuffle. Nulls stay; a null text scores as one without terms; a column named like the flag is replaced."""
-    keep = [c for c in docs.columns if c != flag_as]
-    rows = docs.select(*keep)
-    at = keep.index(text_col)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{flag_as}` int"])
+def clean(model: Model, all_vectors: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``all_vectors`` whose score is below ``threshold``, without their vectors: no join and no shuffle."""
+    keep = [c for c in all_vectors.columns if c not in ("__terms", "__counts")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            flags = [int(model.score(model.vocabulary.vector(text.as_py()))[0] >= threshold) for text in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.int32())], [*keep, flag_as])
+        scored = _Memo(model)
+        for batch in batches:
+            terms, counts = (batch.column(c).to_pylist() for c in ("__terms", "__counts"))
+            stays = pa.array([scored(t, c)[0] < threshold for t, c in zip(terms, counts, strict=True)], pa.bool_())
+            yield batch.select(keep).filter(stays)
 
-    return rows.mapInArrow(run, schema)
+    return all_vectors.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in all_vectors.schema if f.name in keep))
