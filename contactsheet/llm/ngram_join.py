@@ -39,7 +39,7 @@ class JoinParams:
     num: int = 80  #: sets link when den * overlap >= num * union
     den: int = 100
     words: int = WORDS
-    cell_shingles: int = 400_000  #: of one part of a block
+    cell_shingles: int = 50_000  #: of one part of a block
     hot_sample: int = 20_000  #: sets, in expectation, among which frequent shingles are looked for
     hot_keys: int = 10_000  #: most shingles that are called frequent, and broadcast
     filter_bits: int = 1 << 29  #: of the filter that holds back texts nobody wants: 64 MB at most are broadcast
