@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from contactsheet.functions.geo import city_radius_km, city_score, haversine_km
 from contactsheet.functions.text import folder_tokens
-from contactsheet.params import EARTH_KM, SEAT_BONUS
+from contactsheet.params import EARTH_KM, EDGE_PEOPLE, EDGE_SHARE, EDGE_TOWN, SEAT_BONUS, VILLAGE_KM, VILLAGE_TOWN
 
 
 def nearest_within(points: DataFrame, places: DataFrame, km: float, *, most: int = 1) -> DataFrame:
@@ -78,7 +78,7 @@ def city_of(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
     picked = picked.withColumn("city", F.coalesce("covering", "fallback", "locality", "nearest"))
     city, local = F.col("city"), F.col("locality")
-    village = (local["km"] <= 3.0) & (city["population"] < 20_000) & ~city["fcode"].isin("PPLC", "PPLA", "PPLA2", "PPLA3") & (city["km"] > local["km"])
-    edge = (local["population"] >= 3_000) & (city["km"] / city["reach"] > 0.75) & (city["population"] < 300_000)
+    village = (local["km"] <= VILLAGE_KM) & (city["population"] < VILLAGE_TOWN) & ~city["fcode"].isin("PPLC", "PPLA", "PPLA2", "PPLA3") & (city["km"] > local["km"])
+    edge = (local["population"] >= EDGE_PEOPLE) & (city["km"] / city["reach"] > EDGE_SHARE) & (city["population"] < EDGE_TOWN)
     own = F.coalesce((city["place_id"] != local["place_id"]) & (village | edge), F.lit(False))
     return picked.select("id", F.when(own, local["place_id"]).otherwise(city["place_id"]).alias("city_id"), local["place_id"].alias("locality_id"))

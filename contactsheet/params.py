@@ -38,3 +38,72 @@ EARTH_KM = 6371.0088
 
 # How much likelier an administrative seat is the name a person would use.
 SEAT_BONUS = {"PPLC": 0.7, "PPLA": 0.5, "PPLA2": 0.35, "PPLA3": 0.2, "PPLA4": 0.1}
+
+# Places that are their own rather than a bigger town's: village and edge of a town's reach (people, kilometres).
+VILLAGE_KM, VILLAGE_TOWN, EDGE_PEOPLE, EDGE_SHARE, EDGE_TOWN = 3.0, 20_000, 3_000, 0.75, 300_000
+
+# Quality (log10 of sharpness from and to, brightness aimed at, contrast and clipping that count in full, megapixels
+# from and to) and the weights of sharpness, exposure, resolution, aesthetics and the best face.
+SHARP_FROM, SHARP_TO, BRIGHTNESS, FULL_CONTRAST, FULL_CLIPPING, MEGAPIXELS_FROM, MEGAPIXELS_TO = 1.2, 2.9, 0.47, 0.22, 0.35, 0.3, 12.0
+WEIGHT_SHARP, WEIGHT_EXPOSED, WEIGHT_FINE, WEIGHT_AESTHETIC, WEIGHT_FACE = 0.35, 0.2, 0.1, 0.25, 0.10
+
+# First year of a plausible date.
+MIN_YEAR = 1985
+
+# File name patterns, in order, with what they give and the kind of source they tell.
+FILENAME_PATTERNS = (
+    (r"(?i)(?:IMG|VID|PTT|STK)-(\d{4})(\d{2})(\d{2})-WA\d+", "date", "whatsapp"),
+    (r"(?i)WhatsApp Image (\d{4})-(\d{2})-(\d{2}) at (\d{1,2})\.(\d{2})\.(\d{2})(?:\s*([AP]M))?", "datetime", "whatsapp"),
+    (r"(?i)Screen ?[Ss]hot (\d{4})-(\d{2})-(\d{2}) at (\d{1,2})\.(\d{2})\.(\d{2})(?:\s*([AP]M))?", "datetime", "screenshot"),
+    (r"(?i)Screenshot[_-](\d{4})-?(\d{2})-?(\d{2})[-_](\d{2})-?(\d{2})-?(\d{2})", "datetime", "screenshot"),
+    (r"(?i)photo_(\d{4})-(\d{2})-(\d{2})_(\d{2})-(\d{2})-(\d{2})", "datetime", "download"),
+    (r"(?i)signal-(\d{4})-(\d{2})-(\d{2})-(\d{2})(\d{2})(\d{2})", "datetime", "download"),
+    (r"(?:^|[^0-9])(\d{4})(\d{2})(\d{2})[_-](\d{2})(\d{2})(\d{2})", "datetime", "phone"),
+    (r"(\d{4})-(\d{2})-(\d{2})[ _](\d{2})\.(\d{2})\.(\d{2})", "datetime", "phone"),
+    (r"(\d{4})-(\d{2})-(\d{2})[T_ -](\d{2})[-:.](\d{2})[-:.](\d{2})", "datetime", None),
+    (r"(?:FB_IMG_|received_|^)(1[2-9]\d{11})(?:\D|$)", "epoch_ms", "download"),
+    (r"(?:^|[^0-9])(\d{4})-(\d{2})-(\d{2})(?:[^0-9]|$)", "date", None),
+    (r"(?:^|[^0-9])((?:19|20)\d{2})(\d{2})(\d{2})(?:[^0-9]|$)", "date", None),
+)
+
+# Folder name patterns: a day, a named month, a numbered month, a year.
+FOLDER_DAY = r"(?:^|[^0-9])((?:19|20)\d{2})[-_. ]?(\d{2})[-_. ]?(\d{2})(?:[^0-9]|$)"
+FOLDER_NAMED_MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s_,.-]*((?:19|20)\d{2})\b"
+FOLDER_MONTH = r"(?:^|[^0-9])((?:19|20)\d{2})[-_. /](\d{1,2})(?:[^0-9]|$)"
+FOLDER_YEAR = r"(?:^|[^0-9])((?:19|20)\d{2})(?:[^0-9]|$)"
+
+# Makers, editors, folders and screens that tell where a picture comes from.
+PHONE_MAKES = (
+    "apple", "samsung", "xiaomi", "redmi", "poco", "google", "oneplus", "oppo", "vivo", "realme",
+    "motorola", "huawei", "honor", "nokia", "hmd", "nothing", "lg", "sony mobile", "asus", "lenovo",
+    "iqoo", "infinix", "tecno", "micromax", "lava", "htc", "zte", "meizu",
+)
+EDIT_SOFTWARE = (
+    "photoshop", "lightroom", "snapseed", "gimp", "picsart", "vsco", "facetune", "canva", "pixlr",
+    "affinity", "capture one", "luminar", "darktable", "rawtherapee", "photos 1", "meitu", "lensa",
+    "remini", "b612", "snow", "polarr", "afterlight", "instagram",
+)
+DOWNLOAD_FOLDERS = ("download", "telegram", "instagram", "facebook", "saved pictures", "pinterest")
+SCREEN_WIDTHS = (720, 750, 768, 828, 900, 1080, 1125, 1170, 1179, 1242, 1280, 1284, 1290, 1366, 1440, 1536, 1600, 1920, 2160, 2560, 2880, 3840)
+SCREEN_ASPECTS = (16 / 9, 19.5 / 9, 20 / 9, 18 / 9, 16 / 10, 19 / 9, 21 / 9, 3 / 2)
+
+# Endings that editors give to a copy's name.
+EDIT_SUFFIXES = ("-edited", "-effects", "-smile", "-mix", "-edytowane", "-bearbeitet", "-bewerkt", "-編集済み", "-modificato", "-modifié", "-ha editado", "-editat")
+
+# Words of folders that hold second copies.
+SECONDARY_FOLDER_WORDS = (
+    "backup", "back up", "copy", "copies", "duplicate", "archive", "old", "recycle", "trash", "temp", "tmp", "export",
+    "compressed", "resized", "whatsapp", "telegram", "downloads", "download", "recovered",
+)
+
+# Names of colours and words that mean one of them.
+COLOURS = ("red", "orange", "yellow", "green", "blue", "purple", "pink", "brown", "black", "white", "grey")
+COLOUR_WORDS = {
+    "gray": "grey", "violet": "purple", "golden": "yellow", "gold": "yellow", "navy": "blue", "cyan": "blue", "teal": "green", "turquoise": "blue",
+    "beige": "brown", "tan": "brown", "silver": "grey", "maroon": "red", "crimson": "red", "magenta": "pink", "lime": "green",
+}
+
+# Collections (share of the width of a selfie's face, faces of a selfie, sharpness of a blurred picture, bytes of a large file).
+SELFIE_WIDTH, SELFIE_FACES, BLURRY, LARGE_BYTES = 0.22, 2, 35.0, 20_971_520
+RAW_ENDINGS = (".cr2", ".cr3", ".nef", ".arw", ".dng", ".orf", ".rw2", ".raf", ".srw", ".pef", ".nrw")
+PET_TAGS, TEXT_TAGS, MEME_TAGS = ("dog", "cat"), ("document", "receipt", "id card", "whiteboard"), ("meme",)

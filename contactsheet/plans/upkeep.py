@@ -16,8 +16,8 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 query = registry(QUERIES, ORACLE_SQL, WITH)
 
-_FOLD = "translate(lower(text), 'àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőřśšťùúûüūůűųýÿźżž', 'aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorsstuuuuuuuuyyzzz')"
-_WORDS = f""", w AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD}, '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)
+_FOLD = "strip_accents(lower(text))"
+_WORDS = f""", w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace({_FOLD}, '[''\u2019]s\\b', '', 'g'), '[^a-z0-9\\-]+'), lambda x: x <> '') AS w FROM documents)
 """
 
 
@@ -26,10 +26,10 @@ def f1_fold(lib: Library) -> DataFrame:
     return lib.table("documents").select("doc_id", F.md5(text.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
-@query(_WORDS + "SELECT doc_id, len(w)::INT AS n, w[1] AS first FROM w")
+@query(_WORDS + "SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, ' ')) AS words FROM w")
 def f2_tokens(lib: Library) -> DataFrame:
     words = lib.table("documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
-    return words.select("doc_id", F.size("w").alias("n"), F.get("w", F.lit(0)).alias("first"))
+    return words.select("doc_id", F.when(F.col("w").isNotNull(), F.size("w")).alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
 
 
 @query(_WORDS + "SELECT doc_id FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'license')")
@@ -68,15 +68,52 @@ def f14_document(lib: Library) -> DataFrame:
     return rows.select("id", keywords.document(*map(F.col, ("filename", "folder", "place", "country", "names", "tags"))).alias("doc"))
 
 
+_NAMES = """, n AS (SELECT id, source_kind AS was, CASE id % 8 WHEN 0 THEN 'WhatsApp Image ' || strftime(d, '%Y-%m-%d') || ' at 2.' || strftime(d, '%M') || '.09 PM.jpeg' WHEN 1 THEN 'Screen Shot ' || strftime(d, '%Y-%m-%d') || ' at 12.03.04 AM.png'
+    WHEN 2 THEN 'FB_IMG_' || (1565524312345 + id * 1000) || '.jpg' WHEN 3 THEN 'IMG-' || strftime(d, '%Y%m%d') || '-WA' || id || '.jpg' WHEN 4 THEN strftime(d, '%Y-%m-%d') || ' 14.30.12.jpg' WHEN 5 THEN 'scan ' || id || ' (2).jpg'
+    WHEN 6 THEN 'IMG_' || strftime(d, '%Y%m%d') || '_256199.jpg' ELSE filename END AS name,
+  CASE id % 3 WHEN 0 THEN folder WHEN 1 THEN 'Phone/Downloads' ELSE 'Old/Screenshots' END AS dir, CASE id % 5 WHEN 0 THEN 'NIKON CORPORATION' WHEN 1 THEN 'samsung' END AS make, CASE id % 7 WHEN 0 THEN 'Adobe Lightroom' END AS software, d
+  FROM photos, LATERAL (SELECT make_timestamp((coalesce(taken_ts, 0) * 1000000)::BIGINT + 86400000000 * 366 * 15) AS d))
+"""
+
+
+def _named(lib: Library) -> DataFrame:
+    """Photos under names of many kinds, with folders, makers and software."""
+    k, d = F.col("id"), F.timestamp_seconds(F.coalesce("taken_ts", F.lit(0.0)) + 86400 * 366 * 15)
+    on = lambda form: F.date_format(d, form)
+    join = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    name = (
+        F.when(k % 8 == 0, join("WhatsApp Image ", on("yyyy-MM-dd"), " at 2.", on("mm"), ".09 PM.jpeg"))
+        .when(k % 8 == 1, join("Screen Shot ", on("yyyy-MM-dd"), " at 12.03.04 AM.png"))
+        .when(k % 8 == 2, join("FB_IMG_", (1_565_524_312_345 + k * 1000).cast("string"), ".jpg"))
+        .when(k % 8 == 3, join("IMG-", on("yyyyMMdd"), "-WA", k.cast("string"), ".jpg"))
+        .when(k % 8 == 4, join(on("yyyy-MM-dd"), " 14.30.12.jpg"))
+        .when(k % 8 == 5, join("scan ", k.cast("string"), " (2).jpg"))
+        .when(k % 8 == 6, join("IMG_", on("yyyyMMdd"), "_256199.jpg"))
+        .otherwise(F.col("filename"))
+    )
+    folder = F.when(k % 3 == 0, F.col("folder")).when(k % 3 == 1, "Phone/Downloads").otherwise("Old/Screenshots")
+    make = F.when(k % 5 == 0, "NIKON CORPORATION").when(k % 5 == 1, "samsung")
+    return lib.photos.select("id", name.alias("name"), folder.alias("dir"), make.alias("make"), F.when(k % 7 == 0, "Adobe Lightroom").alias("software"))
+
+
 @query(
-    """SELECT id, CASE WHEN id % 5 = 0 THEN 'screenshot' WHEN id % 5 = 1 THEN 'whatsapp' WHEN id % 5 = 2 AND id % 3 = 0 THEN 'phone' WHEN id % 5 = 2 THEN 'camera' WHEN id % 5 = 3 THEN 'download' ELSE 'phone' END AS kind FROM photos"""
+    _NAMES
+    + """SELECT id, CASE WHEN id % 8 = 1 OR dir LIKE '%Screenshots%' THEN 'screenshot' WHEN id % 8 IN (0, 3) THEN 'whatsapp' WHEN make IS NOT NULL AND (software IS NOT NULL OR id % 8 = 5) THEN 'edited' WHEN make = 'samsung' THEN 'phone' WHEN make IS NOT NULL THEN 'camera'
+  WHEN dir LIKE '%Downloads' OR id % 8 = 2 THEN 'download' WHEN id % 8 = 5 THEN 'scan' WHEN id % 8 IN (4, 7) THEN 'phone' ELSE 'unknown' END AS kind FROM n"""
 )
 def m20_source_kind(lib: Library) -> DataFrame:
-    k = F.col("id") % 5
-    name = F.when(k == 0, F.concat(F.lit("Screenshot_"), F.col("filename"))).when(k == 1, "IMG-20200101-WA0001.jpg").when(k == 3, "pic.jpg").otherwise(F.col("filename"))
-    folder = F.when(k == 3, "Downloads").otherwise("DCIM")
-    make = F.when(k == 2, F.when(F.col("id") % 3 == 0, "Apple").otherwise("Nikon"))
-    return lib.photos.select("id", text.source_kind(name, folder, make).alias("kind"))
+    return _named(lib).select("id", text.source_kind(F.col("name"), F.col("dir"), F.col("make"), software=F.col("software")).alias("kind"))
+
+
+@query(
+    _NAMES
+    + """SELECT id, CASE id % 8 WHEN 0 THEN strftime(d, '%Y-%m-%d 14:%M:09') WHEN 1 THEN strftime(d, '%Y-%m-%d 00:03:04') WHEN 2 THEN strftime(make_timestamp((1565524312345 + id * 1000) * 1000), '%Y-%m-%d %H:%M:%S') WHEN 3 THEN strftime(d, '%Y-%m-%d 12:00:00')
+  WHEN 4 THEN strftime(d, '%Y-%m-%d 14:30:12') WHEN 6 THEN strftime(d, '%Y-%m-%d 12:00:00') WHEN 7 THEN strftime(strptime(regexp_extract(name, '(\\d{8}_\\d{6})'), '%Y%m%d_%H%M%S'), '%Y-%m-%d %H:%M:%S') END AS taken,
+  CASE WHEN id % 8 IN (3, 6) THEN 'date' WHEN id % 8 <> 5 THEN 'datetime' END AS precision, CASE id % 8 WHEN 0 THEN 'whatsapp' WHEN 1 THEN 'screenshot' WHEN 2 THEN 'download' WHEN 3 THEN 'whatsapp' WHEN 4 THEN 'phone' WHEN 7 THEN 'phone' END AS source FROM n"""
+)
+def d4_filename_kinds(lib: Library) -> DataFrame:
+    rows = _named(lib).select("id", text.date_from_filename(F.col("name"), 2200).alias("d"))
+    return rows.select("id", F.date_format("d.ts", "yyyy-MM-dd HH:mm:ss").alias("taken"), F.col("d.precision").alias("precision"), F.col("d.source").alias("source"))
 
 
 _LISTING = """, known AS (SELECT id % 4 AS root_id, filename AS rel_path, size, coalesce(taken_ts, 0) AS mtime, status FROM photos),

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contactsheet.functions.text import stem_variants
+
 SIDECAR = (
     "title string, description string, photoTakenTime struct<timestamp:string>, geoData struct<latitude:double,longitude:double>, "
     "people array<struct<name:string>>, favorited boolean, archived boolean, trashed boolean"
@@ -57,7 +59,7 @@ def match_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     s = sidecars.where(F.lower("sidecar").endswith(".json")).select("folder", "sidecar", core.alias("core"), F.regexp_extract("sidecar", r"(\(\d+\))\.json$", 1).alias("num"))
     num = F.regexp_extract("filename", r"(\(\d+\))\.[^.]*$", 1)
     stem, ext = F.lower(F.regexp_replace("filename", r"(\(\d+\))?(\.[^.]*)?$", "")), F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1))
-    plain = F.regexp_replace(stem, r"-(edited|bearbeitet|modifié|editado)$", "")
+    plain = F.element_at(stem_variants(stem), -1)
     m = media.select("id", "folder", num.alias("num"), plain.alias("stem"), F.concat(plain, ext).alias("name"))
     full = F.concat(F.col("name"), F.lit(SUPPLEMENTAL))
     cut = full.startswith(F.col("core")) & ((F.length("core") > F.length("name")) | (F.length("core") >= SHORTEST_CUT))
