@@ -64,9 +64,51 @@ def p14_no_people(lib: Library) -> DataFrame:
     return predicates.without_people(visible(lib.photos), lib.faces.where(F.col("person_id") < 40)).select("id")
 
 
-@query("SELECT id, name, country FROM places WHERE name IN ('ASIA', 'NATION_3') OR country IN ('ASIA', 'NATION_3')")
+@query(
+    """, c AS (SELECT * FROM places WHERE name IN ('NATION_4', 'NATION_10', 'NATION_7'))
+SELECT id, name, city FROM places p WHERE name IN (SELECT name FROM c) OR city IN (SELECT name FROM c) OR admin1 IN (SELECT name FROM c WHERE name IN (SELECT admin1 FROM c)) OR country IN (SELECT name FROM c WHERE name IN (SELECT country FROM c))"""
+)
 def p15_place_expand(lib: Library) -> DataFrame:
-    return predicates.expand_places(lib.places, ["ASIA", "NATION_3"]).select("id", "name", "country")
+    return predicates.expand_places(lib.places, ["NATION_4", "NATION_10", "NATION_7"]).select("id", "name", "city")
+
+
+@query("SELECT id FROM photos WHERE status = 'ok' AND hidden = 1 AND live_component = 0 AND stack_hidden = 0 AND (live_video_id IS NOT NULL OR motion_offset > 0 OR rating >= 0) AND id % 3 = 0")
+def p6_hidden_view(lib: Library) -> DataFrame:
+    loved = lib.photos.where(F.col("id") % 3 == 0).select(F.col("id").alias("photo_id"))
+    return predicates.grid(lib.photos, GridFilter(collection="hidden", collapse_stacks=True), loved).select("id")
+
+
+@query("SELECT id FROM visible WHERE archived = 1 AND coalesce(source_kind, '') <> 'screenshot'")
+def p6_archive_view(lib: Library) -> DataFrame:
+    return predicates.grid(lib.photos, GridFilter(collection="archive", include_screenshots=False)).select("id")
+
+
+@query("SELECT id FROM visible WHERE (live_video_id IS NOT NULL OR coalesce(motion_offset, 0) > 0) AND camera_model = 'cam7'")
+def p12_live(lib: Library) -> DataFrame:
+    return predicates.grid(lib.photos, GridFilter(media="live", camera="cam7")).select("id")
+
+
+_DATED = ", d AS (SELECT *, make_timestamp((taken_ts * 1000000)::BIGINT) AS t FROM visible)\n"
+
+
+@query(_DATED + "SELECT id FROM d WHERE (taken_ts BETWEEN epoch(TIMESTAMP '1996-01-01') AND epoch(TIMESTAMP '1996-12-31 23:59:59') OR taken_ts >= epoch(TIMESTAMP '2000-01-01')) AND month(t) IN (11, 12, 1)")
+def p17_windows_and_months(lib: Library) -> DataFrame:
+    (a, b), (c, _) = predicates.epoch_range(1996), predicates.epoch_range(2000)
+    return visible(lib.photos).where(predicates.DateClause(windows=((a, b - 1), (c, None)), months=(11, 12, 1)).column()).select("id")
+
+
+@query(_DATED + "SELECT id FROM d WHERE t IS NULL OR NOT (strftime(t, '%m-%d') BETWEEN '12-24' AND '12-26')")
+def p17_day_span_not(lib: Library) -> DataFrame:
+    return visible(lib.photos).where(predicates.DateClause(day_span=("12-24", "12-26"), exclude=True).column()).select("id")
+
+
+@query(
+    """SELECT id FROM visible v WHERE (live_video_id IS NOT NULL OR coalesce(motion_offset, 0) > 0 OR id % 2 = 0) AND coalesce(source_kind, '') <> 'screenshot' AND id % 4 = 0 AND face_count <= 2
+  AND EXISTS (SELECT 1 FROM faces f WHERE f.photo_id = v.id AND f.x2 - f.x1 > 0.22)"""
+)
+def p22_selfies_and_favourites(lib: Library) -> DataFrame:
+    rows = predicates.with_marks(visible(lib.photos), lib.faces, lib.photo_tags.limit(0)).withColumn("favourite", F.col("id") % 4 == 0)
+    return predicates.detailed(rows, predicates.Details(favourites=True, selfies=True, best_first=True)).select("id")
 
 
 @query("SELECT id FROM visible WHERE taken_ts IS NULL OR NOT (taken_ts >= epoch(TIMESTAMP '1996-01-01') AND taken_ts < epoch(TIMESTAMP '1997-01-01'))")
@@ -214,15 +256,20 @@ def a15_cover_rownum(lib: Library) -> DataFrame:
 
 
 @query(
-    """, c AS (
-  SELECT 'videos' AS collection, * FROM visible WHERE media_type = 'video' UNION ALL
-  SELECT 'panoramas', * FROM visible WHERE media_type = 'image' AND (width / height >= 2.0 OR height / width >= 2.5) AND coalesce(source_kind, '') <> 'screenshot' UNION ALL
-  SELECT 'screenshots', * FROM visible WHERE source_kind = 'screenshot' UNION ALL SELECT 'large', * FROM visible WHERE size >= 20971520 UNION ALL
-  SELECT 'no_location', * FROM visible WHERE place_id IS NULL UNION ALL SELECT 'no_date', * FROM visible WHERE taken_ts IS NULL)
+    """, t AS (SELECT photo_id, bool_or(tag IN ('SMALL', 'PROMO')) AS pet, bool_or(tag = 'LARGE') AS txt, bool_or(tag = 'MEDIUM') AS meme FROM photo_tags WHERE score >= 2.0 GROUP BY 1),
+v AS (SELECT visible.*, coalesce(pet, false) AS pet, coalesce(txt, false) AS txt, coalesce(meme, false) AS meme, id IN (SELECT photo_id FROM faces WHERE x2 - x1 > 0.22) AS wide FROM visible LEFT JOIN t ON t.photo_id = id),
+c AS (
+  SELECT 'videos' AS collection, * FROM v WHERE media_type = 'video' UNION ALL SELECT 'live', * FROM v WHERE live_video_id IS NOT NULL OR coalesce(motion_offset, 0) > 0 UNION ALL
+  SELECT 'panoramas', * FROM v WHERE media_type = 'image' AND (width / height >= 2.0 OR height / width >= 2.5) AND coalesce(source_kind, '') <> 'screenshot' UNION ALL
+  SELECT 'selfies', * FROM v WHERE wide AND face_count <= 2 UNION ALL SELECT 'raw', * FROM v WHERE ext IN ('.cr2', '.cr3', '.nef', '.arw', '.dng') UNION ALL SELECT 'stacks', * FROM v WHERE stack_id = id UNION ALL
+  SELECT 'pets', * FROM v WHERE pet UNION ALL SELECT 'screenshots', * FROM v WHERE source_kind = 'screenshot' UNION ALL SELECT 'documents', * FROM v WHERE txt UNION ALL SELECT 'memes', * FROM v WHERE meme UNION ALL
+  SELECT 'blurry', * FROM v WHERE media_type = 'image' AND blur < 35 AND coalesce(source_kind, '') <> 'screenshot' UNION ALL SELECT 'large', * FROM v WHERE size >= 20971520 UNION ALL
+  SELECT 'no_location', * FROM v WHERE place_id IS NULL AND lat IS NULL UNION ALL SELECT 'no_date', * FROM v WHERE date_confidence = 'low')
 SELECT collection, count(*) AS n, arg_max(id, (quality_score, -id)) AS cover_id FROM c GROUP BY 1"""
 )
 def a16_collections(lib: Library) -> DataFrame:
-    return facets.collection_counts(visible(lib.photos), predicates.collections())
+    rows = predicates.with_marks(visible(lib.photos), lib.faces, lib.photo_tags, pets=("SMALL", "PROMO"), texts=("LARGE",), memes=("MEDIUM",))
+    return facets.collection_counts(rows, predicates.collections())
 
 
 @query("""SELECT split_part(folder, '/', 2) AS child, count(*) AS n, arg_max(id, (quality_score, -id)) AS cover_id FROM visible WHERE starts_with(folder, 'BUILDING/') GROUP BY 1""")
