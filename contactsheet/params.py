@@ -20,6 +20,9 @@ GAP_HOURS, TRAVEL_GAP_MINUTES, TRAVEL_KM, MIN_GAP_MINUTES = 2.5, 45.0, 30.0, 20.
 OVERNIGHT_HOURS, SAME_DAY_HOURS, MULTIDAY_HOURS, MAX_EVENT_PHOTOS = 6.0, 10.0, 20.0, 1200
 TRIP_KM, TRIP_GAP_DAYS, TRIP_DAYS = 60.0, 2.0, 0.75
 
+# How near two segments of one city are (kilometres).
+SAME_CITY_KM = 15.0
+
 # The categories' density rules.
 CATEGORY_DENSITY, CATEGORY_SHARE, CATEGORY_DOMINANCE = 0.25, 0.08, 1.6
 
