@@ -42,7 +42,8 @@ class JoinParams:
     cell_shingles: int = 50_000  #: of one part of a block
     hot_sample: int = 20_000  #: sets, in expectation, among which frequent shingles are looked for
     hot_keys: int = 10_000  #: most shingles that are called frequent, and broadcast
-    filter_bits: int = 1 << 29  #: of the filter that holds back texts nobody wants: 64 MB at most are broadcast
+    filter_bits: int = 1 << 29  #: most bits of the filter that holds back texts nobody wants: 64 MB at most are broadcast
+    bits_a_text: int = 16  #: of the filter, at least, while they are no more than that
 
     def overlap(self, a, b):
         """T: the least overlap of linked sets of the sizes a and b."""
@@ -250,13 +251,15 @@ def _rest(large: DataFrame, apart: DataFrame, p: JoinParams) -> DataFrame:
 def _with_texts(docs: DataFrame, sets: DataFrame, rows: DataFrame, p: JoinParams, id_col: str, text_col: str) -> DataFrame:
     """``rows`` (rep, ...) with the texts of their sets, read again: cheaper than keeping every whole set.
 
-    A filter of ``filter_bits`` bits, set by the hashes of the wanted texts, holds back the other texts before they are
-    shuffled. Where a corpus wants more texts than it has bits, it holds back fewer; what is found is the same.
+    A filter of a few bits a wanted text, ``filter_bits`` at most, set by the hashes of those texts, holds back the others
+    before they are shuffled. Where a corpus wants more texts than that allows, it holds back fewer; what is found is the
+    same.
     A set's text goes by its id and hash, so rows that repeat an id do not meet each other's texts.
     """
     names = sets.select(F.col("row").alias("rep"), "doc_id", "text_hash")
     wanted = materialise(rows.join(names, "rep"), "wanted")
-    bit = lambda c: F.pmod(c, F.lit(p.filter_bits))
+    size = min(p.filter_bits, p.bits_a_text << max(1, wanted.count()).bit_length())
+    bit = lambda c: F.pmod(c, F.lit(size))
     bits = wanted.select(bit(F.col("text_hash")).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("own_hash")).where(F.col("text").isNotNull())
     place = F.bitmap_bit_position(bit(F.col("own_hash")))
