@@ -34,18 +34,19 @@ def j20_knn(lib: Library) -> DataFrame:
     return neighbours.knn(rows.where(F.col("id") % 10 == 0).select(F.col("id").alias("query_id"), "vec"), rows, 8)
 
 
-_HASHED = """, h AS (SELECT doc_id AS id, ('0x' || substr(md5(substr(text, 1, 40)), 1, 4))::BIGINT + ('0x' || substr(md5(substr(text, 41, 40)), 1, 4))::BIGINT * 65536
-  + ('0x' || substr(md5(substr(text, 81, 40)), 1, 4))::BIGINT * 4294967296 + (('0x' || substr(md5(substr(text, 121, 40)), 1, 4))::BIGINT % 32768) * 281474976710656 AS phash FROM documents),
+_QUARTER = "('0x' || substr(md5(substr(text, {i} * (length(text) // 4 + 1) + 1, length(text) // 4 + 1)), 1, 4))::BIGINT"
+_HASHED = f""", h AS (SELECT doc_id AS id, {_QUARTER.format(i=0)} + {_QUARTER.format(i=1)} * 65536 + {_QUARTER.format(i=2)} * 4294967296 + ({_QUARTER.format(i=3)} % 32768) * 281474976710656 AS phash FROM documents WHERE text IS NOT NULL),
 b AS (SELECT id, phash, i AS band, (phash >> (16 * i)::INT) & 65535 AS key FROM h, range(4) r(i)),
-s AS (SELECT band, key FROM b GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 400),
-p AS (SELECT DISTINCT x.id AS a, y.id AS b, bit_count(xor(x.phash, y.phash))::INT AS bits FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.id < y.id JOIN s ON s.band = x.band AND s.key = x.key
+p AS (SELECT DISTINCT x.id AS a, y.id AS b, bit_count(xor(x.phash, y.phash))::INT AS bits FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.id < y.id
   WHERE bit_count(xor(x.phash, y.phash)) <= 16)
 """
 
 
 def _hashed(lib: Library) -> DataFrame:
-    part = lambda start: F.conv(F.substring(F.md5(F.substring("text", start, 40).cast("binary")), 1, 4), 16, 10).cast("long")
-    return lib.table("documents").select(F.col("doc_id").alias("id"), (part(1) + part(41) * 65536 + part(81) * 4294967296 + (part(121) % 32768) * 281474976710656).alias("phash"))
+    """A hash of 64 bits of every whole text: 16 bits of each of its quarters."""
+    size = F.floor(F.length("text") / 4).cast("int") + 1
+    part = lambda i: F.conv(F.substring(F.md5(F.substring(F.col("text"), size * i + 1, size).cast("binary")), 1, 4), 16, 10).cast("long")
+    return lib.table("documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), (part(0) + part(1) * 65536 + part(2) * 4294967296 + (part(3) % 32768) * 281474976710656).alias("phash"))
 
 
 @query(_HASHED + "SELECT * FROM p")
@@ -127,10 +128,10 @@ def j15_content_substitute(lib: Library) -> DataFrame:
     return duplicates.prefer_visible_copy(members, lib.photos)
 
 
-@query("SELECT place_id AS grp, substr(sha1('near:' || string_agg(id::VARCHAR, ',' ORDER BY id)), 1, 16) AS signature FROM visible GROUP BY 1")
+@query("SELECT sha256 AS grp, substr(sha1('near:' || string_agg(id::VARCHAR, ',' ORDER BY id)), 1, 16) AS signature FROM visible GROUP BY 1")
 def g12_signature(lib: Library) -> DataFrame:
-    # Members are collected because the signature is over all of them; groups of the operator are duplicates' members.
-    return visible(lib.photos).groupBy(F.col("place_id").alias("grp")).agg(duplicates.signature(F.lit("near"), F.collect_list("id")).alias("signature"))
+    # Members are collected because the signature is over all of them: copies of one content.
+    return visible(lib.photos).groupBy(F.col("sha256").alias("grp")).agg(duplicates.signature(F.lit("near"), F.collect_list("id")).alias("signature"))
 
 
 @query("SELECT event_id, bit_count(xor(event_id * 2654435761, user_id * 40503))::INT AS bits FROM events")
