@@ -9,6 +9,8 @@ set against all rows, in blocks.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -110,13 +112,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, classes: int = 16,
     cuts = vectors.agg(F.percentile_approx("norm", F.array(*[F.lit(i / classes) for i in range(1, classes)]), F.lit(10_000)).alias("c")).first()["c"] or []
     length_class = sum((F.when(F.col("norm") > F.lit(float(x)), 1).otherwise(0) for x in sorted(set(cuts))), F.lit(0))
     classed = vectors.withColumn("class", length_class)
-    sizes = classed.groupBy("class").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy("class").collect()  # at most ``classes`` rows
+    sizes = classed.groupBy("class").agg(F.count("*").alias("n")).orderBy("class").collect()  # at most ``classes`` rows
     if not sizes:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    first_block, parts, longest_of = {}, {}, []
+    first_block, parts, total = {}, {}, 0
     for r in sizes:
-        first_block[r["class"]], parts[r["class"]] = len(longest_of), -(-r["n"] // block)
-        longest_of += [r["longest"]] * parts[r["class"]]
+        first_block[r["class"]], parts[r["class"]] = total, -(-r["n"] // block)
+        total += parts[r["class"]]
     of_class = lambda table: F.element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), F.col("class"))
     blocked = classed.select("vec_id", "v", (of_class(first_block) + F.pmod(F.xxhash64("vec_id"), of_class(parts))).cast("int").alias("block"))
     query_blocks = max(1, -(-queries.count() // query_block))
@@ -134,11 +136,19 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, classes: int = 16,
         .groupBy("query_id")
         .agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
     )
-    asked = asked.join(first, "query_id", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(len(longest_of) - 1))))
-    # A block whose longest vector is too short for the query's threshold is not searched: the first pruning by length.
-    reach = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x)) * F.element_at(F.array(*map(F.lit, longest_of)), F.col("block") + 1)
-    asked = asked.where(F.col("least").isNull() | (F.col("least") <= reach * (1 + 1e-9)))
+    # How long a vector must be to reach a query's threshold; queries of like need are put together, so that whole blocks
+    # of them pass by the blocks of shorter vectors: the first pruning by length.
+    need = F.col("least") / F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
+    asked = materialise(asked.drop("query_block").join(first, "query_id", "left").withColumn("need", F.coalesce(F.nullif(need, F.lit(float("inf"))), F.lit(float("-inf")))), "asked")
+    needs = asked.agg(F.percentile_approx("need", F.array(*[F.lit(i / classes) for i in range(1, classes)]), F.lit(10_000)).alias("c")).first()["c"] or []
+    need_class = sum((F.when(F.col("need") > F.lit(float(x)), 1).otherwise(0) for x in sorted(set(needs)) if math.isfinite(x)), F.lit(0))
+    parts_of_need = max(1, -(-query_blocks // classes))
+    asked = asked.withColumn("query_block", (need_class * parts_of_need + F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(parts_of_need))).cast("int"))
+    blocks = blocked.groupBy("block").agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest"))
+    pairs = asked.groupBy("query_block").agg(F.min("need").alias("least_need")).join(blocks, F.col("least_need") <= F.col("longest") * (1 + 1e-9)).select("block", "query_block")
+    pairs = materialise(pairs, "block-pairs")  # a row for each block of vectors and block of queries that must meet
     key = ["block", "query_block"]
-    near = asked.groupBy(*key).cogroup(blocked.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).groupBy(*key)).applyInPandas(lambda a, b: _search(a, b, k), result)
+    asked = asked.select("query_id", "q", "least", "query_block").join(pairs, "query_block")
+    near = asked.groupBy(*key).cogroup(blocked.join(pairs, "block").groupBy(*key)).applyInPandas(lambda a, b: _search(a, b, k), result)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -44,9 +44,7 @@ def op4_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = tokens.encode(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
-    decoded = tokens.decode(encoded, RANKS, PATTERN)
-    return decoded.select(
+    return tokens.round_trip(_table(spark, sf_dir, "documents"), RANKS, PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -76,6 +76,23 @@ def read_shard(folder: str, shard: int, seq_len: int, start: int = 0, count: int
     return np.frombuffer(raw, "<u2").reshape(-1, seq_len)
 
 
+def read_slots(folder: str, seq_len: int, first: int, count: int) -> np.ndarray:
+    """Records ``first``.. of the whole order as (records, seq_len) uint16, fewer at its end: the manifest tells the
+    shards, each of which is read from the record where the slots begin in it. A reader resumes at any slot."""
+    from pyarrow import fs
+    from pyarrow import parquet
+
+    system, root = fs.FileSystem.from_uri(folder)
+    files = [f.path for f in system.get_file_info(fs.FileSelector(f"{root}/manifest")) if f.path.endswith(".parquet")]
+    shards = pa.concat_tables([parquet.read_table(f, filesystem=system) for f in files]).sort_by("first_slot").to_pylist()
+    parts, last = [np.zeros((0, seq_len), "<u2")], first + count
+    for s in shards:
+        start, stop = max(first, s["first_slot"]), min(last, s["first_slot"] + s["records"])
+        if start < stop:
+            parts.append(read_shard(folder, s["shard"], seq_len, start - s["first_slot"], stop - start))
+    return np.concatenate(parts)
+
+
 def write_in_training_order(
     docs: DataFrame, rank_path: str, pattern: str, *, folder: str | None = None, seq_len: int = 512, end_id: int = 50256, key: int = 20_240_229, shard_mb: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[str, DataFrame]:
@@ -88,7 +105,9 @@ def write_in_training_order(
     permuted order: slot = sequences in earlier shards + position in the shard.
 
     Places follow the order of rows in the input's partitions, so ``docs`` has to be a table scan, which a retried task
-    reads in the same order. A null or empty text is one sequence of its end id; a null id is carried; repeated rows
+    reads in the same order; a scan that is split otherwise than when places were counted, or ids beyond 65,535, stop the
+    job with an error. Shards are dealt to tasks in ranges. ``folder``/manifest has each shard's first slot, from which
+    ``read_slots`` finds any. A null or empty text is one sequence of its end id; a null id is carried; repeated rows
     are written each; further columns are ignored; an empty table writes no shard.
     """
     spark = docs.sparkSession
@@ -98,34 +117,44 @@ def write_in_training_order(
     bounds = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(reserved).alias("n")).orderBy("p").collect()  # one row per input split
     domain = max(1, sum(int(x["n"]) for x in bounds))
     shards = max(1, -(-domain * seq_len * 2 // (shard_mb << 20)))
-    base, total = {}, 0
+    base, total = {}, 0  # of each split, the places it begins and ends at
     for x in bounds:
-        base[x["p"]] = total
+        base[x["p"]] = total, total + int(x["n"])
         total += int(x["n"])
     id_type = rows.schema[0].dataType.simpleString()
 
     def sequences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, place = encoder(rank_path, pattern), base.get(TaskContext.get().partitionId(), 0)
+        coder, split, place, end = encoder(rank_path, pattern), TaskContext.get().partitionId(), None, None
         for batch in batches:
+            if place is None:
+                if split not in base:
+                    raise RuntimeError("the table was split otherwise when its places were counted")
+                place, end = base[split]
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 source, number, places, tokens = [], [], [], []
                 for i, text in enumerate(part.column(1)):
                     text = text.as_py()
-                    ids = np.append(encode_text(text, coder), end_id).astype("<u2")
+                    ids = np.append(encode_text(text, coder), end_id)
+                    if ids.max() > 0xFFFF:
+                        raise ValueError("a token's id needs more than two bytes")
+                    ids = ids.astype("<u2")
                     for j in range(0, len(ids), seq_len):
                         source.append(i)
                         number.append(j // seq_len)
                         places.append(place + j // seq_len)
                         tokens.append(ids[j : j + seq_len].tobytes())
-                    place += len((text or "").encode()) // seq_len + 1
+                    place += len((text or "").encode("utf-8", "replace")) // seq_len + 1
+                if place > end:
+                    raise RuntimeError("the table was split otherwise when its places were counted")
                 slots = feistel(np.array(places, np.uint64), domain, key)
                 columns = [part.column(0).take(pa.array(source, pa.int64())), pa.array(number, pa.int64()), pa.array(slots), pa.array(tokens, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "part", "place", "tokens"])
 
     cut = rows.mapInArrow(sequences, f"`{id_col}` {id_type}, part long, place long, tokens binary")
     cut = cut.withColumn("shard", F.floor(F.col("place") * F.lit(float(shards)) / F.lit(float(domain))).cast("long"))
-    ordered = cut.repartition(max(1, min(shards, 20 * shuffle_partitions(spark))), "shard").sortWithinPartitions("shard", "place")
+    tasks = max(1, min(shards, 20 * shuffle_partitions(spark)))
+    ordered = cut.repartitionById(tasks, F.floor(F.col("shard") * tasks / F.lit(shards)).cast("int")).sortWithinPartitions("shard", "place")
 
     def write(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def runs() -> Iterator[tuple[int, pd.DataFrame]]:
@@ -159,5 +188,7 @@ def write_in_training_order(
     index = materialise(index, "training-index")
     counts = index.groupBy("shard").agg(F.count("*").alias("n"))  # one row per file
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
+    bases = counts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"), F.col("n").alias("records"))
+    bases.coalesce(1).write.parquet(f"{folder}/manifest")  # one row per file
+    bases = spark.read.schema(bases.schema).parquet(f"{folder}/manifest").select("shard", "first_slot")
     return folder, index.join(bases, "shard").select(id_col, "part", "shard", "position", "n_tokens", "ids_crc32", (F.col("first_slot") + F.col("position")).alias("slot"))

@@ -2,13 +2,14 @@
 
 Vectors are dealt to shards of bounded size. In each, points are inserted by greedy search from an entry point: what
 the search meets proposes neighbours, and pruning with a relaxed distance keeps edges that point in different
-directions. Queries are answered by beam search in every shard, a block of queries at a time, and merged.
+directions. Queries are answered by beam search in every shard, which streams them past its graph, and merged.
 Inner products become distances by one more coordinate: with M the shard's greatest length, (x, sqrt(M^2 - |x|^2)) has
 the length M, and the nearest points to (q, 0) are those of the largest inner product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,46 +155,58 @@ def build_index(vectors: DataFrame, *, shard_size: int = 4096, params: GraphPara
     return dealt.groupBy("dim", "shard").applyInPandas(run, "dim int, shard long, pos int, vec_id long, v array<double>, edges array<int>, entry int")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = 96, query_block: int = 2048, params: GraphParams | None = None) -> DataFrame:
+def _shard_search(points: pd.DataFrame, p: GraphParams, k: int, beam: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A function that finds the ``k`` best of one shard's ``points`` for queries (id, v)."""
+    vectors, ids = np.stack(points["v"].to_numpy()), points["id"].to_numpy()
+    edges, entry = np.stack(points["edges"].to_numpy()).astype(np.int64), int(points["entry"].iloc[0])
+    cloud = lifted(vectors).astype(np.float32)
+    keep = min(max(beam, k + 1), len(ids))
+    # A few more points to set out from cost little. A shard no larger than the beam is met from all its points, so that a
+    # table with fewer candidates than ``k`` gives them all; that only adds to what the search would reach.
+    entries = np.arange(len(ids)) if keep == len(ids) else np.unique(np.append(np.linspace(0, len(ids) - 1, p.entries).astype(np.int64), entry))
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        queries, own = np.stack(asked["v"].to_numpy()), asked["id"].to_numpy()
+        flat = np.hstack([queries, np.zeros((len(queries), 1))]).astype(np.float32)
+        met, _ = beam_search(cloud, edges, entries, flat, keep, p.width)
+        score = np.einsum("mkd,md->mk", vectors[np.maximum(met, 0)], queries)
+        drop = (met < 0) | (ids[np.maximum(met, 0)] == own[:, None])
+        score[drop] = -np.inf
+        order = np.lexsort((ids[np.maximum(met, 0)], -score), axis=1)[:, :k]
+        score, met, drop = (np.take_along_axis(x, order, 1) for x in (score, met, drop))
+        return pd.DataFrame({"query_id": np.repeat(own, met.shape[1])[~drop.ravel()], "vec_id": ids[met.ravel()[~drop.ravel()]], "score": score.ravel()[~drop.ravel()]})
+
+    return run
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = 96, params: GraphParams | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products that beam search finds over all shards.
 
     ``queries`` is (query_id, q array<double>). A query meets the shards of its dimension only, never the vector with
-    its own id; ties go to the smaller vec_id; scores are of the given vectors in double precision.
+    its own id; ties go to the smaller vec_id; scores are of the given vectors in double precision. Every shard is
+    moved once, to a task that loads it and then streams all queries past it.
     """
     p = params or GraphParams()
-    blocks = max(1, -(-queries.count() // query_block))
-    asked = queries.select("query_id", "q", F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)).alias("query_block"))
-    shards = index.select("dim", "shard").distinct().toDF("dim", "of_shard")
-    asked = asked.join(shards, "dim").select("query_id", "q", F.col("dim").alias("of_dim"), "of_shard", F.col("query_block").alias("of_block"))
-    points = index.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def run(asked: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(asked) or not len(points):
-            return found
-        points = points.sort_values("pos")
-        vectors, ids = np.stack(points["v"].to_numpy()), points["vec_id"].to_numpy()
-        edges, entry = np.stack(points["edges"].to_numpy()).astype(np.int64), int(points["entry"].iloc[0])
-        cloud = lifted(vectors).astype(np.float32)
-        keep = min(max(beam, k + 1), len(ids))
-        # A few more points to set out from cost little; a shard no larger than the beam is met whole.
-        entries = np.arange(len(ids)) if keep == len(ids) else np.unique(np.append(np.linspace(0, len(ids) - 1, p.entries).astype(np.int64), entry))
-        out = []
-        for start in range(0, len(asked), p.batch):
-            part = asked.iloc[start : start + p.batch]
-            queries = np.stack(part["q"].to_numpy())
-            flat = np.hstack([queries, np.zeros((len(queries), 1))]).astype(np.float32)
-            met, _ = beam_search(cloud, edges, entries, flat, keep, p.width)
-            own = part["query_id"].to_numpy()
-            score = np.einsum("mkd,md->mk", vectors[np.maximum(met, 0)], queries)
-            drop = (met < 0) | (ids[np.maximum(met, 0)] == own[:, None])
-            score[drop] = -np.inf
-            order = np.lexsort((ids[np.maximum(met, 0)], -score), axis=1)[:, :k]
-            score, met, drop = (np.take_along_axis(x, order, 1) for x in (score, met, drop))
-            out.append(pd.DataFrame({"query_id": np.repeat(own, met.shape[1])[~drop.ravel()], "vec_id": ids[met.ravel()[~drop.ravel()]], "score": score.ravel()[~drop.ravel()]}))
-        return pd.concat([found, *out])
-
-    near = asked.groupBy("of_dim", "of_shard", "of_block").cogroup(points.groupBy("dim", "shard", "query_block")).applyInPandas(run, "query_id long, vec_id long, score double")
+    shards = index.select("dim", "shard").distinct().toDF("of_dim", "shard")
+    points = index.select("dim", "shard", F.lit(0).alias("kind"), "pos", F.col("vec_id").alias("id"), "v", "edges", "entry")
+    asked = queries.join(shards, F.size("q") == F.col("of_dim")).select(F.col("of_dim").alias("dim"), "shard", F.lit(1).alias("kind"), F.lit(0).alias("pos"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.lit(None).cast("array<int>").alias("edges"), F.lit(None).cast("int").alias("entry"))
+    ordered = points.unionAll(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind", "pos")
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, find = None, [], None
+        for frame in frames:
+            for (dim, shard, kind), part in frame.groupby(["dim", "shard", "kind"], sort=True):
+                if now != (dim, shard):
+                    now, held, find = (dim, shard), [], None
+                if kind == 0:
+                    held.append(part)
+                    continue
+                if find is None:
+                    find, held = _shard_search(pd.concat(held), p, k, beam), []
+                for start in range(0, len(part), p.batch):
+                    yield find(part.iloc[start : start + p.batch])
+
+    near = ordered.mapInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -147,6 +147,22 @@ def test_training_order_shards_read_back(spark, tmp_path):
         assert [t for p in sorted(got[i]) for t in got[i][p]] == [*coder.encode_ordinary(text or ""), 50256]
     slots = [r.slot for r in sorted(index, key=lambda r: (r.doc_id, r.part))]
     assert slots != sorted(slots)
+    whole = training_order.read_slots(folder, 32, 0, len(index) + 5)
+    assert len(whole) == len(index) and (training_order.read_slots(folder, 32, 7, 40) == whole[7:47]).all()
+    assert all(zlib.crc32(whole[r.slot][: r.n_tokens].tobytes()) == r.ids_crc32 for r in index)
+
+
+def test_training_order_refuses_wide_ids(spark, tmp_path):
+    rows(spark, ["a b"]).write.parquet(str(tmp_path / "docs"))
+    with pytest.raises(Exception, match="more than two bytes"):
+        training_order.write_in_training_order(spark.read.parquet(str(tmp_path / "docs")), RANKS, PATTERN, end_id=70_000)
+
+
+def test_training_order_of_repeated_ids_and_clashing_columns(spark, tmp_path):
+    docs = rows(spark, ["a b", "a b", "c"], [5, 5, None]).withColumn("shard", F.lit("x")).withColumn("place", F.lit(1)).withColumn("tokens", F.lit(2))
+    docs.write.parquet(str(tmp_path / "docs"))
+    found = training_order.write_in_training_order(spark.read.parquet(str(tmp_path / "docs")), RANKS, PATTERN)[1].collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in found) == [(False, 3), (False, 3), (True, 2)] and sorted(r.slot for r in found) == [0, 1, 2]
 
 
 def test_training_order_empty(spark, tmp_path):
@@ -154,6 +170,12 @@ def test_training_order_empty(spark, tmp_path):
     assert training_order.write_in_training_order(spark.read.parquet(str(tmp_path / "docs")), RANKS, PATTERN)[1].count() == 0
 
 
+def test_round_trip_is_decode_of_encode(spark):
+    docs = rows(spark, ODD)
+    both = tokens.decode(tokens.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    assert sorted(map(repr, tokens.round_trip(docs, RANKS, PATTERN).collect())) == sorted(map(repr, both.collect()))
+
+
 # ---- op2, op8
 
 
