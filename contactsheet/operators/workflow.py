@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contactsheet.functions.geo import haversine_km
+from contactsheet.functions.text import quality
 from contactsheet.operators.facets import best_id
 from contactsheet.operators.segments import inherit_nearest
 from contactsheet.params import FACE_QUALITY, FACE_SCORE, FACE_SIZE
@@ -112,16 +115,21 @@ def visible_covers(events: DataFrame, members: DataFrame, shown: DataFrame) -> D
     return stored.join(best, "event", "left").select("event", F.coalesce("s", -F.col("b.i")).alias("cover_id"))
 
 
-def infer_places(photos: DataFrame, *, within: float) -> DataFrame:
-    """(id, place_id, location_source): a photo's own place, else its event's most frequent (the least of
-    several), else that of the photo before or after it by the same camera within ``within`` seconds. ``photos`` (id,
-    event, camera_model, taken_ts, place_id)."""
+def infer_places(photos: DataFrame, *, within: float, folder_places: DataFrame | None = None) -> DataFrame:
+    """(id, place_id, location_source): a photo's own place, else its event's most frequent (the least of
+    several), else that of the photo before or after it by the same camera within ``within`` seconds, else the place its
+    folder names. ``photos`` (id, event, camera_model, taken_ts, place_id), ``folder_places`` (id, place_id) of
+    ``places.folder_place``."""
     counts = photos.where(F.col("place_id").isNotNull() & F.col("event").isNotNull()).groupBy("event", "place_id").agg(F.count("*").alias("n"))
     mode = counts.groupBy("event").agg(F.min_by("place_id", F.struct(-F.col("n"), F.col("place_id"))).alias("of_event"))
     dated = inherit_nearest(photos.where(F.col("taken_ts").isNotNull()), "camera_model", "taken_ts", "id", "place_id", within=within).select(F.col("id").alias("d"), F.col("inherited").alias("of_time"))
     rows = photos.join(mode, "event", "left").join(dated, F.col("id") == F.col("d"), "left")
-    source = F.when(F.col("place_id").isNotNull(), "gps").when(F.col("of_event").isNotNull(), "event").when(F.col("of_time").isNotNull(), "nearby_time")
-    return rows.select("id", F.coalesce("place_id", "of_event", "of_time").alias("place_id"), source.alias("location_source"))
+    if folder_places is None:
+        rows = rows.withColumn("of_folder", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(folder_places.select(F.col("id").alias("f"), F.col("place_id").alias("of_folder")), F.col("id") == F.col("f"), "left")
+    source = F.when(F.col("place_id").isNotNull(), "gps").when(F.col("of_event").isNotNull(), "event").when(F.col("of_time").isNotNull(), "nearby_time").when(F.col("of_folder").isNotNull(), "folder")
+    return rows.select("id", F.coalesce("place_id", "of_event", "of_time", "of_folder").alias("place_id"), source.alias("location_source"))
 
 
 def home_distance(places: DataFrame, homes: DataFrame) -> DataFrame:
@@ -130,6 +138,15 @@ def home_distance(places: DataFrame, homes: DataFrame) -> DataFrame:
     return places.withColumn("one", F.lit(1)).join(h, "one").groupBy("id").agg(F.round(F.min(haversine_km(F.col("lat"), F.col("lon"), F.col("hlat"), F.col("hlon"))), 4).alias("km"))
 
 
+def geocode(photos: DataFrame, lookup: Callable[[DataFrame], DataFrame], decimals: int = 3) -> DataFrame:
+    """(id, place_id): ``lookup`` is asked once for each distinct cell of ``cells`` and its answer joined back to the
+    photos. ``lookup`` takes (id, lat, lon) and gives (id, place_id); the id is the cell's."""
+    cell = F.xxhash64(F.round("lat", decimals), F.round("lon", decimals))
+    found = lookup(cells(photos, decimals).select(cell.alias("id"), "lat", "lon"))
+    at = photos.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("id", cell.alias("cell"))
+    return at.join(found.select(F.col("id").alias("cell"), "place_id"), "cell", "left").select("id", "place_id")
+
+
 def cells(photos: DataFrame, decimals: int = 3) -> DataFrame:
     """The distinct cells that photos' positions round to, each to be looked up once."""
     return photos.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.round("lat", decimals).alias("lat"), F.round("lon", decimals).alias("lon")).distinct()
@@ -158,9 +175,12 @@ def continue_identities(clusters: DataFrame) -> DataFrame:
 
 
 def recompute_quality(photos: DataFrame, faces: DataFrame) -> DataFrame:
-    """M5: (id, face_quality): the best face of each photo, null without one."""
+    """M5: (id, face_quality, quality): the best face of each photo, null without one, and the photo's quality with it.
+    ``photos`` (id, blur, brightness, clipped, contrast, width, height, source_kind)."""
     best = faces.groupBy("photo_id").agg(F.max("quality").alias("face_quality"))
-    return photos.select("id").join(best, F.col("id") == F.col("photo_id"), "left").select("id", F.round("face_quality", 6).alias("face_quality"))
+    rows = photos.join(best, F.col("id") == F.col("photo_id"), "left")
+    value = quality(*map(F.col, ("blur", "brightness", "clipped", "contrast", "width", "height")), F.coalesce("source_kind", F.lit("")), face=F.col("face_quality"))
+    return rows.select("id", F.round("face_quality", 6).alias("face_quality"), value.alias("quality"))
 
 
 # ---- lists

@@ -34,6 +34,8 @@ LIVE_SECONDS, LIVE_SKEW, ASOF_SECONDS, TRACK_SECONDS = 5.0, 120.0, 1200.0, 300.0
 FACE_QUALITY, FACE_SCORE, FACE_SIZE = 0.35, 0.60, 40.0
 CLUSTER_K, CLUSTER_EDGE, CLUSTER_ROUNDS, CLUSTER_MIN, ATTACH, ATTACH_MARGIN = 24, 0.42, 12, 3, 0.50, 0.04
 
+MERGE, MERGE_GATE, MERGE_MEDIAN = 0.68, 0.12, 0.50
+
 # Visual search.
 VISUAL_SIGMA, VISUAL_HEAD, VISUAL_MIN, VISUAL_MAX, DIVERSIFY, DIVERSIFY_LAST = 1.6, 0.60, 40, 800, 0.93, 40
 

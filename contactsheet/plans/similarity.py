@@ -192,9 +192,60 @@ def j23_attach(lib: Library) -> DataFrame:
     return clustering.attach(rows.where(F.col("id") % 2 == 1), rows.where(F.col("id") % 2 == 0).select("id", "vec", F.col("label").alias("owner")), least=0.2)
 
 
-@query()
+_OWNED = _VECTORS + """, x AS (SELECT vec_id, label * 10 + vec_id % 10 AS owner, v, l FROM u), p AS (SELECT owner, i, avg(v[i]) AS x FROM x, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) GROUP BY 1, 2),
+c AS (SELECT owner, list(x ORDER BY i) AS v FROM p GROUP BY 1), n AS (SELECT q.owner AS q, r.owner AS r, round(list_inner_product(q.v, r.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(r.v, r.v)), 6) AS cosine FROM c q JOIN c r ON q.owner <> r.owner),
+k AS (SELECT * FROM n WHERE cosine >= {gate} QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, r) <= {k}), ab AS (SELECT DISTINCT least(q, r) AS a, greatest(q, r) AS b FROM k),
+m AS (SELECT a, b, list_inner_product(x.v, y.v) / (x.l * y.l) AS s FROM ab JOIN x ON x.owner = a JOIN x y ON y.owner = b),
+t AS (SELECT a, b, s, row_number() OVER (PARTITION BY a, b ORDER BY s DESC) AS r FROM m),
+g AS (SELECT a, b, round(avg(s) FILTER (r <= 3), 6) AS mean, count(*) FILTER (s >= {median}) / count(*) AS share FROM t GROUP BY 1, 2)
+"""
+
+
+def _owned(lib: Library) -> DataFrame:
+    return _vectors(lib).select("id", "vec", (F.col("label") * 10 + F.col("id") % 10).cast("long").alias("owner"))
+
+
+@query(_OWNED.format(gate=0.0, k=6, median=0.5) + "SELECT a, b, mean AS cosine FROM g WHERE mean >= 0.1")
 def j24_merge_candidates(lib: Library) -> DataFrame:
-    return clustering.merge_candidates(_vectors(lib).select("id", "vec", (F.col("label") * 10 + F.col("id") % 10).cast("long").alias("owner")), least=0.1)
+    return clustering.merge_candidates(_owned(lib), least=0.1)
+
+
+@query(
+    _OWNED.format(gate=0.03, k=8, median=0.0)
+    + """, near AS (SELECT a, b FROM g WHERE mean >= 0.15 AND share >= 0.5), y AS (SELECT a, b FROM near UNION SELECT b, a FROM near), z AS (SELECT owner, owner AS o FROM c UNION SELECT z.owner, y.b FROM z JOIN y ON y.a = z.o)
+SELECT owner, min(o) AS merged FROM z GROUP BY 1""",
+    recursive=True,
+)
+def g8_merge_close(lib: Library) -> DataFrame:
+    return clustering.merge_close(_owned(lib), least=0.15, median=0.0)
+
+
+@query(
+    _VECTORS
+    + """, k AS (SELECT q.vec_id AS q, r.vec_id AS id, round(list_inner_product(q.v, r.v) / (q.l * r.l), 6) AS c, q.label = r.label AS same FROM u q JOIN u r ON q.vec_id % 5 = 0 AND q.vec_id <> r.vec_id),
+n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, id) <= 24), t AS (SELECT * FROM n WHERE same QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, id) <= 5)
+SELECT vec_id AS id, coalesce((SELECT round(avg(c), 6) FROM t WHERE q = vec_id), 0) AS confidence FROM u"""
+)
+def g9_confidences(lib: Library) -> DataFrame:
+    rows = _vectors(lib)
+    near = neighbours.knn(rows.where(F.col("id") % 5 == 0).select(F.col("id").alias("query_id"), "vec"), rows, 24)
+    return clustering.confidences(near, rows.select("id", "label"))
+
+
+@query()
+def g10_identify(lib: Library) -> DataFrame:
+    rows = _vectors(lib)
+    known = rows.where(F.col("id") % 2 == 0).select("id", "vec", F.col("label").cast("long").alias("owner"))
+    return clustering.identify(rows.where(F.col("id") % 2 == 1).select("id", "vec"), known, least=0.2, edge=0.2)
+
+
+@query(
+    """, o AS (SELECT l_orderkey AS photo, l_linenumber AS old, l_linenumber % 3 AS owner, l_linenumber % 2 = 0 AS locked FROM lineitem), q AS (SELECT DISTINCT photo, old, owner, locked FROM o WHERE old < 7)
+SELECT photo * 10 + old + 1 AS id, owner, locked FROM q"""
+)
+def k2_carry_over(lib: Library) -> DataFrame:
+    old = lib.table("lineitem").where(F.col("l_linenumber") < 7).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") % 3).alias("owner"), (F.col("l_linenumber") % 2 == 0).alias("locked")).distinct()
+    return clustering.carry_over(old.select(F.col("id").alias("old"), (F.col("id") + 1).alias("new")), old)
 
 
 @query()

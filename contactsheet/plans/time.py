@@ -153,7 +153,7 @@ def m1_haversine(lib: Library) -> DataFrame:
 
 
 @query(
-    """, q AS (SELECT *, (id % 900)::DOUBLE AS blur, (id % 100) / 100.0::DOUBLE AS brightness, (id % 40) / 100.0::DOUBLE AS clipped, (id % 30) / 100.0::DOUBLE AS contrast FROM visible),
+    """, q AS (SELECT * EXCLUDE (blur), (id % 900)::DOUBLE AS blur, (id % 100) / 100.0::DOUBLE AS brightness, (id % 40) / 100.0::DOUBLE AS clipped, (id % 30) / 100.0::DOUBLE AS contrast FROM visible),
 s AS (SELECT *, CASE WHEN blur > 0 THEN least(1, greatest(0, (log10(blur) - 1.2) / 1.7)) ELSE 0 END AS sharp,
   greatest(0, 0.5 * (1 - pow(least(1, abs(brightness - 0.47) / 0.47), 1.5)) + 0.25 * least(1, contrast / 0.22) + 0.25 * (1 - least(1, clipped / 0.35))) AS exposed,
   least(1, greatest(0, log2(greatest(width::DOUBLE * height / 1e6, 0.05) / 0.3) / log2(40.0))) AS fine FROM q)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from contactsheet.adapter import WITH, Library
 from contactsheet.functions import scores
-from contactsheet.operators import predicates, segments, workflow
+from contactsheet.operators import places, predicates, segments, workflow
 from contactsheet.operators.facets import home_places
 from contactsheet.operators.predicates import visible
 from contactsheet.plans import registry
@@ -132,12 +132,16 @@ c AS (SELECT event, place_id, count(*) AS n FROM p WHERE event IS NOT NULL AND p
 w AS (SELECT *, last_value(CASE WHEN place_id IS NOT NULL THEN {'t': taken_ts, 'v': place_id} END IGNORE NULLS) OVER (PARTITION BY camera_model ORDER BY taken_ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
   first_value(CASE WHEN place_id IS NOT NULL THEN {'t': taken_ts, 'v': place_id} END IGNORE NULLS) OVER (PARTITION BY camera_model ORDER BY taken_ts, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM p WHERE taken_ts IS NOT NULL),
 t AS (SELECT id, coalesce(CASE WHEN abs(taken_ts - b.t) <= 604800 THEN b.v END, CASE WHEN abs(taken_ts - a.t) <= 604800 THEN a.v END) AS of_time FROM w)
-SELECT p.id, coalesce(place_id, of_event, of_time) AS place_id, CASE WHEN place_id IS NOT NULL THEN 'gps' WHEN of_event IS NOT NULL THEN 'event' WHEN of_time IS NOT NULL THEN 'nearby_time' END AS location_source
-FROM p LEFT JOIN m USING (event) LEFT JOIN t ON t.id = p.id"""
+SELECT p.id, coalesce(place_id, of_event, of_time, of_folder) AS place_id, CASE WHEN place_id IS NOT NULL THEN 'gps' WHEN of_event IS NOT NULL THEN 'event' WHEN of_time IS NOT NULL THEN 'nearby_time' WHEN of_folder IS NOT NULL THEN 'folder' END AS location_source
+FROM p LEFT JOIN m USING (event) LEFT JOIN t ON t.id = p.id LEFT JOIN (SELECT id, r_regionkey AS of_folder FROM visible JOIN region ON id % 5 = r_regionkey WHERE id % 7 = 0 AND r_regionkey <> 3) f ON f.id = p.id"""
 )
 def m22_infer_places(lib: Library) -> DataFrame:
     rows = visible(lib.photos).select("id", F.when(F.col("id") % 6 == 0, F.col("folder")).alias("event"), "camera_model", "taken_ts", F.when(F.col("id") % 4 == 0, F.col("place_id")).alias("place_id"))
-    return workflow.infer_places(rows, within=604800.0)
+    # One photo in seven lies in a folder named after a region; one region is too small to count.
+    region = lib.table("region")
+    paths = visible(lib.photos).where(F.col("id") % 7 == 0).join(region, F.col("id") % 5 == F.col("r_regionkey")).select("id", F.concat_ws("/", F.lit("2019"), F.concat(F.lit("Trip to "), F.initcap("r_name"))).alias("folder"))
+    cities = region.select(F.col("r_regionkey").alias("place_id"), F.col("r_name").alias("name"), F.when(F.col("r_regionkey") == 3, 400).otherwise(90_000).alias("population"))
+    return workflow.infer_places(rows, within=604800.0, folder_places=places.names_in_path(paths, cities, skip=("trip",)))
 
 
 @query(
@@ -150,6 +154,17 @@ def j30_home_distance(lib: Library) -> DataFrame:
     return workflow.home_distance(lib.places, homes)
 
 
+@query(
+    """, c AS (SELECT DISTINCT round(lat, 1) AS lat, round(lon, 1) AS lon FROM visible WHERE lat IS NOT NULL),
+d AS (SELECT c.lat, c.lon, p.id, round(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - c.lon) / 2), 2)))), 6) AS km FROM c, places p),
+n AS (SELECT lat, lon, id AS place_id FROM d WHERE km <= 60 QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY km, id) = 1)
+SELECT v.id, place_id FROM (SELECT id, round(lat, 1) AS lat, round(lon, 1) AS lon FROM visible WHERE lat IS NOT NULL) v LEFT JOIN n USING (lat, lon)"""
+)
+def m23_geocode(lib: Library) -> DataFrame:
+    spots = lib.places.select(F.col("id").alias("place_id"), "lat", "lon")
+    return workflow.geocode(visible(lib.photos), lambda cells: places.nearest_within(cells, spots, 60.0).select("id", "place_id"), 1)
+
+
 @query("SELECT DISTINCT round(s_acctbal / 100, 0) AS lat, round(s_acctbal / 50, 0) AS lon FROM supplier")
 def m23_cells(lib: Library) -> DataFrame:
     return workflow.cells(lib.table("supplier").select((F.col("s_acctbal") / 100).alias("lat"), (F.col("s_acctbal") / 50).alias("lon")), 0)
@@ -173,14 +188,21 @@ def g10_continue_identities(lib: Library) -> DataFrame:
     return workflow.continue_identities(lib.faces.select((F.col("photo_id") % 60).alias("label"), "person_id"))
 
 
-@query("SELECT v.id, round(max(f.quality), 6) AS face_quality FROM visible v LEFT JOIN faces f ON f.photo_id = v.id GROUP BY 1")
+@query(
+    """, b AS (SELECT photo_id, max(quality) AS fq FROM faces GROUP BY 1), q AS (SELECT v.*, fq, (v.id % 100) / 100.0::DOUBLE AS brightness, (v.id % 40) / 100.0::DOUBLE AS clipped, (v.id % 30) / 100.0::DOUBLE AS contrast FROM visible v LEFT JOIN b ON b.photo_id = v.id),
+s AS (SELECT *, CASE WHEN blur > 0 THEN least(1, greatest(0, (log10(blur) - 1.2) / (2.9::DOUBLE - 1.2))) ELSE 0 END AS sharp,
+  greatest(0, 0.5 * (1 - pow(least(1, abs(brightness - 0.47) / 0.47), 1.5)) + 0.25 * least(1, contrast / 0.22) + 0.25 * (1 - least(1, clipped / 0.35))) AS exposed, least(1, greatest(0, log2(greatest(width::DOUBLE * height / 1e6, 0.05) / 0.3) / log2(40.0))) AS fine FROM q)
+SELECT id, round(fq, 6) AS face_quality, round(100 * (0.35 * sharp + 0.2 * exposed + 0.1 * fine + coalesce(fq * 0.1, 0)) / (0.65 + CASE WHEN fq IS NULL THEN 0 ELSE 0.1 END) * CASE WHEN source_kind = 'screenshot' THEN 0.5 WHEN source_kind IN ('whatsapp', 'download') THEN 0.85 ELSE 1 END, 2) AS quality FROM s"""
+)
 def m5_recompute_quality(lib: Library) -> DataFrame:
-    return workflow.recompute_quality(visible(lib.photos), lib.faces)
+    k = F.col("id")
+    rows = visible(lib.photos).withColumn("brightness", (k % 100) / 100.0).withColumn("clipped", (k % 40) / 100.0).withColumn("contrast", (k % 30) / 100.0)
+    return workflow.recompute_quality(rows, lib.faces)
 
 
-@query("SELECT id % 500 AS entry, string_agg(id::VARCHAR, ',' ORDER BY id) AS photo_ids FROM visible GROUP BY 1")
+@query("SELECT id // 20 AS entry, string_agg(id::VARCHAR, ',' ORDER BY id) AS photo_ids FROM visible GROUP BY 1")
 def p29_redacted_log(lib: Library) -> DataFrame:
-    log = lib.photos.groupBy((F.col("id") % 500).alias("entry")).agg(F.array_sort(F.collect_list("id")).alias("photo_ids"))
+    log = lib.photos.groupBy(F.floor(F.col("id") / 20).alias("entry")).agg(F.array_sort(F.collect_list("id")).alias("photo_ids"))  # an entry lists 20 photos
     return workflow.redacted_log(log, visible(lib.photos)).select("entry", F.array_join(F.col("photo_ids").cast("array<string>"), ",").alias("photo_ids"))
 
 

@@ -22,11 +22,12 @@ def read_listing(spark: SparkSession, root: str, root_id: int = 0) -> DataFrame:
 
 
 def media(listing: DataFrame) -> DataFrame:
-    """``listing`` without empty files, other endings, resource forks and skipped folders, with ``media_type``
+    """``listing`` without empty files, other endings, resource forks, files in the trash of a phone, and whatever
+    lies in a skipped or hidden folder, with ``media_type``
     (image, raw or video) and ``folder``, ``filename``, ``stem``, ``ext``."""
     parts = F.split("rel_path", "/")
     rows = listing.withColumn("filename", F.element_at(parts, -1)).withColumn("folder", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"))
     rows = rows.withColumn("ext", F.lower(F.regexp_extract("filename", r"(\.[^.]+)$", 1))).withColumn("stem", F.lower(F.regexp_replace("filename", r"\.[^.]+$", "")))
     kind = F.when(F.col("ext").isin(*IMAGES), "image").when(F.col("ext").isin(*RAWS), "raw").when(F.col("ext").isin(*VIDEOS), "video")
-    skipped = F.exists(F.split(F.lower("folder"), "/"), lambda x: x.isin(*SKIPPED_FOLDERS))
-    return rows.withColumn("media_type", kind).where((F.col("size") > 0) & F.col("media_type").isNotNull() & ~F.col("filename").startswith("._") & ~skipped)
+    skipped = F.exists(F.split(F.lower("folder"), "/"), lambda x: x.isin(*SKIPPED_FOLDERS) | x.startswith("."))
+    return rows.withColumn("media_type", kind).where((F.col("size") > 0) & F.col("media_type").isNotNull() & ~F.col("filename").startswith("._") & ~F.lower("filename").startswith(".trashed-") & ~skipped)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contactsheet.functions import text
 from contactsheet.functions import vectors as vx
 from contactsheet.operators import clustering, duplicates, keywords, library, maintenance, neighbours, places, predicates, segments
-from contactsheet.sources import evidence, export, listing
+from contactsheet.sources import evidence, export, listing, media
 from contactsheet.streaming import incremental
 
 
@@ -199,6 +199,9 @@ def test_clusters_are_pure_and_strangers_stay_out(spark):
 def test_merging_clusters(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 10), (2, [1.0, 0.1, 0.0], 11), (3, [0.0, 0.0, 1.0], 12), (4, [1.0, 0.2, 0.0], 13)], "id long, vec array<double>, owner long")
     assert {r.owner: r.merged for r in clustering.merge_close(rows, least=0.9).collect()} == {10: 10, 11: 10, 12: 12, 13: 10}
+    # Three members alike are not enough when most of the others are not.
+    mixed = rows.unionAll(spark.createDataFrame([(20 + i, [0.0, 1.0, float(i % 2)], 11) for i in range(9)], rows.schema))
+    assert {r.owner: r.merged for r in clustering.merge_close(mixed, least=0.3, gate=0.3, best=1).collect()}[11] == 11
     pairs = clustering.merge_candidates(rows, least=0.9)
     said = spark.createDataFrame([(11, 10)], "a long, b long")
     assert {(r.a, r.b) for r in clustering.undismissed(pairs, said, 9).collect()} == {(10, 13), (11, 13)}
@@ -381,3 +384,76 @@ def test_as_of_joins_of_one_large_key(spark):
 def test_merge_fold_of_a_null_key(spark):
     rows = spark.createDataFrame([(None, i, i * 3600.0, i * 3600.0 + 60, "a") for i in range(3)], "k long, segment long, start_ts double, end_ts double, top string")
     assert [r.event for r in segments.merge_sessions(rows, "k").orderBy("segment").collect()] == [0, 0, 0]
+
+
+def test_dates_and_positions_of_containers(spark):
+    value = lambda c: one(spark, c)
+    text_ = lambda x: F.lit(x).cast("string")
+    stamp = lambda c: (lambda v: v and str(v))(value(c))
+    assert [stamp(media.exif_date(text_(x), 2030)) for x in ("2020:01:02 03:04:05", "2020-01-02", "0000:00:00 00:00:00", "1970:01:01 00:00:00", "x", None)] == ["2020-01-02 03:04:05", "2020-01-02 00:00:00", None, None, None, None]
+    assert stamp(media.xmp_date(text_('<x xmp:CreateDate="2021-05-06T07:08:09"/>'), 2030)) == "2021-05-06 07:08:09"
+    assert stamp(media.container_date(text_("2024-03-09T11:00:00+0530"), 2030)) == "2024-03-09 11:00:00"
+    assert stamp(media.container_date(text_("1904-01-01T00:00:00"), 2030)) is None
+    at = datetime(2021, 6, 26, 10, 25, tzinfo=UTC).timestamp()
+    assert [value(media.cloud_date(text_(x))) for x in ("Saturday June 26,2021 10:25 AM GMT", "June 26 2021 10:25", "2021-06-26T10:25:00Z", "never", None)] == [at, at, at, None, None]
+    assert value(media.cloud_date(text_("June 26,2021 12:05 AM"))) == at - 37_200
+    deg = lambda parts, ref: value(media.degrees(F.array(*map(F.lit, parts)).cast("array<double>"), F.lit(ref)))
+    assert [deg((17.0, 30.0, 0.0), "N"), deg((17.0, 30.0), "S"), deg((17.0, 90.0, 0.0), "N"), deg((-1.0, 0.0, 0.0), "N")] == [17.5, -17.5, None, None]
+    p = value(media.position(text_("+17.3850+078.4867+500.0/")))
+    assert (p.lat, p.lon, p.alt) == (17.385, 78.4867, 500.0) and value(media.position(text_("+00.0+000.0/"))) is None and value(media.position(text_("+95.0+010.0/"))) is None
+
+
+def test_video_records(spark):
+    none = None
+    rows = [
+        (1, "VID_20200102_030405.mp4", "x", none, "2020-01-02T00:00:00Z", none, "Apple", "Apple iPhone 9", none),
+        (2, "a.mov", "x", "2021-02-03T04:05:06+0100", "2020-01-02T00:00:00Z", "+10.5-020.25/", none, none, none),
+        (3, "clip.mp4", "2019-08-12 Goa", none, "1970-01-01T00:00:00Z", none, none, none, none),
+        (4, "Screen Recording 7.mp4", "x", none, none, none, none, none, none),
+    ]
+    films = spark.createDataFrame(rows, "id long, filename string, folder string, local_date string, utc_date string, location string, make string, model string, software string")
+    films = films.withColumn("width", F.lit(100)).withColumn("height", F.lit(100)).withColumn("modified", F.lit("2022-01-01").cast("timestamp"))
+    found = {r.id: r for r in media.video_records(films, 2030).collect()}
+    short = lambda r: (str(r.taken), r.date_source, r.date_confidence, r.source_kind, r.model)
+    assert short(found[1]) == ("2020-01-02 03:04:05", "filename", "high", "phone", "iPhone 9")
+    assert short(found[2]) == ("2021-02-03 04:05:06", "container", "high", "unknown", None) and (found[2].lat, found[2].lon) == (10.5, -20.25)
+    assert short(found[3])[:3] == ("2019-08-12 00:00:00", "folder", "low") or short(found[3])[1] == "folder"
+    assert short(found[4])[1:4] == ("mtime", "low", "screenshot")
+
+
+def test_motion_offset_and_albums(spark):
+    body = b"\xff\xd8abc" + b"\x00\x00\x00\x18ftypmp42" + b"rest"
+    rows = spark.createDataFrame([(1, bytearray(body)), (2, bytearray(b"\xff\xd8 plain")), (3, None)], "id long, content binary")
+    assert {r.id: r.o for r in rows.select("id", media.motion_offset(F.col("content")).alias("o")).collect()} == {1: body.index(b"ftyp") - 4, 2: None, 3: None}
+    lines = spark.createDataFrame([("f:/a/Summer.csv", "Images"), ("f:/a/Summer.csv", '"IMG_1.JPG"'), ("f:/a/Summer.csv", "")], "path string, value string")
+    assert [tuple(r) for r in media.album_members(lines).collect()] == [("Summer", "IMG_1.JPG")]
+
+
+def test_hidden_folders_and_trash_are_no_media(spark):
+    names = ["a.jpg", ".hidden/b.jpg", "x/.trashed-1-c.jpg", "x/d.jpg", "x/._e.jpg"]
+    rows = spark.createDataFrame([(0, n, 5, 0.0) for n in names], "root_id int, rel_path string, size long, mtime double")
+    assert sorted(r.rel_path for r in listing.media(rows).collect()) == ["a.jpg", "x/d.jpg"]
+
+
+def test_visual_cut_of_many_rows(spark):
+    r = np.random.default_rng(5)
+    scores = np.round(np.concatenate([r.standard_normal(20_000), r.standard_normal(300) + 6, [6.5] * 50]), 9)
+    found = {x.id: x.score for x in neighbours.visual_cut(spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "id long, score double")).collect()}
+    head = np.sort(scores)[::-1][: len(scores) // 200].mean()
+    cut = max(scores.mean() + 1.6 * scores.std(), scores.mean() + 0.6 * (head - scores.mean()))
+    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:800]
+    assert set(found) == {i for n, i in enumerate(order) if scores[i] >= cut or n < 40}
+
+
+def test_identities_go_on_and_begin(spark):
+    r = np.random.default_rng(2)
+    centres = r.standard_normal((3, 32)) * 3
+    make = lambda c, n, base: [(base + i, (centres[c] + 0.4 * r.standard_normal(32)).tolist()) for i in range(n)]
+    members = spark.createDataFrame([(i, v, 7) for i, v in make(0, 6, 0)], "id long, vec array<double>, owner long")
+    new = spark.createDataFrame(make(0, 4, 100) + make(1, 8, 200) + make(2, 1, 300), "id long, vec array<double>")
+    found = {x.id: (x.owner, x.how) for x in clustering.identify(new, members).collect()}
+    assert all(found[i] == (7, "attached") for i in range(100, 104)) and len({found[i][0] for i in range(200, 208)}) == 1 and found[200][0] < 0 and 300 not in found
+
+
+def test_free_names(spark):
+    assert [one(spark, text.free_name(F.lit("a.b.jpg"), F.lit(n))) for n in (1, 2)] == ["a.b.jpg", "a.b (2).jpg"]
