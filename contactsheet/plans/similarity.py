@@ -69,9 +69,14 @@ def g5_components(lib: Library) -> DataFrame:
     return duplicates.components(duplicates.band_links(_hashed(lib)))
 
 
-_PAIRS = """, p AS (SELECT a.id AS a, b.id AS b, (a.id * 7 + b.id) % 20 AS ph, (a.id + b.id) % 12 AS dh, CASE WHEN a.id % 3 <> 0 THEN 0.92 + (a.id % 80) / 1000.0 END::DOUBLE AS sem,
-  a.sha256 = b.sha256 AND a.id % 4 = 0 AS same, coalesce(a.source_kind, '') AS ka, coalesce(b.source_kind, '') AS kb, a.width = b.width AND a.height = b.height AS eq, abs(a.taken_ts - b.taken_ts) AS dt
-  FROM photos a JOIN photos b ON a.camera_model = b.camera_model AND a.place_id = b.place_id AND a.id < b.id AND b.id < a.id + 400),
+_PART = "('0x' || substr(md5({text}), {at}, 4))::BIGINT"
+_BITS = lambda text: f"({_PART.format(text=text, at=1)} + {_PART.format(text=text, at=5)} * 65536 + {_PART.format(text=text, at=9)} * 4294967296 + ({_PART.format(text=text, at=13)} % 32768) * 281474976710656)"
+_PAIRS = f""", fp AS (SELECT *, xor({_BITS("(id // 4)::VARCHAR")}, id % 4 * 11184799) AS phash, xor({_BITS("'d' || (id // 4)")}, id % 4 * 2396745) AS dhash FROM photos),
+keyed AS (SELECT id, phash, i AS band, (phash >> (16 * i)::INT) & 65535 AS key FROM fp, range(4) r(i)),
+cand AS (SELECT x.id AS a, y.id AS b FROM keyed x JOIN keyed y ON x.band = y.band AND x.key = y.key AND x.id < y.id WHERE bit_count(xor(x.phash, y.phash)) <= 16 UNION SELECT x.id, y.id FROM fp x JOIN fp y ON x.sha256 = y.sha256 AND x.id < y.id),
+p AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.phash, b.phash)) AS ph, bit_count(xor(a.dhash, b.dhash)) AS dh, CASE WHEN a.id % 3 <> 0 THEN 0.92 + (a.id % 80) / 1000.0 END::DOUBLE AS sem,
+  a.sha256 = b.sha256 AS same, coalesce(a.source_kind, '') AS ka, coalesce(b.source_kind, '') AS kb, a.width = b.width AND a.height = b.height AS eq, abs(a.taken_ts - b.taken_ts) AS dt
+  FROM cand JOIN fp a ON a.id = cand.a JOIN fp b ON b.id = cand.b),
 f AS (SELECT *, CASE WHEN same THEN 'exact' WHEN ka IN ('screenshot', 'download') AND kb IN ('screenshot', 'download') THEN
     CASE WHEN ph <= 2 AND dh <= 4 AND eq THEN 'near' WHEN sem >= 0.995 AND ph <= 6 THEN 'likely' END
   WHEN (ph <= 6 AND dh <= 10) OR (sem >= 0.985 AND ph <= 12) THEN 'near' WHEN sem >= 0.955 AND (ph <= 16 OR ka = 'screenshot' OR kb = 'screenshot') THEN 'likely' WHEN sem >= 0.93 THEN 'similar' END AS k FROM p),
@@ -79,24 +84,35 @@ c AS (SELECT a, b, CASE WHEN k IN ('near', 'likely') AND coalesce(dt >= 0.5 AND
 """
 
 
+def _fingerprinted(lib: Library) -> DataFrame:
+    """Photos with hashes: four ids in a row are shots of one scene, a few bits apart."""
+    k = F.col("id")
+    part = lambda text, at: F.conv(F.substring(F.md5(text.cast("binary")), at, 4), 16, 10).cast("long")
+    bits = lambda text: part(text, 1) + part(text, 5) * 65536 + part(text, 9) * 4294967296 + (part(text, 13) % 32768) * 281474976710656
+    scene = F.floor(k / 4).cast("string")
+    return lib.photos.select("id", "sha256", "source_kind", "width", "height", "taken_ts", bits(scene).bitwiseXOR(k % 4 * 11184799).alias("phash"), bits(F.concat(F.lit("d"), scene)).bitwiseXOR(k % 4 * 2396745).alias("dhash"))
+
+
 def _classified(lib: Library) -> DataFrame:
-    side = lambda s: lib.photos.select("camera_model", "place_id", F.floor(F.col("id") / 400).alias("band"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "sha256", "source_kind", "width", "height", "taken_ts")])
-    # Ids less than 400 apart lie in one band of 400 or in neighbouring ones: an equi-join that does not grow with a place.
-    near = side("a").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    rows = near.join(side("b"), ["camera_model", "place_id", "band"]).where((F.col("id_a") < F.col("id_b")) & (F.col("id_b") < F.col("id_a") + 400))
-    a, b = F.col("id_a"), F.col("id_b")
+    """The kinds of all pairs that share a band of their hash or their content, wherever they lie."""
+    rows = _fingerprinted(lib)
+    # Copies of one content are two here; a library with large groups classifies their links to the first.
+    pairs = duplicates.band_pairs(rows).select("a", "b").unionAll(duplicates.exact_links(rows)).distinct()
+    side = lambda s: rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns])
+    met = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    a = F.col("a")
     kind = duplicates.classify(
-        (a * 7 + b) % 20,
-        (a + b) % 12,
+        vx.hamming(F.col("phash_a"), F.col("phash_b")),
+        vx.hamming(F.col("dhash_a"), F.col("dhash_b")),
         F.when(a % 3 != 0, 0.92 + (a % 80) / 1000.0),
-        (F.col("sha256_a") == F.col("sha256_b")) & (a % 4 == 0),
+        F.col("sha256_a") == F.col("sha256_b"),
         (F.coalesce("source_kind_a", F.lit("")), F.coalesce("source_kind_b", F.lit(""))),
         (F.col("width_a") == F.col("width_b")) & (F.col("height_a") == F.col("height_b")),
         F.lit(False),
         F.abs(F.col("taken_ts_a") - F.col("taken_ts_b")),
         F.lit(True),
     )
-    return rows.select(a.alias("a"), b.alias("b"), kind.alias("kind")).where(F.col("kind").isNotNull())
+    return met.select("a", "b", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
 @query(_PAIRS + "SELECT * FROM c WHERE kind IS NOT NULL")
@@ -104,11 +120,21 @@ def g13_classify(lib: Library) -> DataFrame:
     return _classified(lib)
 
 
-@query()
+_REACH = ", ".join(f"r{n} AS (SELECT a AS x, a AS y FROM e{n} UNION SELECT b, b FROM e{n} UNION SELECT r{n}.x, e.b FROM r{n} JOIN (SELECT a, b FROM e{n} UNION ALL SELECT b, a FROM e{n}) e ON e.a = r{n}.y), g{n} AS (SELECT x AS id, min(y) AS root FROM r{n} GROUP BY 1)" for n in range(4))
+_EDGES = ", ".join(f"e{n} AS (SELECT a, b FROM c WHERE kind IN ({kinds}))" for n, kinds in enumerate(("'exact'", "'exact', 'near'", "'exact', 'near', 'likely'", "'exact', 'near', 'likely', 'similar'")))
+
+
+@query(
+    _PAIRS
+    + f", {_EDGES}, {_REACH} SELECT 'exact' AS kind, root, id FROM g0"
+    + "".join(
+        f" UNION ALL SELECT '{kind}', root, id FROM g{n} WHERE root NOT IN (SELECT n.root FROM g{n} n LEFT JOIN g{n - 1} o ON o.id = n.id GROUP BY 1 HAVING count(DISTINCT coalesce(o.root, -1)) = 1 AND min(coalesce(o.root, -1)) <> -1)"
+        for n, kind in ((1, "near"), (2, "likely"), (3, "similar"))
+    ),
+    recursive=True,
+)
 def g6_groups(lib: Library) -> DataFrame:
-    # Copies of equal content are exact wherever they lie; only their links to the first are needed for groups.
-    exact = duplicates.exact_links(lib.photos).withColumn("kind", F.lit("exact"))
-    return duplicates.groups(_classified(lib).unionAll(exact))
+    return duplicates.groups(_classified(lib))
 
 
 @query(

@@ -197,7 +197,12 @@ def j10_utc(lib: Library) -> DataFrame:
     return visible(lib.photos).select("id", export.utc_of(F.col("taken_ts"), offset).alias("utc"))
 
 
-@query()
+@query(
+    """, n AS (SELECT photo_id, list_sort(list(DISTINCT name)) AS people FROM faces JOIN persons ON persons.id = person_id WHERE name IS NOT NULL GROUP BY 1)
+SELECT folder || '/' || filename || '.xmp' AS path, '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:lr="http://ns.adobe.com/lightroom/1.0/" xmp:Rating="'
+  || rating || '"><lr:hierarchicalSubject><rdf:Bag><rdf:li>' || camera_model || '</rdf:li>' || coalesce(array_to_string(list_transform(people, lambda p: '<rdf:li>People|' || p || '</rdf:li>'), ''), '')
+  || '</rdf:Bag></lr:hierarchicalSubject><dc:description><rdf:Alt><rdf:li></rdf:li></rdf:Alt></dc:description></rdf:Description></rdf:RDF></x:xmpmeta>' AS xml FROM visible LEFT JOIN n ON photo_id = id"""
+)
 def k8_xmp_export(lib: Library) -> DataFrame:
     names = lib.faces.join(lib.persons.where(F.col("name").isNotNull()), F.col("person_id") == F.col("id")).groupBy("photo_id").agg(F.array_sort(F.collect_set("name")).alias("people"))  # one photo's names
     rows = visible(lib.photos).join(names, F.col("id") == F.col("photo_id"), "left").withColumn("keywords", F.array("camera_model")).withColumn("description", F.lit(None).cast("string"))
