@@ -417,7 +417,8 @@ def drop_near_duplicates(docs: DataFrame, p: JoinParams | None = None, *, id_col
     of_set = classes.join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     members = materialise(sets.where(F.col("n") > 0).select("set_key", "doc_id", "text_hash").join(of_set, "set_key").select("root", "doc_id", "text_hash"), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = members.groupBy("root").agg(first, F.count("*").alias("size")).where(F.col("size") > 1).select("root", "first")
+    # Written first, so that Spark can split the rows of a large group among the tasks of the join.
+    kept = materialise(members.groupBy("root").agg(first, F.count("*").alias("size")).where(F.col("size") > 1).select("root", "first"), "kept")
     is_kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     marks = members.join(kept, "root").groupBy("doc_id", "text_hash").agg(F.first(is_kept).alias("kept"), F.count("*").alias("rows"))
     marks = materialise(marks.where(~F.col("kept") | (F.col("rows") > 1)), "marks")
