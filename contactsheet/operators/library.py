@@ -114,8 +114,8 @@ def one_to_one(rated: DataFrame, left: str, right: str, score: str) -> DataFrame
     rest, taken = materialise(rated.select(left, right, score), "pairs"), None
     order = [F.col(score).desc(), F.col(left), F.col(right)]
     while True:
-        ranked = rest.withColumn("l", F.row_number().over(Window.partitionBy(left).orderBy(*order))).withColumn("r", F.row_number().over(Window.partitionBy(right).orderBy(*order)))
-        best = materialise(ranked.where("l = 1 and r = 1").select(left, right, score), "pairs")
+        ranked = rest.withColumn("__l", F.row_number().over(Window.partitionBy(left).orderBy(*order))).withColumn("__r", F.row_number().over(Window.partitionBy(right).orderBy(*order)))
+        best = materialise(ranked.where("__l = 1 and __r = 1").select(left, right, score), "pairs")
         if not best.limit(1).count():
             return best if taken is None else taken
         taken = best if taken is None else taken.unionAll(best)
