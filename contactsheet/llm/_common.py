@@ -30,15 +30,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def usable_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, drop_zero: bool = False) -> DataFrame:
-    """(id_col, vector_col as array<double>): one row per id, without vectors that cannot be scored.
+    """(id_col, vector_col as array<double>): the rows whose vectors can be scored.
 
     Left out: a null id, a null or empty vector, a vector with a null, NaN or infinite component and, with
-    ``drop_zero``, one whose components are all 0. Rows that repeat an id count once, with the smallest vector.
+    ``drop_zero``, one whose components are all 0. Rows that repeat an id stay, and take part each.
     """
     vector = F.col(vector_col).cast("array<double>")
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     keep = F.col(id_col).isNotNull() & vector.isNotNull() & (F.size(vector) > 0) & ~odd
     if drop_zero:
         keep &= F.exists(vector, lambda x: x != 0)
-    rows = embeddings.where(F.coalesce(keep, F.lit(False))).select(F.col(id_col).cast("long").alias(id_col), vector.alias(vector_col))
-    return rows.groupBy(id_col).agg(F.min(vector_col).alias(vector_col))
+    return embeddings.where(F.coalesce(keep, F.lit(False))).select(F.col(id_col).cast("long").alias(id_col), vector.alias(vector_col))

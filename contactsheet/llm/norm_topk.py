@@ -104,7 +104,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, classes: int = 16,
 
     ``queries`` (query_id long, q array<double>) and ``vectors`` (vec_id long, v array<double>) hold whole numbers; a
     vector is no candidate of the query with its own id, nor of one of another dimension. With fewer candidates than
-    ``k``, all are returned; without any, the query has no row. Products must fit 64 bits.
+    ``k``, all are returned; without any, the query has no row. Products must fit 64 bits. Rows that repeat a vec_id are
+    candidates each; of queries that repeat an id, the best of all are returned together.
     """
     spark = vectors.sparkSession
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))

@@ -184,7 +184,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = 96, para
 
     ``queries`` is (query_id, q array<double>). A query meets the shards of its dimension only, never the vector with
     its own id; ties go to the smaller vec_id; scores are of the given vectors in double precision. Every shard is
-    moved once, to a task that loads it and then streams all queries past it.
+    moved once, to a task that loads it and then streams all queries past it. Rows that repeat a vec_id are candidates
+    each; of queries that repeat an id, the best of all are returned together.
     """
     p = params or GraphParams()
     shards = index.select("dim", "shard").distinct().toDF("of_dim", "shard")

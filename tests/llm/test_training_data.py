@@ -229,6 +229,31 @@ def test_vamana_recall_and_scores(spark):
     assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) for v in found.values())
 
 
+def test_searches_take_every_row_of_a_repeated_id(spark):
+    data = [(0, [2.0, 1.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (1, [0.0, 7.0]), (2, [2.0, 1.0]), (3, [2.0, 1.0])]
+    held = spark.createDataFrame(data, "vec_id long, v array<double>")
+    asked = held.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    want = sorted(((-sum(x * y for x, y in zip(v, (2.0, 1.0), strict=True)), i) for i, v in data if i), key=lambda x: x)
+    for found in (norm_topk.top_k(asked, held, 5), vamana.nearest(held, asked, 5)):
+        assert [(-x.score, x.vec_id) for x in found.orderBy("rank").collect()] == want  # ties to the smaller id
+
+
+def test_vamana_recall_on_a_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    made = {}
+    for x in queries.op2_vamana(spark, "/root/testdata/sf0.01").collect():
+        made.setdefault(x.query_id, set()).add(x.vec_id)
+    rows_ = usable_vectors(table, drop_zero=True).collect()
+    ids, m = np.array([x.vec_id for x in rows_]), np.array([x.embedding for x in rows_])
+    met = total = 0
+    for q in ids[ids % 20 == 0]:
+        s = m @ m[ids == q][0]
+        s[ids == q] = -np.inf
+        best = ids[np.lexsort((ids, -s))[:20]]
+        met, total = met + len(made[q] & set(best.tolist())), total + len(best)
+    assert met / total >= 0.95
+
+
 def test_vamana_returns_all_of_a_few(spark):
     held = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "vec_id long, v array<double>")
     asked = held.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
@@ -353,6 +378,54 @@ def test_op4_digests(spark, tmp_path):
     assert found[2].n_email == 1 and found[2].base_sha256 == hashlib.sha256(b"email:19:25").hexdigest() and found[2].spans == "email:0:18,email:19:25"
 
 
+def gram_key(gram):
+    key = 0
+    for c in gram:
+        key = (key << 21) | ord(c)
+    return key
+
+
+def test_language_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").limit(120)
+    rows_ = docs.collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    profiles = langid.learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, size=60)
+    plain = {}
+    for lang, text in [(r.lang, r.text) for r in rows_ if r.lang and not held(r.doc_id)]:
+        counts = plain.setdefault(lang, {})
+        for gram, n in gram_counts(text).items():
+            counts[gram] = counts.get(gram, 0) + n
+    ranked = {lang: sorted(c, key=lambda g: (-c[g], g))[:60] for lang, c in plain.items()}
+    for r in langid.identify(docs, profiles).collect():
+        own = gram_counts(r.text)
+        own = sorted(own, key=lambda g: (-own[g], g))[:60]
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        far = {lang: sum(min(abs(p.index(g) - i), 60) if g in p else 60 for i, g in enumerate(own)) for lang, p in ranked.items()}
+        best = min(sorted(far), key=far.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 - far[best] / (60 * len(own)))
+
+
+def gram_counts(text):
+    """Letter n-grams of 1 to 3 with a blank around each word, by their keys, counted one by one."""
+    chars = [c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text]
+    words, out = "".join(chars).split(), {}
+    line = " " + "".join(w + " " for w in words)
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            gram = line[i : i + n]
+            if words and not (n == 1 and gram == " ") and not (n == 3 and gram[1] == " "):
+                out[gram_key(gram)] = out.get(gram_key(gram), 0) + 1
+    return out
+
+
+def test_a_language_of_equal_rows_is_learned(spark):
+    docs = spark.createDataFrame([(5, "the same text", "en")] * 50 + [(i, f"der text {i}", "de") for i in range(50)], "doc_id long, text string, lang string")
+    for fit in (1, 3):
+        assert langid.learn(docs, F.lit(True), fit_documents=fit).langs == ["de", "en"]
+
+
 # ---- op6
 
 
@@ -408,6 +481,51 @@ def test_mil_gradient_matches_differences():
         part[at] = kept
 
 
+def test_mil_scores_against_a_loop_over_passages(spark):
+    r = np.random.default_rng(3)
+    model = attention_mil.Model.start(2)
+    model.parts["mean"], model.parts["wo"] = r.standard_normal(attention_mil.FEATURES) * 0.1, r.standard_normal(model.HIDDEN)
+    texts = [None, "", "one", *("Some words, of a text! 12 " * n for n in (1, 30, 200))]
+    p = model.parts
+    found = {x.doc_id: x for x in attention_mil.score(rows(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        encoded, logits = [], []
+        for passage in attention_mil.passages(text).astype(float):
+            h = np.maximum((passage - p["mean"]) * p["scale"] @ p["we"] + p["be"], 0)
+            gate = np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))
+            encoded.append(h)
+            logits.append(float(gate @ p["wa"]))
+        weights = np.exp(np.array(logits) - max(logits))
+        weights /= weights.sum()
+        score = 1 / (1 + np.exp(-float(sum(w * h for w, h in zip(weights, encoded, strict=True)) @ p["wo"] + p["bo"][0])))
+        assert found[i].score == pytest.approx(score) and found[i].top_weight == pytest.approx(weights.max()) and found[i].passages == len(encoded)
+
+
+def test_long_documents_are_fitted_by_passages_of_all_of_it(spark):
+    bag = np.arange(1000)[:, None]
+    few = attention_mil.spread(bag, 64)
+    assert len(few) == 64 and few[0] == 0 and few[-1] == 999 and attention_mil.spread(bag[:5], 64) is not None
+    texts = ["good words here. " * 8000, "bad | junk || " * 8000] * 4
+    docs = rows(spark, texts)
+    known = spark.createDataFrame([(i, 1 - i % 2) for i in range(8)], "doc_id long, quality int")
+    model = attention_mil.learn(docs, known)
+    got = {x.doc_id: x.score for x in attention_mil.score(docs, model).collect()}
+    assert min(got[0], got[2]) > 0.5 > max(got[1], got[3])
+
+
+def test_toxicity_of_string_ids_and_clean_rows(spark):
+    texts = ["you vile idiot", "vile idiot go", "idiot vile vile", "fine day", "a fine walk", "the day is fine"] * 8
+    texts = [f"{t} q{chr(97 + i % 26)}{chr(97 + i // 26)}" for i, t in enumerate(texts)]  # equal texts would count once
+    docs = spark.createDataFrame([(f"id{i}", t, "x") for i, t in enumerate(texts)], "doc_id string, text string, terms string")
+    known = spark.createDataFrame([(f"id{i}", int(i % 6 < 3)) for i in range(len(texts))], "doc_id string, toxic int")
+    model, all_vectors = toxicity.learn(docs, known, keep=docs.columns)
+    scored = {x.doc_id: x for x in toxicity.score(model, all_vectors).collect()}
+    assert all((x.predicted == 1) == (int(i[2:]) % 6 < 3) for i, x in scored.items())
+    assert {type(e.doc_id) for x in scored.values() for e in x.evidence} == {str}
+    stays = toxicity.clean(model, all_vectors)
+    assert stays.columns == ["doc_id", "text", "terms"] and sorted(x.doc_id for x in stays.collect()) == sorted(i for i, x in scored.items() if x.predicted == 0)
+
+
 @pytest.fixture(scope="module")
 def sf(spark):
     return "/root/testdata/sf0.01"
@@ -535,6 +653,34 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted((r.n_shingles, r.component_id) for r in found) == [(0, 8), (1 + 0, 5), (56, 5), (56, 5), (57, 5)]
 
 
+def test_words_that_sum_alike_have_other_hashes():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert len(a) == 2048 and shingles.shingle_hashes(a).tolist() != shingles.shingle_hashes(b).tolist()
+
+
+def test_near_duplicates_of_large_blocks_and_long_texts(spark):
+    r = np.random.default_rng(8)
+    words = [f"v{i}" for i in range(3000)]
+    passage = " ".join(r.choice(words, 40))
+    own = lambda n: " ".join(r.choice(words, n))
+    shared = [passage + " " + own(30) for _ in range(40)]  # a passage in common, no links
+    base = own(80).split()
+    near = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(25)] + [passage + " " + " ".join(base[:60])]
+    long = own(20_000)
+    texts = [*shared, *near, long, long + " end", *([shared[3]] * 30)]
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(rows(spark, texts), ngram_join.JoinParams(cell_shingles=400, hot_sample=40, hot_keys=30)).collect()}
+    assert [found[i] for i in range(len(texts))] == plain_components(texts)
+
+
+def test_drop_near_duplicates_of_repeated_and_null_ids(spark):
+    text = " ".join(f"t{i}" for i in range(60))
+    docs = rows(spark, [text, text, text + " more", "other " * 9, "other " * 9, None, None, ""], [5, 5, 9, None, None, 3, 3, 3])
+    kept = ngram_join.drop_near_duplicates(docs).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in kept) == [(False, 3, ""), (False, 3, ""), (False, 3, ""), (False, 5, text), (True, 0, "other " * 9)]
+
+
 def test_drop_near_duplicates_keeps_one(spark, tmp_path):
     texts = noisy_texts(3, 120)
     rows(spark, [*texts, texts[20]], [*range(120), 20]).write.parquet(str(tmp_path / "d"))
