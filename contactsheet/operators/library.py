@@ -34,7 +34,7 @@ def missing_from(rows: DataFrame, key: str, known: DataFrame, known_key: str) ->
 def map_points(photos: DataFrame, places: DataFrame, limit: int) -> DataFrame:
     """Located photos, newest first, to five decimals."""
     at = places.select(F.col("id").alias("p_id"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
-    rows = photos.join(at, F.col("place_id") == F.col("p_id"))
+    rows = photos.select("id", "place_id", "taken_ts").join(at, F.col("place_id") == F.col("p_id"))
     return rows.orderBy(F.col("taken_ts").desc_nulls_last(), "id").limit(limit).select("id", "lat", "lon")
 
 

@@ -35,7 +35,7 @@ def p36_missing_thumbs(lib: Library) -> DataFrame:
     return library.missing_from(visible(lib.photos), "sha256", lib.photos.where(F.col("id") % 3 == 0), "sha256")
 
 
-@query("SELECT v.id, round(lat, 5) AS lat, round(lon, 5) AS lon FROM visible v JOIN places p ON p.id = place_id ORDER BY taken_ts DESC NULLS LAST, v.id LIMIT 500")
+@query("SELECT v.id, round(p.lat, 5) AS lat, round(p.lon, 5) AS lon FROM visible v JOIN places p ON p.id = place_id ORDER BY taken_ts DESC NULLS LAST, v.id LIMIT 500")
 def p40_map_points(lib: Library) -> DataFrame:
     return library.map_points(visible(lib.photos), lib.places, 500)
 

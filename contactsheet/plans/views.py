@@ -33,7 +33,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY camera_model ORDER BY ts, id) AS
 m AS (SELECT camera_model, id, r, ts, lat, lon, 0::BIGINT AS segment, 1 AS size FROM o WHERE r = 1 UNION ALL
   SELECT o.camera_model, o.id, o.r, o.ts, o.lat, o.lon, segment + b::INT, CASE WHEN b THEN 1 ELSE size + 1 END FROM m JOIN o ON o.camera_model = m.camera_model AND o.r = m.r + 1,
   LATERAL (SELECT o.ts - m.ts AS gap),
-  LATERAL (SELECT coalesce(gap > 9000 OR (gap >= 2700 AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(o.lat - m.lat) / 2), 2) + cos(radians(m.lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - m.lon) / 2), 2)))) >= 30), false) AS split,
+  LATERAL (SELECT coalesce(gap > 9000 OR (gap >= 2700 AND o.lat IS NOT NULL AND m.lat IS NOT NULL AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(o.lat - m.lat) / 2), 2) + cos(radians(m.lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - m.lon) / 2), 2)))) >= 30), false) AS split,
     size >= 6 AND floor(o.ts / 86400) <> floor(m.ts / 86400) AS over),
   LATERAL (SELECT (split AND gap >= 1200) OR over OR (split AND size >= 6) AS b))
 """
