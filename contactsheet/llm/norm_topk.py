@@ -141,9 +141,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, classes: int = 16,
     # of them pass by the blocks of shorter vectors: the first pruning by length.
     need = F.col("least") / F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
     asked = materialise(asked.drop("query_block").join(first, "query_id", "left").withColumn("need", F.coalesce(F.nullif(need, F.lit(float("inf"))), F.lit(float("-inf")))), "asked")
-    needs = asked.agg(F.percentile_approx("need", F.array(*[F.lit(i / classes) for i in range(1, classes)]), F.lit(10_000)).alias("c")).first()["c"] or []
+    groups = min(classes, query_blocks)
+    cut_at = F.array(*[F.lit(i / groups) for i in range(1, groups)]).cast("array<double>")
+    needs = asked.agg(F.percentile_approx("need", cut_at, F.lit(10_000)).alias("c")).first()["c"] or [] if groups > 1 else []
     need_class = sum((F.when(F.col("need") > F.lit(float(x)), 1).otherwise(0) for x in sorted(set(needs)) if math.isfinite(x)), F.lit(0))
-    parts_of_need = max(1, -(-query_blocks // classes))
+    parts_of_need = max(1, -(-query_blocks // groups))
     asked = asked.withColumn("query_block", (need_class * parts_of_need + F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(parts_of_need))).cast("int"))
     blocks = blocked.groupBy("block").agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest"))
     pairs = asked.groupBy("query_block").agg(F.min("need").alias("least_need")).join(blocks, F.col("least_need") <= F.col("longest") * (1 + 1e-9)).select("block", "query_block")
