@@ -53,11 +53,19 @@ def thin(points: DataFrame, key: str, ts: str, most: int) -> DataFrame:
     return rows.where((F.col("n") <= most) | lands).drop("i", "n")
 
 
-def search_facets(found: DataFrame, faces: DataFrame, places: DataFrame) -> DataFrame:
-    """(facet, entity, n): matched photos by person and by place."""
+def search_facets(found: DataFrame, faces: DataFrame, events: DataFrame | None = None, trips: DataFrame | None = None) -> DataFrame:
+    """(facet, entity, n): matched photos by person, by place and, with ``events`` (photo_id, event), by event; with
+    ``trips`` (event, trip) also by the trip that holds the event."""
     people = faces.where(F.col("person_id").isNotNull()).join(found.select("id"), F.col("photo_id") == F.col("id"), "left_semi").groupBy(F.col("person_id").cast("long").alias("entity")).agg(F.countDistinct("photo_id").alias("n"))
     by_place = found.where(F.col("place_id").isNotNull()).groupBy(F.col("place_id").cast("long").alias("entity")).agg(F.count("*").alias("n"))
-    return people.select(F.lit("person").alias("facet"), "entity", "n").unionAll(by_place.select(F.lit("place"), "entity", "n"))
+    out = people.select(F.lit("person").alias("facet"), "entity", "n").unionAll(by_place.select(F.lit("place"), "entity", "n"))
+    if events is not None:
+        matched = events.join(found.select("id"), F.col("photo_id") == F.col("id"), "left_semi").groupBy(F.col("event").cast("long").alias("entity")).agg(F.countDistinct("photo_id").alias("n"))
+        out = out.unionAll(matched.select(F.lit("event"), "entity", "n"))
+        if trips is not None:
+            rolled = matched.join(trips.select(F.col("event").cast("long").alias("entity"), F.col("trip").cast("long").alias("trip")), "entity").groupBy("trip").agg(F.sum("n").alias("n"))
+            out = out.unionAll(rolled.select(F.lit("trip"), F.col("trip").alias("entity"), "n"))
+    return out
 
 
 def context_cards(found: DataFrame, every: DataFrame, group: str, *, least: int = 3, share: float = 0.12, top: int = 6) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contactsheet.operators.predicates import live
+
 
 def snapshot_diff(known: DataFrame, listing: DataFrame, *, complete: bool = True, slack: float = 1.0) -> DataFrame:
     """S3: (root_id, rel_path, change): new, changed (size, or a time more than ``slack`` seconds off), unchanged,
@@ -61,6 +63,12 @@ def overrides(photos: DataFrame, corrected: DataFrame) -> DataFrame:
 
 
 def grid_rows(photos: DataFrame) -> DataFrame:
-    """K6: the grid's payload, a row a photo: shape within 0.2 to 6, time, and flags."""
-    ratio = F.least(F.lit(6.0), F.greatest(F.lit(0.2), F.col("width") / F.nullif(F.col("height"), F.lit(0))))
-    return photos.select("id", F.round(ratio, 3).alias("ratio"), F.col("taken_ts").alias("ts"), F.coalesce("rating", F.lit(0)).alias("rating"))
+    """K6: the grid's payload, a row a photo: shape within 0.2 to 6 (turned by a quarter for the rotations that do so),
+    time, rating, the seconds of a film, and flags: 1 favourite, 2 faces, 4 film, 8 live, 16 head of a stack. ``rotation``
+    in degrees is 0 where there is no such column."""
+    turned = F.coalesce(F.col("rotation"), F.lit(0)) % 180 != 0 if "rotation" in photos.columns else F.lit(False)
+    across, down = F.when(turned, F.col("height")).otherwise(F.col("width")), F.when(turned, F.col("width")).otherwise(F.col("height"))
+    ratio = F.least(F.lit(6.0), F.greatest(F.lit(0.2), across / F.nullif(down, F.lit(0))))
+    marks = ((1, F.col("rating") >= 5), (2, F.col("face_count") > 0), (4, F.col("media_type") == "video"), (8, live()), (16, F.col("stack_id") == F.col("id")))
+    flags = sum((F.when(on, bit).otherwise(0) for bit, on in marks), F.lit(0))
+    return photos.select("id", F.round(ratio, 3).alias("ratio"), F.col("taken_ts").alias("ts"), F.coalesce("rating", F.lit(0)).alias("rating"), F.when(F.col("media_type") == "video", F.round("duration").cast("long")).alias("seconds"), flags.cast("int").alias("flags"))

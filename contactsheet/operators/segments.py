@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contactsheet.functions.geo import haversine_km
-from contactsheet.params import ASOF_SECONDS, GAP_HOURS, LIVE_SECONDS, LIVE_SKEW, MIN_GAP_MINUTES, OVERNIGHT_HOURS, SAME_DAY_HOURS, TRACK_SECONDS, TRAVEL_GAP_MINUTES, TRAVEL_KM, TRIP_DAYS, TRIP_GAP_DAYS, TRIP_KM
+from contactsheet.functions.vectors import dot, hamming, normalised
+from contactsheet.params import ASOF_SECONDS, GAP_HOURS, LIVE_SECONDS, LIVE_SKEW, MIN_GAP_MINUTES, OVERNIGHT_HOURS, SAME_DAY_HOURS, STACK_COSINE, STACK_PHASH, TRACK_SECONDS, TRAVEL_GAP_MINUTES, TRAVEL_KM, TRIP_DAYS, TRIP_GAP_DAYS, TRIP_KM
 from contactsheet.storage import materialise
 
 
@@ -64,12 +65,17 @@ def merge_sessions(segments: DataFrame, key: str, *, cap_hours: float = SAME_DAY
     return ordered.mapInPandas(fold, f"`{key}` {segments.schema[key].dataType.simpleString()}, segment long, event long")
 
 
-def bursts(rows: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, eligible: Column) -> DataFrame:
-    """Runs of two or more consecutive eligible rows at most ``gap_seconds`` apart; an ineligible row ends a run.
-    (key, burst, first, n)."""
+def bursts(rows: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, eligible: Column, *, phash: str | None = None, vec: str | None = None) -> DataFrame:
+    """Runs of two or more consecutive eligible rows at most ``gap_seconds`` apart and, where the columns are named, with
+    hashes at most STACK_PHASH bits and vectors at least STACK_COSINE alike (an unknown one does not part them); an
+    ineligible row ends a run. (key, burst, first, n)."""
     own = Window.partitionBy(key).orderBy(ts, tie)
     ok = F.coalesce(eligible, F.lit(False))
     joined = F.coalesce(ok & F.lag(ok).over(own) & (F.col(ts) - F.lag(ts).over(own) <= gap_seconds), F.lit(False))
+    if phash is not None:
+        joined &= F.coalesce(hamming(F.col(phash), F.lag(phash).over(own)) <= STACK_PHASH, F.lit(True))
+    if vec is not None:
+        joined &= F.coalesce(dot(normalised(F.col(vec)), normalised(F.lag(vec).over(own))) >= STACK_COSINE, F.lit(True))
     marked = rows.withColumn("__ok", ok).withColumn("__new", F.when(joined, 0).otherwise(1)).withColumn("burst", F.sum("__new").over(own).cast("long"))
     return marked.where("__ok").groupBy(key, "burst").agg(F.min_by(tie, F.struct(ts, tie)).alias("first"), F.count("*").alias("n")).where(F.col("n") >= 2)
 

@@ -57,10 +57,12 @@ def o9_thin(lib: Library) -> DataFrame:
 @query(
     """, f AS (SELECT * FROM visible WHERE rating >= 4)
 SELECT 'person' AS facet, person_id AS entity, count(DISTINCT photo_id) AS n FROM faces WHERE person_id IS NOT NULL AND photo_id IN (SELECT id FROM f) GROUP BY 2
-UNION ALL SELECT 'place', place_id, count(*) FROM f WHERE place_id IS NOT NULL GROUP BY 2"""
+UNION ALL SELECT 'place', place_id, count(*) FROM f WHERE place_id IS NOT NULL GROUP BY 2 UNION ALL SELECT 'event', id // 50, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'trip', id // 50 // 10, count(*) FROM f WHERE id // 50 % 3 = 0 GROUP BY 2"""
 )
 def a20_search_facets(lib: Library) -> DataFrame:
-    return library.search_facets(visible(lib.photos).where(F.col("rating") >= 4), lib.faces, lib.places)
+    events = lib.photos.select(F.col("id").alias("photo_id"), F.floor(F.col("id") / 50).alias("event"))
+    trips = events.select("event", F.floor(F.col("event") / 10).alias("trip")).where(F.col("event") % 3 == 0).distinct()
+    return library.search_facets(visible(lib.photos).where(F.col("rating") >= 4), lib.faces, events, trips)
 
 
 @query(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from contactsheet.adapter import WITH, Library
 from contactsheet.functions import vectors as vx
-from contactsheet.operators import clustering, duplicates, neighbours, places
+from contactsheet.operators import clustering, duplicates, neighbours, places, segments
 from contactsheet.operators.predicates import visible
+from contactsheet.params import STACK_GAP
 from contactsheet.plans import registry
 
 QUERIES: dict = {}
@@ -115,6 +116,19 @@ def _classified(lib: Library) -> DataFrame:
     return met.select("a", "b", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
+@query(
+    _PAIRS
+    + """, s AS (SELECT fp.*, 'c' || (id // 40 % 5) AS cam, id // 4 * 100 + id % 4 AS ts, coalesce(source_kind, '') NOT IN ('screenshot', 'download') AS ok FROM fp WHERE id % 9 <> 0),
+g AS (SELECT *, ok AND lag(ok) OVER w AND ts - lag(ts) OVER w <= 1.5 AND bit_count(xor(phash, lag(phash) OVER w)) <= 18 AS joined FROM s WINDOW w AS (PARTITION BY cam ORDER BY ts, id)),
+h AS (SELECT *, sum(CASE WHEN coalesce(joined, false) THEN 0 ELSE 1 END) OVER (PARTITION BY cam ORDER BY ts, id)::BIGINT AS burst FROM g)
+SELECT cam, burst, arg_min(id, (ts, id)) AS first, count(*) AS n FROM h WHERE ok GROUP BY 1, 2 HAVING count(*) >= 2"""
+)
+def w4_stacks(lib: Library) -> DataFrame:
+    k = F.col("id")
+    rows = _fingerprinted(lib).where(k % 9 != 0).withColumn("cam", F.concat(F.lit("c"), (F.floor(k / 40) % 5).cast("string"))).withColumn("ts", F.floor(k / 4) * 100 + k % 4)
+    return segments.bursts(rows, "cam", "ts", "id", STACK_GAP, ~F.coalesce("source_kind", F.lit("")).isin("screenshot", "download"), phash="phash")
+
+
 @query(_PAIRS + "SELECT * FROM c WHERE kind IS NOT NULL")
 def g13_classify(lib: Library) -> DataFrame:
     return _classified(lib)

@@ -166,9 +166,12 @@ def k1_moved_files(lib: Library) -> DataFrame:
     return maintenance.moved_files(lib.photos.where(F.col("status") == "missing"), lib.photos.where(F.col("status") == "ok"))
 
 
-@query("SELECT id, round(least(6.0, greatest(0.2, width / height)), 3) AS ratio, taken_ts AS ts, rating FROM visible")
+@query(
+    """SELECT id, round(least(6.0, greatest(0.2, CASE WHEN id % 4 IN (1, 3) THEN height / width ELSE width / height END)), 3) AS ratio, taken_ts AS ts, rating, CASE WHEN media_type = 'video' THEN duration::BIGINT END AS seconds,
+  ((rating >= 5)::INT + 2 * (face_count > 0)::INT + 4 * (media_type = 'video')::INT + 8 * (live_video_id IS NOT NULL OR coalesce(motion_offset, 0) > 0)::INT + 16 * coalesce(stack_id = id, false)::INT)::INT AS flags FROM visible"""
+)
 def k6_columnar(lib: Library) -> DataFrame:
-    return maintenance.grid_rows(visible(lib.photos))
+    return maintenance.grid_rows(visible(lib.photos).withColumn("rotation", F.col("id") % 4 * 90))
 
 
 @query("SELECT id, CASE WHEN id % 6 = 0 THEN 1000.0::DOUBLE ELSE taken_ts END AS taken_ts, CASE WHEN id % 10 = 0 THEN 7 ELSE place_id END AS place_id FROM photos")
