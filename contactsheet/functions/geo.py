@@ -9,10 +9,10 @@ from contactsheet.params import EARTH_KM
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """M1: great-circle distance in kilometres."""
+    """M1: great-circle distance in kilometres; null if a coordinate is."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2))
     a = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_KM * F.asin(F.when(a.isNotNull(), F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def city_radius_km(population: Column, seat: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactsheet.adapter import WITH, Library
 from contactsheet.functions import vectors as vx
-from contactsheet.operators import clustering, duplicates, neighbours, places, segments
+from contactsheet.operators import clustering, duplicates, metric, neighbours, places, segments
 from contactsheet.operators.predicates import visible
 from contactsheet.params import STACK_GAP
 from contactsheet.plans import registry
@@ -262,14 +262,50 @@ def g8_merge_close(lib: Library) -> DataFrame:
 
 @query(
     _VECTORS
-    + """, k AS (SELECT q.vec_id AS q, r.vec_id AS id, round(list_inner_product(q.v, r.v) / (q.l * r.l), 6) AS c, q.label = r.label AS same FROM u q JOIN u r ON q.vec_id % 5 = 0 AND q.vec_id <> r.vec_id),
-n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, id) <= 24), t AS (SELECT * FROM n WHERE same QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, id) <= 5)
-SELECT vec_id AS id, coalesce((SELECT round(avg(c), 6) FROM t WHERE q = vec_id), 0) AS confidence FROM u"""
+    + """, k AS (SELECT q.vec_id AS q, list_inner_product(q.v, r.v) / (q.l * r.l) AS c FROM u q JOIN u r ON q.label = r.label AND q.vec_id <> r.vec_id),
+n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC) <= 5), m AS (SELECT q, avg(c) AS mean FROM n GROUP BY 1)
+SELECT vec_id AS id, coalesce(round(least(1.0, greatest(0.0, mean)), 6), 0.5) AS confidence FROM u LEFT JOIN m ON q = vec_id"""
 )
 def g9_confidences(lib: Library) -> DataFrame:
+    return clustering.confidences(_vectors(lib))
+
+
+_REPS = _VECTORS + """, d AS (SELECT min(vec_id) AS rep, v, sqrt(list_inner_product(v, v)) AS l FROM e GROUP BY v)
+"""
+
+
+@query(
+    _REPS
+    + """, k AS (SELECT x.rep AS a, y.rep AS b, round(list_inner_product(x.v, y.v) / (x.l * y.l), 6) AS cosine FROM d x JOIN d y ON x.rep < y.rep)
+SELECT * FROM k WHERE cosine >= 0.25 UNION ALL SELECT rep, vec_id, 1.0 FROM e JOIN d USING (v) WHERE vec_id <> rep"""
+)
+def j20_threshold_join(lib: Library) -> DataFrame:
+    return metric.similar_pairs(_vectors(lib), 0.25)
+
+
+@query(
+    _VECTORS
+    + """, k AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_inner_product(q.v, r.v) / (q.l * r.l), 6) AS cosine FROM u q JOIN u r ON q.vec_id <> r.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id)::INT AS rank, id, cosine FROM k WHERE cosine >= 0.3 QUALIFY rank <= 12"""
+)
+def j20_nearest_above(lib: Library) -> DataFrame:
+    return metric.nearest_above(_vectors(lib), 12, 0.3)
+
+
+@query(
+    _VECTORS
+    + """, k AS (SELECT q.vec_id AS q, r.vec_id AS m, r.label AS owner, round(list_inner_product(q.v, r.v) / (q.l * r.l), 6) AS c FROM u q JOIN u r ON q.vec_id % 2 = 1 AND r.vec_id % 2 = 0),
+n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, m) <= 12), t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY q, owner ORDER BY c DESC, m) <= 3),
+s AS (SELECT q AS id, owner, round(avg(c), 6) AS score, (q % 3 = 0 AND owner % 2 = q % 4 // 2) AS no FROM t GROUP BY 1, 2), f AS (SELECT *, first_value(no) OVER (PARTITION BY id ORDER BY score DESC, owner) AS first_no FROM s),
+w AS (SELECT *, lead(score) OVER x AS second, row_number() OVER x AS r FROM f WHERE NOT (no AND first_no) WINDOW x AS (PARTITION BY id ORDER BY score DESC, owner))
+SELECT id, owner, score FROM w WHERE r = 1 AND score >= 0.2 AND (second IS NULL OR score - second >= 0.04)"""
+)
+def j23_with_rejections(lib: Library) -> DataFrame:
     rows = _vectors(lib)
-    near = neighbours.knn(rows.where(F.col("id") % 5 == 0).select(F.col("id").alias("query_id"), "vec"), rows, 24)
-    return clustering.confidences(near, rows.select("id", "label"))
+    asked, known = rows.where(F.col("id") % 2 == 1), rows.where(F.col("id") % 2 == 0).select("id", "vec", F.col("label").alias("owner"))
+    owners = known.select("owner").distinct()
+    said = asked.where(F.col("id") % 3 == 0).join(owners, F.col("owner") % 2 == F.floor(F.col("id") % 4 / 2)).select("id", "owner")
+    return clustering.attach(asked, known, least=0.2, rejected=said)
 
 
 @query()

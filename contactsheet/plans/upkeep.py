@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactsheet.adapter import WITH, Library
 from contactsheet.functions import text
-from contactsheet.operators import keywords, maintenance
+from contactsheet.operators import keywords, maintenance, postings
 from contactsheet.operators.predicates import visible
 from contactsheet.plans import registry
 from contactsheet.sources import export
@@ -53,6 +53,55 @@ def f13_bm25(lib: Library) -> DataFrame:
     return keywords.bm25(lib.table("documents"), "doc_id", "text", ["the", "license"])
 
 
+_ASKED = _WORDS + f""", i AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(regexp_replace({_FOLD}, '[''\u2019]s\\b', '', 'g'), '[^a-z0-9\\-]+'), lambda x: x <> '') AS terms FROM benchmark)
+"""
+
+
+def _index(lib: Library) -> postings.Index:
+    """An index of ``documents`` that was built from another state of them: some absent, some with another text, some since
+    deleted; and then brought up to date."""
+    docs, k = lib.table("documents").select("doc_id", "text"), F.col("doc_id")
+    before = docs.where(k % 7 != 3).select("doc_id", F.when(k % 11 == 4, F.concat(F.lit("formerly the license of "), "text")).otherwise(F.col("text")).alias("text"))
+    gone = docs.where(k % 13 == 1).select((k + 1_000_000_000).alias("doc_id"), "text")
+    return postings.update(postings.build(before.unionAll(gone), "doc_id", "text"), docs, "doc_id", "text")
+
+
+def _items(lib: Library) -> DataFrame:
+    return lib.table("benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("terms"))
+
+
+def _longest(lib: Library) -> DataFrame:
+    """Of every item its two longest words."""
+    by_size = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    return _items(lib).select("query_id", F.slice(F.array_sort(F.array_distinct("terms"), by_size), 1, 2).alias("terms"))
+
+
+_TWO = _ASKED + """, o AS (SELECT query_id, list_distinct(terms) AS terms FROM i), u AS (SELECT query_id, unnest(terms) AS term FROM o),
+q AS (SELECT query_id, term FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(term) DESC, term) <= 2)
+"""
+
+
+@query(_TWO + "SELECT query_id, doc_id AS key FROM q JOIN w ON list_contains(w, term) GROUP BY 1, 2 HAVING count(*) = 2")
+def f13_index_and(lib: Library) -> DataFrame:
+    return postings.search_all(_index(lib), _longest(lib))
+
+
+@query(_ASKED + "SELECT query_id, doc_id AS key FROM i JOIN w ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(terms, ' ') || ' ')")
+def p20_index_phrase(lib: Library) -> DataFrame:
+    return postings.search_phrase(_index(lib), _items(lib)).select("query_id", "key")
+
+
+@query(
+    _TWO
+    + """, c AS (SELECT query_id, term, doc_id, len(w) AS l, len(list_filter(w, lambda x: x = term)) AS tf FROM q JOIN w ON list_contains(w, term)),
+f AS (SELECT count(*)::DOUBLE AS n, avg(coalesce(len(w), 0)) AS m FROM w), d AS (SELECT query_id, term, count(*) AS df FROM c GROUP BY 1, 2),
+s AS (SELECT query_id, doc_id AS key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 6) AS score FROM c JOIN d USING (query_id, term), f GROUP BY 1, 2 HAVING count(*) = 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank, key, score FROM s QUALIFY rank <= 100"""
+)
+def f13_index_bm25(lib: Library) -> DataFrame:
+    return postings.bm25(_index(lib), _longest(lib), 100)
+
+
 @query(
     """, n AS (SELECT photo_id, string_agg(DISTINCT name, ' ' ORDER BY name) AS names FROM faces JOIN persons ON persons.id = person_id WHERE name IS NOT NULL GROUP BY 1),
 t AS (SELECT photo_id, string_agg(tag, ' ' ORDER BY tag) AS tags FROM photo_tags WHERE score >= 1.5 GROUP BY 1)

@@ -457,3 +457,9 @@ def test_identities_go_on_and_begin(spark):
 
 def test_free_names(spark):
     assert [one(spark, text.free_name(F.lit("a.b.jpg"), F.lit(n))) for n in (1, 2)] == ["a.b.jpg", "a.b (2).jpg"]
+
+
+def test_unknown_positions_part_nothing(spark):
+    rows = spark.createDataFrame([(1, 1, 0.0, None, None), (2, 1, 3000.0, 1.0, 1.0), (3, 1, 6000.0, None, 2.0), (4, 1, 9000.0, 50.0, 1.0), (5, 1, 12000.0, 0.0, 0.0)], "id int, k int, ts double, lat double, lon double")
+    found = segments.numbered_segments(rows, "k", "ts", "id", position=("lat", "lon")).orderBy("id").collect()
+    assert [r.segment for r in found] == [0, 0, 0, 0, 1]
