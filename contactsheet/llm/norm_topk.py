@@ -104,12 +104,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, classes: int = 16,
 
     ``queries`` (query_id long, q array<double>) and ``vectors`` (vec_id long, v array<double>) hold whole numbers; a
     vector is no candidate of the query with its own id, nor of one of another dimension. With fewer candidates than
-    ``k``, all are returned; without any, the query has no row. Products must fit 64 bits. Rows that repeat a vec_id are
+    ``k``, all are returned; without any, the query has no row. Vectors of zeros take part, as queries and as candidates. Products must fit 64 bits. Rows that repeat a vec_id are
     candidates each; of queries that repeat an id, the best of all are returned together.
     """
     spark = vectors.sparkSession
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    vectors = materialise(vectors.select("vec_id", "v", norm.alias("norm")), "vectors")
+    vectors = materialise(vectors.select("vec_id", "v", norm.alias("norm"), F.monotonically_increasing_id().alias("row")), "vectors")
     cuts = vectors.agg(F.percentile_approx("norm", F.array(*[F.lit(i / classes) for i in range(1, classes)]), F.lit(10_000)).alias("c")).first()["c"] or []
     length_class = sum((F.when(F.col("norm") > F.lit(float(x)), 1).otherwise(0) for x in sorted(set(cuts))), F.lit(0))
     classed = vectors.withColumn("class", length_class)
@@ -121,7 +121,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, classes: int = 16,
         first_block[r["class"]], parts[r["class"]] = total, -(-r["n"] // block)
         total += parts[r["class"]]
     of_class = lambda table: F.element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), F.col("class"))
-    blocked = classed.select("vec_id", "v", (of_class(first_block) + F.pmod(F.xxhash64("vec_id"), of_class(parts))).cast("int").alias("block"))
+    blocked = classed.select("vec_id", "v", (of_class(first_block) + F.pmod(F.xxhash64("row"), of_class(parts))).cast("int").alias("block"))  # by row: rows that repeat an id are dealt too
     query_blocks = max(1, -(-queries.count() // query_block))
     asked = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(query_blocks)).cast("int").alias("query_block"))
     result = "query_id long, vec_id long, score long"
@@ -139,7 +139,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, classes: int = 16,
     )
     # How long a vector must be to reach a query's threshold; queries of like need are put together, so that whole blocks
     # of them pass by the blocks of shorter vectors: the first pruning by length.
-    need = F.col("least") / F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
+    # A query of zeros scores 0 with every vector and needs no length.
+    need = F.try_divide(F.col("least"), F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x)))
     asked = materialise(asked.drop("query_block").join(first, "query_id", "left").withColumn("need", F.coalesce(F.nullif(need, F.lit(float("inf"))), F.lit(float("-inf")))), "asked")
     groups = min(classes, query_blocks)
     cut_at = F.array(*[F.lit(i / groups) for i in range(1, groups)]).cast("array<double>")

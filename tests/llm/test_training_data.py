@@ -708,3 +708,69 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces} == set(kept)
     check_packing(pieces, kept, 2048)
     assert json.dumps(sorted(kept))
+
+
+# ---- searches on vectors of zeros, copies and uneven lengths
+
+
+def test_norm_topk_with_queries_of_zeros(spark):
+    r = np.random.default_rng(4)
+    tables = {
+        "one": [[0.0] * 6, *(r.integers(-9, 9, (200, 6)).astype(float).tolist())],
+        "every": [[0.0] * 6] * 60,
+        "most": [*([[0.0] * 6] * 150), *(r.integers(-1, 2, (50, 6)).astype(float).tolist())],
+    }
+    for data in tables.values():
+        held = spark.createDataFrame(list(enumerate(data)), "vec_id long, v array<double>")
+        asked = held.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+        found = {}
+        for x in norm_topk.top_k(asked, held, 5, classes=4, block=32, query_block=4).orderBy("query_id", "rank").collect():
+            found.setdefault(x.query_id, []).append((x.vec_id, x.score))
+        pairs = [(q, i, int(np.dot(data[q], data[i]))) for q in range(0, len(data), 10) for i in range(len(data)) if i != q]
+        assert found == brute(pairs, 5)
+
+
+def test_op8_of_tiny_and_zero_vectors(spark, tmp_path):
+    data = [(i, [0.0, 0.0] if i % 50 == 0 else [0.001 * (i % 3), 0.003] if i % 2 else [float(i % 7), -0.5]) for i in range(120)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    whole = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in data}
+    found = {}
+    for x in queries.op8_norm_topk(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        found.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert found == brute([(q, i, sum(a * b for a, b in zip(whole[q], whole[i], strict=True))) for q in range(0, 120, 50) for i in range(120) if i != q], 5)
+
+
+def copied_tables():
+    r = np.random.default_rng(8)
+    some = lambda n: r.standard_normal((n, 32))
+    return {
+        "none": some(1500),
+        "five of each": np.repeat(some(200), 5, axis=0),
+        "thirty of thirty": np.concatenate([some(600), np.repeat(some(30), 30, axis=0)]),
+        "two hundred of ten": np.concatenate([some(500), np.repeat(some(10), 200, axis=0)]),
+        "all equal": np.repeat(some(1), 300, axis=0),
+        "uneven": some(1200) * r.lognormal(0, 1.2, 1200)[:, None],
+    }
+
+
+@pytest.mark.parametrize("name", list(copied_tables()))
+def test_vamana_recall_on_copies_and_uneven_lengths(spark, name):
+    m = copied_tables()[name]
+    m = m[np.random.default_rng(1).permutation(len(m))]
+    held = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, v array<double>").cache()
+    asked = held.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = {}
+    for x in vamana.nearest(held, asked, 20, shard_size=1000).orderBy("query_id", "rank").collect():
+        found.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    met = total = 0
+    for q in range(0, len(m), 20):
+        scores = m @ m[q]
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(len(m)), -np.round(scores, 9)))[:20]
+        own = found[q]
+        assert len(own) == 20 and len({i for i, _ in own}) == 20 and q not in {i for i, _ in own}
+        least = scores[best[-1]] - 1e-9
+        met, total = met + sum(s >= least for _, s in own), total + 20
+        if name == "all equal":
+            assert [i for i, _ in own] == [i for i in range(21) if i != q][:20]
+    assert met / total >= 0.95, met / total
