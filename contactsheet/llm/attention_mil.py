@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactsheet.llm._common import parts_of
 from contactsheet.llm.labelled import held_out, sample
 
 PASSAGE = 512  #: characters of a passage
 FIT_DOCUMENTS = 2_500  #: labelled documents of either label, in expectation, that the model is fitted on
-FIT_PASSAGES = 64  #: of a longer document of the sample, so many passages, evenly spread over it, are fitted on (scores use all)
+FIT_PASSAGES = 64  #: of a longer document of the sample, neighbouring passages are put together into so many for fitting (scores use each)
+SCORED_BYTES = 2 << 20  #: of text that a task encodes at once, or one longer text
 
 # Classes of characters: lower, upper, other letter, digit, blank, line end, full stop, comma, other marks, symbols.
 CLASSES = 12
@@ -76,9 +78,12 @@ def passages(text: str | None) -> np.ndarray:
     return out
 
 
-def spread(bag: np.ndarray, most: int) -> np.ndarray:
-    """``most`` rows of a bag from its first to its last in even steps; the whole bag if it has no more."""
-    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
+def pooled(bag: np.ndarray, most: int) -> np.ndarray:
+    """The means of ``most`` stretches of neighbouring rows, all of the bag; the bag itself if it has no more rows."""
+    if len(bag) <= most:
+        return bag
+    edges = np.linspace(0, len(bag), most + 1).round().astype(int)
+    return np.add.reduceat(bag, edges[:-1], axis=0, dtype=np.float64) / np.diff(edges)[:, None]
 
 
 class Model:
@@ -162,14 +167,15 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, epoc
 def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", per_class: int = FIT_DOCUMENTS, fit_passages: int = FIT_PASSAGES, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of a bounded sample of labelled, not held-out documents, of any length.
 
-    Passages of whole texts are encoded in the tasks; the driver receives ``fit_passages`` a document at most, so about
-    2 * ``per_class`` * ``fit_passages`` * FEATURES half-precision numbers (97 MB with the given values).
+    Every passage of the whole texts is encoded in the tasks; of a document with more than ``fit_passages``, neighbours are
+    averaged, so the driver receives 2 * ``per_class`` * ``fit_passages`` * FEATURES half-precision numbers at most (97 MB
+    with the given values) and no part of a text is left out. Without labelled documents every score is a half.
     """
     few = sample(docs, labels, label_col, per_class, id_col=id_col, text_col=text_col)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [spread(passages(text.as_py()), fit_passages).astype(np.float16).tobytes() for text in batch.column(1)]
+            bags = [pooled(passages(text.as_py()), fit_passages).astype(np.float16).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "bag", "label", "weight"])
 
     id_type = few.schema["doc_id"].dataType.simpleString()
@@ -182,21 +188,21 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.5, id_col: str
     """(id_col, held_out, score, predicted, passages, top_passage, top_weight): every whole text, each passage encoded.
 
     ``top_passage`` is the number of the passage with the greatest attention. A null or empty text is one empty
-    passage; a null id stays null and is not held out; repeated rows are scored each; further columns are ignored.
+    passage; a null id stays null and is not held out; repeated rows are scored each; further columns are ignored; an
+    empty table gives an empty table. A text of any length is read whole: a task holds the passages of ``SCORED_BYTES`` of
+    text, or of one longer text.
     """
     rows = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                bags = [passages(text.as_py()) for text in part.column(1)]
-                sizes = np.array([len(x) for x in bags], np.int64)
-                starts = np.cumsum(sizes) - sizes
-                p, kept = model.forward(np.concatenate(bags).astype(np.float64), starts)
-                top = [int(np.argmax(kept["a"][s : s + n])) for s, n in zip(starts, sizes, strict=True)]
-                weight = np.maximum.reduceat(kept["a"], starts)
-                columns = [part.column(0), part.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(sizes), pa.array(top, pa.int64()), pa.array(weight)]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "score", "predicted", "passages", "top_passage", "top_weight"])
+        for part in parts_of(batches, 1, size=SCORED_BYTES, rows=200):
+            bags = [passages(text.as_py()) for text in part.column(1)]
+            sizes = np.array([len(x) for x in bags], np.int64)
+            starts = np.cumsum(sizes) - sizes
+            p, kept = model.forward(np.concatenate(bags).astype(np.float64), starts)
+            top = [int(np.argmax(kept["a"][s : s + n])) for s, n in zip(starts, sizes, strict=True)]
+            weight = np.maximum.reduceat(kept["a"], starts)
+            columns = [part.column(0), part.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(sizes), pa.array(top, pa.int64()), pa.array(weight)]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "score", "predicted", "passages", "top_passage", "top_weight"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int, passages long, top_passage long, top_weight double")

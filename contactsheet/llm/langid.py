@@ -23,9 +23,6 @@ PROFILE = 400
 #: Documents of a language, in expectation, that its profile is learned from.
 FIT_DOCUMENTS = 2_000
 
-#: Most languages that profiles are learned for: what the driver holds is PROFILE keys of each.
-MOST_LANGUAGES = 10_000
-
 UNKNOWN = "und"
 
 _SPACE = 32
@@ -106,28 +103,9 @@ def learn(docs: DataFrame, train: Column, *, lang_col: str = "lang", id_col: str
 
     Of a language with more than ``fit_documents`` rows, a share chosen by a hash of id and text is used, so that many
     are expected; of one that this would leave without a row (rows that all repeat each other), those of the least hash.
-    N-grams are counted in the tasks; the driver receives ``size`` keys a language. A table with more than
-    ``MOST_LANGUAGES`` values of ``lang_col`` is refused.
+    N-grams are counted in the tasks; the driver receives ``size`` keys a language, of as many languages as the table has.
     """
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)).alias("chance")
-    rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), chance)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("chance").alias("least"))
-    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
-    bound = F.greatest(F.lit(float(fit_documents)) / F.col("n") * 1_000_000, F.col("least") + 1)
-    fit = rows.join(F.broadcast(sizes), "lang").where(F.col("chance") < bound).select("lang", "text")  # at most ``MOST_LANGUAGES`` rows
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts.setdefault(lang, []).append(ngram_counts(text.as_py()))
-            for lang, found in parts.items():
-                keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "key", "n"])
-
-    totals = fit.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    totals = _fit_rows(docs, train, lang_col, id_col, text_col, fit_documents).mapInArrow(_counted, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "key"))
     ranked: dict[str, list[int]] = {}
     for r in totals.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect():
@@ -135,11 +113,41 @@ def learn(docs: DataFrame, train: Column, *, lang_col: str = "lang", id_col: str
     return Profiles(ranked, size)
 
 
+def _fit_rows(docs: DataFrame, train: Column, lang_col: str, id_col: str, text_col: str, fit_documents: int) -> DataFrame:
+    """(lang, text) of the rows that ``learn`` uses."""
+    chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)).alias("chance")
+    rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), chance)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("chance").alias("least"))
+    bound = F.greatest(F.lit(float(fit_documents)) / F.col("n") * 1_000_000, F.col("least") + 1)
+    return rows.join(sizes, "lang").where(F.col("chance") < bound).select("lang", "text")
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            parts.setdefault(lang, []).append(ngram_counts(text.as_py()))
+        for lang, found in parts.items():
+            keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "key", "n"])
+
+
+def low_scores(docs: DataFrame, train: Column, profiles: Profiles, share: float = 0.001, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> dict[str, float]:
+    """By language, the score below which ``share`` of the rows lie that it was learned from and that it is found in; what
+    is far below it is hardly of that language."""
+    rows = _fit_rows(docs, train, lang_col, id_col, text_col, fit_documents)
+    found = identify(rows, profiles, text_col="text", lang_as="__lang", score_as="__score").where(F.col("__lang") == F.col("lang"))
+    low = found.groupBy("lang").agg(F.percentile_approx("__score", share, F.lit(10_000)).alias("low"))
+    return {r["lang"]: r["low"] for r in low.collect()}  # a row a language
+
+
 def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """``docs`` with its columns, then ``lang_as`` string and ``score_as`` double, read from the whole text alone.
 
     A null text, or one without letters, is ``und`` with score 0. Nulls in other columns stay, repeated rows are
-    judged each, and a column of ``docs`` named like one of the two is replaced.
+    judged each, and a column of ``docs`` named like one of the two is replaced. Texts of any length are read whole; an
+    empty table gives an empty table.
     """
     keep = [c for c in docs.columns if c not in (lang_as, score_as)]
     rows = docs.select(*keep)

@@ -266,8 +266,8 @@ def _with_texts(docs: DataFrame, sets: DataFrame, rows: DataFrame, p: JoinParams
     octet = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     texts = texts.withColumn("bucket", F.bitmap_bucket_number(bit(F.col("own_hash")))).join(F.broadcast(bits), "bucket")  # filter_bits / 8 bytes at most
     texts = texts.where(F.getbit(octet, (place % 8).cast("int")) == 1).select("own_id", "own_hash", "text")
-    # Never a broadcast, which small tables would get: what is wanted grows with the corpus.
-    return texts.join(wanted.hint("shuffle_hash"), (F.col("own_hash") == F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).select(*rows.columns, "text")
+    # Never a broadcast, which small tables would get: what is wanted grows with the corpus, and merging can spill.
+    return texts.join(wanted.hint("merge"), (F.col("own_hash") == F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).select(*rows.columns, "text")
 
 
 def _whole_sets(docs: DataFrame, sets: DataFrame, reps: DataFrame, p: JoinParams, id_col: str, text_col: str) -> DataFrame:

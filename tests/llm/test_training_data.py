@@ -503,8 +503,10 @@ def test_mil_scores_against_a_loop_over_passages(spark):
 
 def test_long_documents_are_fitted_by_passages_of_all_of_it(spark):
     bag = np.arange(1000)[:, None]
-    few = attention_mil.spread(bag, 64)
-    assert len(few) == 64 and few[0] == 0 and few[-1] == 999 and attention_mil.spread(bag[:5], 64) is not None
+    few = attention_mil.pooled(bag, 64)
+    assert len(few) == 64 and (np.diff(few[:, 0]) > 0).all() and attention_mil.pooled(bag[:5], 64) is not None
+    edges = np.linspace(0, 1000, 65).round().astype(int)
+    assert np.allclose(few[:, 0], [np.arange(a, b).mean() for a, b in zip(edges[:-1], edges[1:], strict=True)])  # every row has a part in it
     texts = ["good words here. " * 8000, "bad | junk || " * 8000] * 4
     docs = rows(spark, texts)
     known = spark.createDataFrame([(i, 1 - i % 2) for i in range(8)], "doc_id long, quality int")
