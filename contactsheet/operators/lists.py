@@ -88,7 +88,9 @@ def library_counts(photos: DataFrame, faces: DataFrame, photo_tags: DataFrame, p
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
     """(n, mark): how many rows, and a sum of their hashes that changes with any of them, whatever their order."""
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.crc32(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]).cast("binary"))), F.lit(0)).alias("mark"))
+    whole = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    mark = F.conv(F.substring(F.md5(whole.cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(mark), F.lit(0)).alias("mark"))
 
 
 def label_sources(faces: DataFrame) -> DataFrame:

@@ -307,3 +307,8 @@ class Details:
 
 def detailed(photos: DataFrame, spec: Details) -> DataFrame:
     return reduce(lambda df, c: df.where(c), spec.columns(), photos)
+
+
+def with_companions(photos: DataFrame) -> DataFrame:
+    """(id), once each: photos and the films of those that are live photos."""
+    return photos.select("id").unionAll(photos.where(F.col("live_video_id").isNotNull()).select("live_video_id")).distinct()

@@ -133,14 +133,24 @@ def trips(events: DataFrame, key: str, tie: str, home: Column) -> DataFrame:
 
 
 def match_by_overlap(new: DataFrame, old: DataFrame, *, least: float = 0.5) -> DataFrame:
-    """The old group each new group continues: the greatest Jaccard overlap of members, at least ``least``, each old
-    group once, ties to the lower old group. ``new`` and ``old`` are (grp, member): (new_grp, old_grp, jaccard)."""
+    """The old group each new group continues. New groups choose in their order, each the old one of the greatest Jaccard
+    overlap of members, at least ``least``, that is still free (of several the lowest). ``new`` and ``old`` are (grp, member):
+    (new_grp, old_grp, jaccard).
+
+    All choose at once and an old group goes to the first in order; who was refused chooses anew, which may take from a
+    later one what it had. It ends with what the walk in order gives, after as many rounds as groups contend."""
     n, o = new.toDF("new_grp", "member"), old.toDF("old_grp", "member")
     size_n, size_o = n.groupBy("new_grp").agg(F.count("*").alias("n_new")), o.groupBy("old_grp").agg(F.count("*").alias("n_old"))
     both = n.join(o, "member").groupBy("new_grp", "old_grp").agg(F.count("*").alias("shared")).join(size_n, "new_grp").join(size_o, "old_grp")
     rated = both.withColumn("jaccard", F.round(F.col("shared") / (F.col("n_new") + F.col("n_old") - F.col("shared")), 6)).where(F.col("jaccard") >= least)
-    best = rated.withColumn("r", F.row_number().over(Window.partitionBy("new_grp").orderBy(F.col("jaccard").desc(), "old_grp"))).where("r = 1")
-    return best.withColumn("r", F.row_number().over(Window.partitionBy("old_grp").orderBy(F.col("jaccard").desc(), "new_grp"))).where("r = 1").select("new_grp", "old_grp", "jaccard")
+    open_ = materialise(rated.select("new_grp", "old_grp", "jaccard"), "overlaps")
+    while True:
+        choice = open_.withColumn("r", F.row_number().over(Window.partitionBy("new_grp").orderBy(F.col("jaccard").desc(), "old_grp"))).where("r = 1").drop("r")
+        chosen = materialise(choice.withColumn("r", F.row_number().over(Window.partitionBy("old_grp").orderBy("new_grp"))), "choices")
+        refused = chosen.where("r > 1").select("new_grp", "old_grp")
+        if not refused.limit(1).count():
+            return chosen.select("new_grp", "old_grp", "jaccard")
+        open_ = materialise(open_.join(refused, ["new_grp", "old_grp"], "left_anti"), "overlaps")
 
 
 def survivors(merged: DataFrame, rounds: int = 30) -> DataFrame:

@@ -117,9 +117,8 @@ def p17_month_not(lib: Library) -> DataFrame:
 
 
 @query(
-    """, t AS (SELECT DISTINCT p_type FROM part ORDER BY 1)
-SELECT id FROM visible v WHERE EXISTS (SELECT 1 FROM photo_tags x WHERE x.photo_id = v.id AND x.score >= 1.5 AND x.tag = (SELECT min(p_type) FROM t))
-  AND NOT EXISTS (SELECT 1 FROM photo_tags x WHERE x.photo_id = v.id AND x.score >= 1.5 AND x.tag = (SELECT max(p_type) FROM t))"""
+    """, e AS (SELECT min(p_type) AS a, max(p_type) AS b FROM part), t AS MATERIALIZED (SELECT photo_id, bool_or(tag = a) AS yes, bool_or(tag = b) AS no FROM photo_tags, e WHERE score >= 1.5 AND tag IN (a, b) GROUP BY 1)
+SELECT v.id FROM visible v JOIN t ON t.photo_id = v.id WHERE yes AND NOT no"""
 )
 def p18_tags_include_exclude(lib: Library) -> DataFrame:
     ends = lib.table("part").agg(F.min("p_type").alias("a"), F.max("p_type").alias("b")).first()
@@ -148,11 +147,9 @@ def p32_unassigned_faces(lib: Library) -> DataFrame:
     return faces.join(visible(lib.photos).select("id"), F.col("photo_id") == F.col("id")).select("id", "person_id", "quality")
 
 
-@query("""SELECT DISTINCT id FROM (SELECT id FROM photos WHERE id % 97 = 0 UNION ALL SELECT p.id FROM photos p JOIN photos q ON p.sha256 = q.sha256 WHERE q.id % 97 = 0)""")
+@query("SELECT id FROM photos WHERE id % 3 = 0 UNION SELECT live_video_id FROM photos WHERE id % 3 = 0 AND live_video_id IS NOT NULL")
 def p33_companions(lib: Library) -> DataFrame:
-    chosen = lib.photos.where(F.col("id") % 97 == 0).select("id", "sha256")
-    twins = lib.photos.select("id", "sha256").join(chosen.select("sha256"), "sha256", "left_semi").select("id")
-    return chosen.select("id").unionAll(twins).distinct()
+    return predicates.with_companions(lib.photos.where(F.col("id") % 3 == 0))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactsheet.adapter import WITH, Library
 from contactsheet.functions import vectors as vx
-from contactsheet.operators import clustering, duplicates, metric, neighbours, places, segments
+from contactsheet.operators import clustering, duplicates, metric, neighbours, places, segments, visual
 from contactsheet.operators.predicates import visible
 from contactsheet.params import STACK_GAP
 from contactsheet.plans import registry
@@ -208,6 +208,36 @@ def m14_cut(lib: Library) -> DataFrame:
     return neighbours.visual_cut(_scored(lib, (7,)).select("id", "score"))
 
 
+_RANKED = _VECTORS + """, x AS (SELECT q.vec_id AS query_id, r.vec_id AS id, r.label = q.label AND (r.vec_id % 2 = 0 OR q.vec_id % 3 = 0) AND q.vec_id % 4 <> 1 AS candidate, q.vec_id % 20 = 0 AS structured, round(list_inner_product(q.v, r.v) / (q.l * r.l), 9) AS score FROM u q JOIN u r ON q.vec_id % 10 < 2),
+m AS (SELECT query_id, avg(score) AS mu, stddev_pop(score) + 1e-6 AS sd FROM x GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM x {where}),
+h AS (SELECT query_id, avg(score) AS head FROM r WHERE rank <= greatest(3, n // 200) GROUP BY 1),
+c AS (SELECT r.query_id, rank::INT AS rank, id, score, structured FROM r JOIN m USING (query_id) JOIN h USING (query_id) WHERE rank <= 800 AND (rank <= 40 OR score >= greatest(mu + 1.6 * sd, mu + 0.6 * (head - mu))))
+"""
+
+
+@query(_RANKED.format(where="") + "SELECT query_id, rank, id, score FROM c")
+def m14_cuts(lib: Library) -> DataFrame:
+    rows = _vectors(lib)
+    return visual.visual_cuts(rows, rows.where(F.col("id") % 10 < 2).select(F.col("id").alias("query_id"), "vec"))
+
+
+@query(
+    _RANKED.format(where="WHERE candidate")
+    + """, enough AS (SELECT query_id FROM c WHERE NOT structured AND rank <= 100 GROUP BY 1 HAVING count(*) >= 20),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM x WHERE NOT structured AND query_id NOT IN (SELECT query_id FROM enough)),
+h2 AS (SELECT query_id, avg(score) AS head FROM r2 WHERE rank <= greatest(3, n // 200) GROUP BY 1)
+SELECT query_id, rank::INT AS rank, id, score FROM r WHERE structured AND rank <= 100 UNION ALL SELECT query_id, rank, id, score FROM c WHERE query_id IN (SELECT query_id FROM enough) AND rank <= 100
+UNION ALL SELECT r2.query_id, rank::INT, id, score FROM r2 JOIN m USING (query_id) JOIN h2 USING (query_id) WHERE rank <= 100 AND (rank <= 40 OR score >= greatest(mu + 1.6 * sd, mu + 0.6 * (head - mu)))"""
+)
+def o2_ranked_searches(lib: Library) -> DataFrame:
+    rows = _vectors(lib)
+    asked = rows.where(F.col("id") % 10 < 2).select(F.col("id").alias("query_id"), "vec", (F.col("id") % 20 == 0).alias("structured"), F.col("label").alias("of"))
+    q = F.col("query_id")
+    some = asked.join(rows.select("id", "label"), F.col("of") == F.col("label")).where(((F.col("id") % 2 == 0) | (q % 3 == 0)) & (q % 4 != 1)).select("query_id", "id")
+    return visual.ranked_searches(rows, asked.drop("of"), some, 100)
+
+
 @query()
 def w6_diversify(lib: Library) -> DataFrame:
     near = neighbours.knn(_vectors(lib).where(F.col("id") == 0).select(F.col("id").alias("query_id"), "vec"), _vectors(lib), 150)
@@ -260,6 +290,35 @@ def g8_merge_close(lib: Library) -> DataFrame:
     return clustering.merge_close(_owned(lib), least=0.15, median=0.0)
 
 
+_REPS = _VECTORS + """, d AS (SELECT min(vec_id) AS rep, v, sqrt(list_inner_product(v, v)) AS l FROM e GROUP BY v)
+"""
+
+
+def _closed(n: int, edges: str, of: str) -> str:
+    """Common table expressions r{n} (node, root) over the ``edges`` (a, b) among the nodes ``of`` (node)."""
+    return f""", y{n} AS (SELECT a, b FROM ({edges}) UNION SELECT b, a FROM ({edges})), z{n} AS (SELECT node, node AS o FROM {of} UNION SELECT z{n}.node, y{n}.b FROM z{n} JOIN y{n} ON y{n}.a = z{n}.o),
+r{n} AS (SELECT node, min(o) AS root FROM z{n} GROUP BY 1)"""
+
+
+@query(
+    _REPS
+    + """, k AS (SELECT x.rep AS a, y.rep AS b, round(list_inner_product(x.v, y.v) / (x.l * y.l), 6) AS w FROM d x JOIN d y ON x.rep < y.rep), links AS MATERIALIZED (SELECT * FROM k WHERE w >= 0.3),
+n0 AS (SELECT a AS node FROM links UNION SELECT b FROM links), p AS (SELECT node AS a, node + 7 AS b FROM n0 WHERE node % 5 = 0 UNION ALL SELECT node, node + 10 FROM n0 WHERE node % 3 = 0)"""
+    + _closed(1, "SELECT a, b FROM links WHERE w >= 0.6", "n0")
+    + """, b1 AS (SELECT x.root FROM p JOIN r1 x ON x.node = p.a JOIN r1 y ON y.node = p.b WHERE x.root = y.root),
+m1 AS (SELECT node, CASE WHEN root IN (SELECT root FROM b1) THEN node ELSE root END AS root FROM r1), n1 AS (SELECT DISTINCT root AS node FROM m1), e1 AS (SELECT x.root AS a, y.root AS b FROM links JOIN m1 x ON x.node = links.a JOIN m1 y ON y.node = links.b WHERE x.root <> y.root)"""
+    + _closed(2, "SELECT a, b FROM e1", "n1")
+    + """, t AS (SELECT m1.node, m1.root AS was, r2.root FROM m1 JOIN r2 ON r2.node = m1.root), b2 AS (SELECT x.root FROM p JOIN t x ON x.node = p.a JOIN t y ON y.node = p.b WHERE x.root = y.root)
+SELECT node, CASE WHEN root IN (SELECT root FROM b2) THEN was ELSE root END AS root FROM t""",
+    recursive=True,
+)
+def g8_components_apart(lib: Library) -> DataFrame:
+    edges = metric.similar_pairs(_vectors(lib), 0.3).where("a <> b").select("a", "b", F.col("cosine").alias("weight"))
+    nodes = edges.select("a").union(edges.select("b")).distinct()
+    apart = nodes.where("a % 5 = 0").select("a", (F.col("a") + 7).alias("b")).unionAll(nodes.where("a % 3 = 0").select("a", (F.col("a") + 10).alias("b")))
+    return clustering.components_apart(edges, apart, [0.6, 0.3])
+
+
 @query(
     _VECTORS
     + """, k AS (SELECT q.vec_id AS q, list_inner_product(q.v, r.v) / (q.l * r.l) AS c FROM u q JOIN u r ON q.label = r.label AND q.vec_id <> r.vec_id),
@@ -270,10 +329,6 @@ def g9_confidences(lib: Library) -> DataFrame:
     return clustering.confidences(_vectors(lib))
 
 
-_REPS = _VECTORS + """, d AS (SELECT min(vec_id) AS rep, v, sqrt(list_inner_product(v, v)) AS l FROM e GROUP BY v)
-"""
-
-
 @query(
     _REPS
     + """, k AS (SELECT x.rep AS a, y.rep AS b, round(list_inner_product(x.v, y.v) / (x.l * y.l), 6) AS cosine FROM d x JOIN d y ON x.rep < y.rep)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactsheet.adapter import WITH, Library
 from contactsheet.functions import geo, text
-from contactsheet.operators import segments
+from contactsheet.operators import segments, tracks
 from contactsheet.operators.predicates import visible
 from contactsheet.plans import registry
 from contactsheet.streaming import incremental
@@ -81,6 +81,21 @@ def j9_interpolate(lib: Library) -> DataFrame:
     return segments.interpolate(points, asked, "user_id", "ts", within=21600)
 
 
+_TRACKS = """, p AS (SELECT user_id % 40 AS track, ts, value / 10 - 40 AS lat, value / 5 + user_id % 7 AS lon FROM stream WHERE event_id % 2 = 0), q AS (SELECT event_id AS id, ts + event_id % 5 * 700 AS utc FROM stream WHERE event_id % 2 = 1),
+t AS (SELECT track, min(ts) AS start_ts, max(ts) AS end_ts FROM p GROUP BY 1), c AS (SELECT * FROM q JOIN t ON utc BETWEEN start_ts - 2400 AND end_ts + 2400),
+j AS (SELECT c.*, b.ts AS bt, b.lat AS blat, b.lon AS blon, a.ts AS nt, a.lat AS alat, a.lon AS alon FROM c ASOF LEFT JOIN p b ON b.track = c.track AND b.ts < c.utc ASOF LEFT JOIN p a ON a.track = c.track AND a.ts >= c.utc),
+r AS (SELECT id, track, start_ts, CASE WHEN bt IS NOT NULL AND nt IS NOT NULL THEN CASE WHEN utc - bt <= 2400 AND nt - utc <= 2400 THEN {'lat': round(blat + (utc - bt) / (nt - bt) * (alat - blat), 7), 'lon': round(blon + (utc - bt) / (nt - bt) * (alon - blon), 7)} END
+  WHEN bt IS NOT NULL AND utc - bt <= 2400 THEN {'lat': round(blat, 7), 'lon': round(blon, 7)} WHEN bt IS NULL AND nt - utc <= 2400 THEN {'lat': round(alat, 7), 'lon': round(alon, 7)} END AS pos FROM j)
+SELECT id, pos.lat AS lat, pos.lon AS lon, track FROM r WHERE pos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY start_ts, track) = 1"""
+
+
+@query(_TRACKS)
+def j9_tracks(lib: Library) -> DataFrame:
+    k, user = F.col("event_id"), F.col("user_id")
+    points = lib.stream.where(k % 2 == 0).select((user % 40).alias("track"), "ts", (F.col("value") / 10 - 40).alias("lat"), (F.col("value") / 5 + user % 7).alias("lon"))
+    return tracks.positions(points, lib.stream.where(k % 2 == 1).select(k.alias("id"), (F.col("ts") + k % 5 * 700).alias("utc")), within=2400)
+
+
 _LIVE = """, a AS (SELECT id, folder, id % 300 AS stem, taken_ts FROM visible WHERE media_type = 'image'), b AS (SELECT id, folder, id % 300 AS stem, taken_ts, (id % 9)::DOUBLE AS duration FROM visible WHERE media_type = 'video'),
 j AS (SELECT a.id AS still_id, b.id AS film_id FROM a JOIN b USING (folder, stem) WHERE duration <= 5 AND (a.taken_ts IS NULL OR b.taken_ts IS NULL OR abs(a.taken_ts - b.taken_ts) <= 2000000)),
 k AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY film_id ORDER BY still_id) = 1)
@@ -111,8 +126,12 @@ def a13_trips(lib: Library) -> DataFrame:
     """, n AS (SELECT camera_model AS g, id AS m FROM visible), o AS (SELECT camera_model || (id % 3 = 0)::INT AS g, id AS m FROM visible WHERE id % 5 <> 0),
 s AS (SELECT n.g AS a, o.g AS b, count(*) AS c FROM n JOIN o USING (m) GROUP BY 1, 2),
 j AS (SELECT a AS new_grp, b AS old_grp, round(c / ((SELECT count(*) FROM n WHERE g = a) + (SELECT count(*) FROM o WHERE g = b) - c), 6) AS jaccard FROM s),
-k AS (SELECT * FROM j WHERE jaccard >= 0.5 QUALIFY row_number() OVER (PARTITION BY new_grp ORDER BY jaccard DESC, old_grp) = 1)
-SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY old_grp ORDER BY jaccard DESC, new_grp) = 1"""
+k AS (SELECT * FROM j WHERE jaccard >= 0.5), l AS (SELECT a, row_number() OVER (ORDER BY a) AS i FROM (SELECT DISTINCT new_grp AS a FROM k)),
+r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, NULL::VARCHAR AS new_grp, NULL::VARCHAR AS old_grp, NULL::DOUBLE AS jaccard UNION ALL
+  SELECT r.i + 1, CASE WHEN min(k.old_grp) IS NULL THEN r.used ELSE list_append(r.used, arg_min(k.old_grp, (-k.jaccard, k.old_grp))) END, l.a, arg_min(k.old_grp, (-k.jaccard, k.old_grp)), max(k.jaccard)
+  FROM r JOIN l ON l.i = r.i + 1 LEFT JOIN k ON k.new_grp = l.a AND NOT list_contains(r.used, k.old_grp) GROUP BY r.i, r.used, l.a)
+SELECT new_grp, old_grp, jaccard FROM r WHERE old_grp IS NOT NULL""",
+    recursive=True,
 )
 def j32_event_identity(lib: Library) -> DataFrame:
     rows = visible(lib.photos)

@@ -188,10 +188,10 @@ def s3_snapshot_diff(lib: Library) -> DataFrame:
 
 
 @query(
-    """, o AS (SELECT photo_id, tag, score, CASE WHEN photo_id % 3 = 0 THEN 'user' ELSE 'semantic' END AS source FROM photo_tags WHERE photo_id % 2 = 0),
-n AS (SELECT photo_id, tag, score + 1 AS score, 'semantic' AS source FROM photo_tags WHERE photo_id % 5 <> 0)
-SELECT coalesce(o.photo_id, n.photo_id) AS photo_id, coalesce(o.tag, n.tag) AS tag, CASE WHEN n.tag IS NULL OR o.source = 'user' THEN o.score ELSE n.score END AS score, CASE WHEN n.tag IS NULL OR o.source = 'user' THEN o.source ELSE n.source END AS source
-FROM o FULL JOIN n ON o.photo_id = n.photo_id AND o.tag = n.tag"""
+    """, t AS MATERIALIZED (SELECT photo_id, tag, score FROM photo_tags),
+u AS (SELECT photo_id, tag, score, CASE WHEN photo_id % 3 = 0 THEN 'user' ELSE 'semantic' END AS source, CASE WHEN photo_id % 3 = 0 THEN 2 ELSE 0 END AS r FROM t WHERE photo_id % 2 = 0
+  UNION ALL SELECT photo_id, tag, score + 1, 'semantic', 1 FROM t WHERE photo_id % 5 <> 0)
+SELECT photo_id, tag, arg_max(score, r) AS score, arg_max(source, r) AS source FROM u GROUP BY 1, 2"""
 )
 def k3_priority_upsert(lib: Library) -> DataFrame:
     old = lib.photo_tags.where(F.col("photo_id") % 2 == 0).withColumn("source", F.when(F.col("photo_id") % 3 == 0, "user").otherwise("semantic"))

@@ -211,8 +211,8 @@ def test_index_is_kept_from_differences(spark):
 
 def test_bm25_from_block_maxima(spark):
     data = texts(2, 600)
-    data = {k: t if k % 60 == 7 else "x " * 50 + t for k, t in data.items()}  # a few short ones are the best
-    stale = {k: (t if k % 5 else "a b " + t) for k, t in data.items()}
+    data |= {k: "x " * (50 + k % 9) + "a b license j i" for k in data if k % 60 != 7}  # a few short ones are the best
+    stale = {k: (t if k % 5 else "x b " + t) for k, t in data.items()}
     index = postings.update(postings.build(frame(spark, stale), "k", "text", block_docs=8), frame(spark, data), "k", "text")
     for limit in (3, 1000):
         scored: list = []
