@@ -27,7 +27,7 @@ SURE = 12.0  #: least log-likelihood ratio of a term with the label; whatever re
 NEIGHBOURS = 15
 DENSITIES = 20
 BLOCK = 32  #: examples of a block of the index
-CHUNK = 8  #: blocks scored between two tests of the bound
+FIRST = 12  #: blocks scored before the others are tested by their bounds
 PREFIXES = (3, 4, 5, 6, 7)  #: lengths of the beginnings of words that are terms
 COMMON = 0.1  #: words that a greater share of the examples' texts hold tell little of what a text is about
 
@@ -108,36 +108,43 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the ``k`` nearest with a term in common, ties to the smaller number; exact.
 
-        Blocks are visited by falling upper bound, a few at a time, the sum of the terms' weights times their maxima in the block; the
-        search ends when a bound is below the k-th cosine found.
+        A block's bound is the sum of the terms' weights times their maxima in it. The ``FIRST`` blocks of the greatest
+        bounds are scored, and then all others whose bound reaches the k-th cosine found; the rest is passed by.
         """
-        spans = [np.arange(self.block_start[t], self.block_start[t + 1]) for t in terms]
-        if not spans or not sum(map(len, spans)):
+        entry = _ranges(self.block_start[terms], self.block_start[terms + 1])
+        if not len(entry):
             return np.zeros(0, np.int64), np.zeros(0)
-        entry = np.concatenate(spans)
-        factor = np.repeat(weights, [len(s) for s in spans])
-        by_block = np.argsort(self.block[entry], kind="stable")
-        entry, factor = entry[by_block], factor[by_block]
-        first = np.flatnonzero(np.concatenate([[True], np.diff(self.block[entry]) != 0]))
-        last = np.append(first[1:], len(entry))
-        bound = np.add.reduceat(factor * self.block_max[entry], first)
-        order = np.argsort(-bound, kind="stable")
-        best_doc, best = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), CHUNK):
-            if len(best) == k and bound[order[at]] < best[-1] * (1 - 1e-12):
-                break
-            blocks = order[at : at + CHUNK]
-            open_ = _ranges(first[blocks], last[blocks])
-            lists = entry[open_]
+        factor = np.repeat(weights, self.block_start[terms + 1] - self.block_start[terms])
+        block = self.block[entry]
+        bound = np.bincount(block, factor * self.block_max[entry])
+
+        def scored(blocks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+            open_ = np.zeros(len(bound), bool)
+            open_[blocks] = True
+            here = open_[block]
+            lists = entry[here]
+            sizes = self.block_at[lists + 1] - self.block_at[lists]
             postings = _ranges(self.block_at[lists], self.block_at[lists + 1])
-            part = np.repeat(factor[open_], self.block_at[lists + 1] - self.block_at[lists]) * self.weight[postings]
-            docs, at_doc = np.unique(self.doc[postings], return_inverse=True)
-            total = np.bincount(at_doc, part, len(docs))
-            keep = docs != without
-            best_doc, best = np.concatenate([best_doc, docs[keep]]), np.concatenate([best, total[keep]])
-            nearest = np.lexsort((best_doc, -best))[:k]
-            best_doc, best = best_doc[nearest], best[nearest]
-        return best_doc, np.minimum(best, 1.0)
+            total = np.bincount(self.doc[postings], np.repeat(factor[here], sizes) * self.weight[postings])
+            if 0 <= without < len(total):
+                total[without] = 0.0
+            docs = np.flatnonzero(total > least)
+            return docs, total[docs]
+
+        def best(docs: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            nearest = np.lexsort((docs, -total))[:k]
+            return docs[nearest], total[nearest]
+
+        met = np.flatnonzero(bound)
+        first = met[np.argsort(-bound[met], kind="stable")[:FIRST]]
+        docs, total = best(*scored(first, 0.0))
+        least = total[-1] * (1 - 1e-12) if len(total) == k else 0.0
+        bound[first] = -1.0
+        rest = np.flatnonzero(bound >= least) if least > 0 else np.flatnonzero(bound > 0)
+        if len(rest):
+            more, of_more = scored(rest, least * (1 - 1e-12))
+            docs, total = best(np.concatenate([docs, more]), np.concatenate([total, of_more]))
+        return docs, np.minimum(total, 1.0)
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
