@@ -9,9 +9,11 @@ from pyspark.sql.window import Window
 from contactsheet.operators.predicates import live
 
 
-def snapshot_diff(known: DataFrame, listing: DataFrame, *, complete: bool = True, slack: float = 1.0) -> DataFrame:
+def snapshot_diff(known: DataFrame, listing: DataFrame, *, complete: bool = True, slack: float = 1.0, unread: DataFrame | None = None) -> DataFrame:
     """S3: (root_id, rel_path, change): new, changed (size, or a time more than ``slack`` seconds off), unchanged,
-    restored, or missing. Missing is told only of a ``complete`` listing, and only of roots that list anything.
+    restored, or missing. Missing is told only of a ``complete`` listing, only of roots that list anything, never of what
+    went on purpose (trashed, deleted), and not of what lies at or below an ``unread`` path (root_id, rel_path; "" is the
+    root): a file meets these by its own ancestors, so a scan that could not read some folders still tells the rest.
     ``known`` (root_id, rel_path, size, mtime, status), ``listing`` (root_id, rel_path, size, mtime)."""
     k = known.select("root_id", "rel_path", F.col("size").alias("k_size"), F.col("mtime").alias("k_mtime"), "status")
     n = listing.select("root_id", "rel_path", F.col("size").alias("n_size"), F.col("mtime").alias("n_mtime"), F.lit(True).alias("listed"))
@@ -19,13 +21,20 @@ def snapshot_diff(known: DataFrame, listing: DataFrame, *, complete: bool = True
     both = k.join(n, ["root_id", "rel_path"], "full").join(alive, "root_id", "left")
     differs = ~F.col("k_size").eqNullSafe(F.col("n_size")) | (F.abs(F.col("k_mtime") - F.col("n_mtime")) > slack)
     change = (
-        F.when(F.col("listed").isNull(), F.when(F.col("alive") & F.lit(complete) & (F.col("status") != "missing"), "missing"))
+        F.when(F.col("listed").isNull(), F.when(F.col("alive") & F.lit(complete) & ~F.col("status").isin("missing", "trashed", "deleted"), "missing"))
         .when(F.col("status").isNull(), "new")
         .when(F.col("status") == "missing", "restored")
         .when(F.coalesce(differs, F.lit(True)), "changed")
         .otherwise("unchanged")
     )
-    return both.select("root_id", "rel_path", change.alias("change")).where(F.col("change").isNotNull())
+    found = both.select("root_id", "rel_path", change.alias("change")).where(F.col("change").isNotNull())
+    if unread is None:
+        return found
+    parts = F.split("rel_path", "/")
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+    gone = found.where("change = 'missing'")
+    hidden = gone.select("root_id", "rel_path", F.explode(above).alias("above")).join(unread.select("root_id", F.col("rel_path").alias("above")).distinct(), ["root_id", "above"], "left_semi")
+    return found.where("change <> 'missing'").unionAll(gone.join(hidden.select("root_id", "rel_path").distinct(), ["root_id", "rel_path"], "left_anti"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], priority: Column) -> DataFrame:

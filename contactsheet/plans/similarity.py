@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactsheet.adapter import WITH, Library
 from contactsheet.functions import vectors as vx
-from contactsheet.operators import clustering, duplicates, metric, neighbours, places, segments, visual
+from contactsheet.operators import clustering, duplicates, faces, metric, neighbours, places, segments, visual
 from contactsheet.operators.predicates import visible
 from contactsheet.params import STACK_GAP
 from contactsheet.plans import registry
@@ -379,6 +379,45 @@ def k2_carry_over(lib: Library) -> DataFrame:
     return clustering.carry_over(old.select(F.col("id").alias("old"), (F.col("id") + 1).alias("new")), old)
 
 
+_BOXES = """, b AS (SELECT l_orderkey AS photo_id, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS id, (l_partkey % 60)::DOUBLE AS x1, (l_suppkey % 40)::DOUBLE AS y1, l_partkey % 60 + 30 + l_linenumber * 2.0::DOUBLE AS x2, l_suppkey % 40 + 35 + l_linenumber * 3.0::DOUBLE AS y2, l_discount AS score FROM lineitem)
+"""
+
+
+def _boxes(lib: Library) -> DataFrame:
+    p, s, n = F.col("l_partkey") % 60, F.col("l_suppkey") % 40, F.col("l_linenumber")
+    corners = [p.cast("double").alias("x1"), s.cast("double").alias("y1"), (p + 30 + n * 2.0).alias("x2"), (s + 35 + n * 3.0).alias("y2")]
+    return lib.table("lineitem").select(F.col("l_orderkey").alias("photo_id"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + n).alias("id"), *corners, F.col("l_discount").alias("score"))
+
+
+@query(
+    _BOXES
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY score DESC, id) AS r FROM b),
+k AS (SELECT photo_id, r, id, [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept, true AS stays FROM o WHERE r = 1 UNION ALL
+  SELECT o.photo_id, o.r, o.id, CASE WHEN fits THEN list_append(kept, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) ELSE kept END, fits FROM (
+    SELECT o.*, k.kept, len(list_filter(k.kept, lambda q: greatest(0, least(q.x2, o.x2) - greatest(q.x1, o.x1) + 1) * greatest(0, least(q.y2, o.y2) - greatest(q.y1, o.y1) + 1)
+      > 0.4 * ((q.x2 - q.x1 + 1) * (q.y2 - q.y1 + 1) + (o.x2 - o.x1 + 1) * (o.y2 - o.y1 + 1) - greatest(0, least(q.x2, o.x2) - greatest(q.x1, o.x1) + 1) * greatest(0, least(q.y2, o.y2) - greatest(q.y1, o.y1) + 1)))) = 0 AS fits
+    FROM k JOIN o ON o.photo_id = k.photo_id AND o.r = k.r + 1) o)
+SELECT photo_id, id FROM k WHERE stays""",
+    recursive=True,
+)
+def m18_suppress(lib: Library) -> DataFrame:
+    return faces.suppress(_boxes(lib)).select("photo_id", "id")
+
+
+@query(
+    _BOXES
+    + """, p AS (SELECT photo_id, id, x1 AS lx, y1 + score * 10 AS ly, x2 AS rx, y1 AS ry, (x1 + x2) / 2 + score * 40 AS nx, (y1 + y2) / 2 AS ny FROM b),
+m AS (SELECT *, (lx + rx + nx) / 3 AS mx, (ly + ry + ny) / 3 AS my FROM p), c AS (SELECT *, (lx - mx) * -35 + (ly - my) * -14 + (rx - mx) * 35 + (ry - my) * -14 + (nx - mx) * 0 + (ny - my) * 28 AS ca,
+  (lx - mx) * -14 - (ly - my) * -35 + (rx - mx) * -14 - (ry - my) * 35 + (nx - mx) * 28 - (ny - my) * 0 AS cb, pow(lx - mx, 2) + pow(ly - my, 2) + pow(rx - mx, 2) + pow(ry - my, 2) + pow(nx - mx, 2) + pow(ny - my, 2) AS v FROM m)
+SELECT photo_id, id, round(ca / v, 6) AS a, round(cb / v, 6) AS b, round(greatest(-1.5, least(1.5, (nx - (lx + rx) / 2) / sqrt(pow(rx - lx, 2) + pow(ry - ly, 2)))), 6) AS yaw FROM c"""
+)
+def m18_alignment(lib: Library) -> DataFrame:
+    x1, y1, x2, y2, s = (F.col(c) for c in ("x1", "y1", "x2", "y2", "score"))
+    left, right, nose = (x1, y1 + s * 10), (x2, y1), ((x1 + x2) / 2 + s * 40, (y1 + y2) / 2)
+    found = _boxes(lib).select("photo_id", "id", faces.similarity([left, right, nose], [(20.0, 20.0), (90.0, 20.0), (55.0, 62.0)]).alias("t"), faces.yaw(left, right, nose).alias("yaw"))
+    return found.select("photo_id", "id", F.round("t.a", 6).alias("a"), F.round("t.b", 6).alias("b"), F.round("yaw", 6).alias("yaw"))
+
+
 @query()
 def j14_greedy_iou(lib: Library) -> DataFrame:
     box = lambda shift: tuple(((F.col("l_partkey") * n + shift) % 50).cast("double") / 100 + (0.5 if i > 1 else 0.0) for i, n in enumerate((3, 5, 7, 11)))

@@ -10,7 +10,8 @@ from contactsheet.functions import text
 from contactsheet.operators import keywords, maintenance, postings
 from contactsheet.operators.predicates import visible
 from contactsheet.plans import registry
-from contactsheet.sources import export
+from contactsheet.sources import export, files
+from contactsheet.storage import shared_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,6 +188,32 @@ def s3_snapshot_diff(lib: Library) -> DataFrame:
     return maintenance.snapshot_diff(known, listing.unionAll(fresh))
 
 
+@query(
+    """, k AS (SELECT id % 4 AS root_id, folder || '/' || (id % 7) || '/' || filename AS rel_path, size, coalesce(taken_ts, 0) AS mtime, CASE WHEN id % 19 = 0 THEN 'trashed' ELSE status END AS status FROM photos),
+l AS (SELECT * FROM k WHERE root_id <> 3 AND size % 5 <> 0), u AS (SELECT 0 AS root_id, 'BUILDING/1996' AS p UNION ALL SELECT 1, 'MACHINERY' UNION ALL SELECT 2, 'HOUSEHOLD/1997/03/4' UNION ALL SELECT 2, 'HOUSE')
+SELECT k.root_id, k.rel_path, CASE WHEN l.rel_path IS NULL THEN 'missing' WHEN k.status = 'missing' THEN 'restored' ELSE 'unchanged' END AS change FROM k LEFT JOIN l USING (root_id, rel_path)
+WHERE l.rel_path IS NOT NULL OR (k.root_id <> 3 AND k.status NOT IN ('missing', 'trashed') AND NOT EXISTS (FROM u WHERE u.root_id = k.root_id AND (k.rel_path = p OR starts_with(k.rel_path, p || '/'))))"""
+)
+def s3_partial(lib: Library) -> DataFrame:
+    k = F.col("id")
+    path = F.concat_ws("/", "folder", (k % 7).cast("string"), "filename")
+    known = lib.photos.select((k % 4).alias("root_id"), path.alias("rel_path"), "size", F.coalesce("taken_ts", F.lit(0.0)).alias("mtime"), F.when(k % 19 == 0, "trashed").otherwise(F.col("status")).alias("status"))
+    listing = known.where((F.col("root_id") != 3) & (F.col("size") % 5 != 0)).drop("status")
+    unread = lib.spark.createDataFrame([(0, "BUILDING/1996"), (1, "MACHINERY"), (2, "HOUSEHOLD/1997/03/4"), (2, "HOUSE")], "root_id long, rel_path string")
+    return maintenance.snapshot_diff(known, listing, unread=unread)
+
+
+@query(
+    """SELECT (doc_id % 50)::VARCHAR || '/' || doc_id || '.txt' AS path, octet_length(encode(coalesce(text, ''))) AS bytes, sha256(coalesce(text, '')) AS sha256, CASE WHEN doc_id % 3 = 0 THEN 'equal' ELSE 'copied' END AS action FROM documents"""
+)
+def k7_export_texts(lib: Library) -> DataFrame:
+    path = F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = lib.table("documents").select("doc_id", path.alias("path"), F.col("text").alias("content"))
+    target = shared_path(lib.spark, "export")
+    files.export_files(rows.where(F.col("doc_id") % 3 == 0), target)  # a part was exported before
+    return files.export_files(rows, target)
+
+
 @query(
     """, t AS MATERIALIZED (SELECT photo_id, tag, score FROM photo_tags),
 u AS (SELECT photo_id, tag, score, CASE WHEN photo_id % 3 = 0 THEN 'user' ELSE 'semantic' END AS source, CASE WHEN photo_id % 3 = 0 THEN 2 ELSE 0 END AS r FROM t WHERE photo_id % 2 = 0
