@@ -15,7 +15,13 @@ from contactsheet.params import EARTH_KM, EDGE_PEOPLE, EDGE_SHARE, EDGE_TOWN, SE
 
 def nearest_within(points: DataFrame, places: DataFrame, km: float, *, most: int = 1) -> DataFrame:
     """(id, place_id, km, rank): the ``most`` nearest places within ``km``, ties to the lower place. ``points`` (id,
-    lat, lon), ``places`` (place_id, lat, lon).
+    lat, lon), ``places`` (place_id, lat, lon)."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("km", "place_id"))
+    return within_reach(points, places, km).withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def within_reach(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
+    """(id, place_id, km): every place within ``km`` of each point.
 
     Cells are at least ``km`` high and, at their edge nearest a pole, as wide; places are put into the three rows of
     cells around them, into the columns that the circle around them spans, so the join is by equal cells and no pair
@@ -38,9 +44,7 @@ def nearest_within(points: DataFrame, places: DataFrame, km: float, *, most: int
     first = at(F.col("plon") - reach)
     last = F.least(at(F.col("plon") + reach), first + count - 1)
     q = q.withColumn("cell", F.explode(F.transform(F.sequence(first, last), lambda c: F.pmod(c, count)))).drop("own")
-    met = p.join(q, ["row", "cell"]).select("id", "place_id", F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 6).alias("km")).where(F.col("km") <= km)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("km", "place_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= most)
+    return p.join(q, ["row", "cell"]).select("id", "place_id", F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 6).alias("km")).where(F.col("km") <= km)
 
 
 def names_in_path(paths: DataFrame, cities: DataFrame, *, population: int = 50_000, lead: float = 3.0, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -63,7 +67,7 @@ def city_of(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
     Between two villages the nearer name wins, and a named town at the edge of a bigger town's reach is its own place.
     ``points`` (id, lat, lon), ``gazetteer`` (geonameid, lat, lon, population, fcode)."""
-    near = nearest_within(points, gazetteer.select(F.col("geonameid").alias("place_id"), "lat", "lon"), 60.0, most=1 << 30)
+    near = within_reach(points, gazetteer.select(F.col("geonameid").alias("place_id"), "lat", "lon"), 60.0)
     facts = gazetteer.select(F.col("geonameid").alias("place_id"), F.coalesce("population", F.lit(0)).alias("population"), F.coalesce("fcode", F.lit("")).alias("fcode"))
     seat = F.col("fcode").isin("PPLC", "PPLA")
     bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in SEAT_BONUS.items() for x in item]), F.col("fcode")), F.lit(0.0))

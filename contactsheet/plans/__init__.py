@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from contactsheet.adapter import Library
 
-AREAS = ("grid", "time", "similarity", "upkeep", "pages", "workflow", "views", "searches", "scans")
+AREAS = ("grid", "time", "similarity", "upkeep", "pages", "workflow", "views", "searches", "scans", "evidence")
 
 
 def registry(queries: dict, oracle: dict[str, str], with_: str):
