@@ -119,7 +119,17 @@ def g2_widen(lib: Library) -> DataFrame:
     return library.widen(rows.where(F.col("rating") == 5), rows, lib.photo_tags, "SMALL")
 
 
-@query()
+@query(
+    """, c AS (SELECT id, sha256 AS content FROM photos), n AS (SELECT DISTINCT content, 'name' || person_id AS name FROM faces JOIN c ON c.id = photo_id WHERE person_id % 5 = 0 AND photo_id % 4 <> 0),
+w AS (SELECT DISTINCT content, person_id FROM faces JOIN c ON c.id = photo_id WHERE person_id IS NOT NULL), b AS (SELECT person_id, name, count(*) AS photos FROM w JOIN n USING (content) GROUP BY 1, 2),
+o AS (SELECT person_id, count(*) AS own FROM w WHERE content IN (SELECT content FROM n) GROUP BY 1), a AS (SELECT name, count(*) AS every FROM n GROUP BY 1),
+r AS (SELECT person_id, name, photos, round(photos * photos / own / every, 6) AS score FROM b JOIN o USING (person_id) JOIN a USING (name) WHERE photos >= 3 AND photos >= 0.05 * own AND photos >= 0.5 * every),
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, person_id, name) AS i FROM r),
+g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS p, []::VARCHAR[] AS q, false AS kept UNION ALL
+  SELECT i, CASE WHEN f THEN list_append(p, person_id) ELSE p END, CASE WHEN f THEN list_append(q, name) ELSE q END, f FROM (SELECT k.i, g.p, g.q, k.person_id, k.name, NOT list_contains(g.p, k.person_id) AND NOT list_contains(g.q, k.name) AS f FROM g JOIN k ON k.i = g.i + 1))
+SELECT person_id, name, photos, score FROM k JOIN g USING (i) WHERE kept""",
+    recursive=True,
+)
 def j31_name_suggestions(lib: Library) -> DataFrame:
     named = lib.faces.where((F.col("person_id") % 5 == 0) & (F.col("photo_id") % 4 != 0)).select("photo_id", F.concat(F.lit("name"), F.col("person_id").cast("string")).alias("name"))
     return library.name_suggestions(named, lib.faces, lib.photos.select("id", F.col("sha256").alias("content")), share=0.05)

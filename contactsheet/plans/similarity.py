@@ -238,7 +238,14 @@ def o2_ranked_searches(lib: Library) -> DataFrame:
     return visual.ranked_searches(rows, asked.drop("of"), some, 100)
 
 
-@query()
+@query(
+    _VECTORS
+    + """, n AS (SELECT r.vec_id AS id, list_transform(r.v, lambda x: x / r.l) AS v, row_number() OVER (ORDER BY round(list_inner_product(q.v, r.v) / (q.l * r.l), 6) DESC, r.vec_id) AS rk FROM u q JOIN u r ON q.vec_id = 0 AND r.vec_id <> 0 QUALIFY rk <= 150),
+g AS (SELECT rk, id, [v] AS kept, true AS stays FROM n WHERE rk = 1 UNION ALL
+  SELECT rk, id, CASE WHEN f THEN list_append(kept, v) ELSE kept END, f FROM (SELECT n.*, g.kept, len(g.kept) < 50 AND len(list_filter(list_slice(g.kept, greatest(1, len(g.kept) - 39), len(g.kept)), lambda k: list_inner_product(k, n.v) > 0.3)) = 0 AS f FROM g JOIN n ON n.rk = g.rk + 1))
+SELECT row_number() OVER (ORDER BY rk)::INT AS place, id FROM g WHERE stays""",
+    recursive=True,
+)
 def w6_diversify(lib: Library) -> DataFrame:
     near = neighbours.knn(_vectors(lib).where(F.col("id") == 0).select(F.col("id").alias("query_id"), "vec"), _vectors(lib), 150)
     return neighbours.diversify(near.select("rank", "id").join(_vectors(lib).select("id", "vec"), "id"), 50, cut=0.3)
@@ -418,7 +425,16 @@ def m18_alignment(lib: Library) -> DataFrame:
     return found.select("photo_id", "id", F.round("t.a", 6).alias("a"), F.round("t.b", 6).alias("b"), F.round("yaw", 6).alias("yaw"))
 
 
-@query()
+@query(
+    """, b AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_partkey * 3 % 50) / 100.0::DOUBLE AS ax, (l_partkey * 5 % 50) / 100.0::DOUBLE AS ay, (l_partkey * 7 % 50) / 100.0::DOUBLE + 0.5 AS au, (l_partkey * 11 % 50) / 100.0::DOUBLE + 0.5 AS av,
+  ((l_partkey * 3 + 4) % 50) / 100.0::DOUBLE AS bx, ((l_partkey * 5 + 4) % 50) / 100.0::DOUBLE AS by_, ((l_partkey * 7 + 4) % 50) / 100.0::DOUBLE + 0.5 AS bu, ((l_partkey * 11 + 4) % 50) / 100.0::DOUBLE + 0.5 AS bv FROM lineitem),
+p AS (SELECT x.k, x.n AS old, y.n AS new, greatest(0, least(x.au, y.bu) - greatest(x.ax, y.bx)) * greatest(0, least(x.av, y.bv) - greatest(x.ay, y.by_)) AS met, (x.au - x.ax) * (x.av - x.ay) + (y.bu - y.bx) * (y.bv - y.by_) AS total FROM b x JOIN b y USING (k)),
+o AS (SELECT k, old, new, round(met / (total - met), 6) AS iou, row_number() OVER (PARTITION BY k ORDER BY round(met / (total - met), 6) DESC, old, new) AS r FROM p WHERE round(met / (total - met), 6) > 0.5),
+g AS (SELECT k, r, old, new, iou, [old] AS l, [new] AS n, true AS kept FROM o WHERE r = 1 UNION ALL
+  SELECT k, r, old, new, iou, CASE WHEN f THEN list_append(l, old) ELSE l END, CASE WHEN f THEN list_append(n, new) ELSE n END, f FROM (SELECT o.*, g.l, g.n, NOT list_contains(g.l, o.old) AND NOT list_contains(g.n, o.new) AS f FROM g JOIN o ON o.k = g.k AND o.r = g.r + 1))
+SELECT k AS l_orderkey, old, new, iou FROM g WHERE kept""",
+    recursive=True,
+)
 def j14_greedy_iou(lib: Library) -> DataFrame:
     box = lambda shift: tuple(((F.col("l_partkey") * n + shift) % 50).cast("double") / 100 + (0.5 if i > 1 else 0.0) for i, n in enumerate((3, 5, 7, 11)))
     rows = lib.table("lineitem").select("l_orderkey", "l_linenumber", F.array(*box(0)).alias("a"), F.array(*box(4)).alias("b"))
