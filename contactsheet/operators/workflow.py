@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contactsheet.functions.geo import haversine_km
-from contactsheet.functions.text import quality
+from contactsheet.functions.text import free_name, quality, safe_name
 from contactsheet.operators.facets import best_id
 from contactsheet.operators.segments import inherit_nearest
 from contactsheet.params import FACE_QUALITY, FACE_SCORE, FACE_SIZE
@@ -56,6 +56,40 @@ def export_plan(photos: DataFrame, layout: str) -> DataFrame:
     return rows.select("id", F.col("out").alias("folder"), name.alias("name"), "size")
 
 
+def export_groups(photos: DataFrame, library: DataFrame, layout: str, *, faces: DataFrame | None = None, people: DataFrame | None = None, mode: str = "any", frames: bool = False, films: bool = False) -> DataFrame:
+    """(label, id, folder, name, size): the files of an export and where each goes.
+
+    ``photos`` is the pool (an album, an event, a year: whatever filter made it). With ``people`` (id, label) it is narrowed:
+    ``mode`` "each" gives every person a folder of their photos, "together" keeps photos with all of them, "any" with one of
+    them; ``faces`` (photo_id, person_id). ``frames`` adds the other shots of chosen stacks, ``films`` the films of live
+    photos, out of what is in order in ``library``. ``layout`` as for ``export_plan``, below the label's folder; of equal names
+    in a folder, all but the first get a number. A photo of several people is listed under each of them."""
+    chosen = photos.select(F.lit("").alias("label"), "id")
+    if people is not None:
+        met = faces.select("photo_id", F.col("person_id").alias("p")).join(people.select(F.col("id").alias("p"), "label"), "p").select("photo_id", "p", "label").distinct()
+        if mode == "each":
+            with_label = met.select(F.col("photo_id").alias("id"), safe_name(F.col("label")).alias("label")).distinct()
+            chosen = photos.select("id").join(with_label, "id").select("label", "id")
+        elif mode in ("together", "any"):
+            wanted = people.select("id").distinct().count() if mode == "together" else 1
+            having = met.groupBy("photo_id").agg(F.countDistinct("p").alias("n")).where(F.col("n") >= wanted).select(F.col("photo_id").alias("id"))
+            chosen = chosen.join(having, "id", "left_semi").select("label", "id")
+        else:
+            raise ValueError("mode is each, together or any")
+    every, fine = chosen, library.where(F.col("status") == "ok")
+    if frames:
+        every = every.unionAll(chosen.join(fine.select(F.col("id").alias("more"), "stack_id"), F.col("id") == F.col("stack_id")).select("label", "more"))
+    if films:
+        of = chosen.join(library.select("id", "live_video_id"), "id").where(F.col("live_video_id").isNotNull())
+        every = every.unionAll(of.join(fine.select(F.col("id").alias("more")), F.col("live_video_id") == F.col("more")).select("label", "more"))
+    at = F.timestamp_seconds("taken_ts")
+    where = {"date": F.coalesce(F.date_format(at, "yyyy/MM"), F.lit("Undated")), "original": F.col("folder"), "flat": F.lit("")}[layout]
+    folder = F.array_join(F.filter(F.array("label", where), lambda x: x.isNotNull() & (x != "")), "/")
+    rows = every.distinct().join(library.select("id", "taken_ts", "folder", "filename", "size"), "id").select("label", "id", folder.alias("folder"), "filename", "size")
+    nth = F.row_number().over(Window.partitionBy("folder", F.lower("filename")).orderBy("id"))
+    return rows.select("label", "id", "folder", free_name(F.col("filename"), nth).alias("name"), "size")
+
+
 def expand(chosen: DataFrame, photos: DataFrame, partner: str) -> DataFrame:
     """Chosen photos in their order, then those of the library whose ``partner`` is chosen, each once: (id, place)."""
     extra = photos.where(F.col("status") == "ok").join(chosen.select(F.col("id").alias("c")), F.col(partner) == F.col("c"), "left_semi").select("id", F.lit(1).alias("later"), F.col("id").alias("place"))

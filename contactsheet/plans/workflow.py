@@ -60,6 +60,35 @@ def p3_export_plan(lib: Library) -> DataFrame:
     return workflow.export_plan(visible(lib.photos).withColumn("filename", F.concat("camera_model", F.lit(".jpg"))), "date")
 
 
+_GROUPS = """, b AS (SELECT id FROM visible WHERE rating >= 3), w AS (SELECT DISTINCT photo_id AS id, person_id, name FROM faces JOIN persons p ON p.id = person_id WHERE p.id % 5 = 1 AND photo_id IN (SELECT id FROM b)),
+c AS ({chosen}),
+x AS (SELECT label, id FROM c UNION SELECT label, p.id FROM c JOIN photos p ON p.stack_id = c.id WHERE status = 'ok' UNION SELECT label, v.id FROM c JOIN photos p ON p.id = c.id JOIN photos v ON v.id = p.live_video_id WHERE v.status = 'ok'),
+r AS (SELECT label, id, CASE WHEN label = '' THEN '' ELSE label || '/' END || coalesce(strftime(make_timestamp((taken_ts * 1000000)::BIGINT), '%Y/%m'), 'Undated') AS folder, camera_model AS f, size FROM x JOIN photos USING (id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY folder, f ORDER BY id) AS k FROM r)
+SELECT label, id, folder, CASE WHEN k = 1 THEN f || '.jpg' ELSE f || ' (' || k || ').jpg' END AS name, size FROM n"""
+
+
+def _export(lib: Library, mode: str, one_in: int = 5) -> DataFrame:
+    photos = lib.photos.withColumn("filename", F.concat("camera_model", F.lit(".jpg")))
+    people = lib.persons.where(F.col("id") % one_in == 1).select("id", F.col("name").alias("label"))
+    return workflow.export_groups(visible(photos).where(F.col("rating") >= 3), photos, "date", faces=lib.faces, people=people, mode=mode, frames=True, films=True)
+
+
+@query(_GROUPS.format(chosen="SELECT name AS label, id FROM w"))
+def p3_export_each(lib: Library) -> DataFrame:
+    return _export(lib, "each")
+
+
+@query(_GROUPS.format(chosen="SELECT '' AS label, id FROM w WHERE person_id % 50 = 1 GROUP BY id HAVING count(DISTINCT person_id) = (SELECT count(*) FROM persons WHERE id % 50 = 1)"))
+def p3_export_together(lib: Library) -> DataFrame:
+    return _export(lib, "together", 50)
+
+
+@query(_GROUPS.format(chosen="SELECT DISTINCT '' AS label, id FROM w"))
+def p3_export_any(lib: Library) -> DataFrame:
+    return _export(lib, "any")
+
+
 @query(
     """, c AS (SELECT id, rating::BIGINT AS place FROM photos WHERE id % 50 = 7), x AS (SELECT id, 0 AS later, place FROM c UNION ALL SELECT id, 1, id FROM photos WHERE status = 'ok' AND (id // 50) * 50 + 7 IN (SELECT id FROM c) AND id % 2 = 1)
 SELECT id, min(later) AS later, arg_min(place, (later, place)) AS place FROM x GROUP BY id"""
