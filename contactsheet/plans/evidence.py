@@ -168,7 +168,7 @@ _FOLDERS = """, f AS (SELECT c_custkey AS id, (1995 + c_custkey % 20)::INT AS y,
 
 @query(
     _FOLDERS
-    + """SELECT id, CASE WHEN k < 5 THEN make_timestamp(y, CASE WHEN k = 4 THEN 7 ELSE m END, CASE k WHEN 0 THEN d WHEN 1 THEN d WHEN 4 THEN 1 ELSE 15 END, 0, 0, 0) END AS ts, CASE k WHEN 0 THEN 'date' WHEN 1 THEN 'date' WHEN 2 THEN 'month' WHEN 3 THEN 'month' WHEN 4 THEN 'year' END AS precision FROM f"""
+    + """SELECT id, CASE WHEN k < 5 THEN strftime(make_timestamp(y, CASE WHEN k = 4 THEN 7 ELSE m END, CASE k WHEN 0 THEN d WHEN 1 THEN d WHEN 4 THEN 1 ELSE 15 END, 0, 0, 0), '%Y-%m-%d') END AS day, CASE k WHEN 0 THEN 'date' WHEN 1 THEN 'date' WHEN 2 THEN 'month' WHEN 3 THEN 'month' WHEN 4 THEN 'year' END AS precision FROM f"""
 )
 def d5_folder_dates(lib: Library) -> DataFrame:
     k = F.col("c_custkey")
@@ -184,7 +184,7 @@ def d5_folder_dates(lib: Library) -> DataFrame:
         .when(k % 6 == 4, F.concat(F.lit("Old "), ys, F.lit("/scans")))
         .otherwise("Camera/Roll")
     )
-    return lib.table("customer").select(k.alias("id"), text.date_from_folder(folder).alias("d")).select("id", F.col("d.ts").cast("timestamp_ntz").alias("ts"), "d.precision")
+    return lib.table("customer").select(k.alias("id"), text.date_from_folder(folder).alias("d")).select("id", F.date_format("d.ts", "yyyy-MM-dd").alias("day"), "d.precision")
 
 
 @query(
