@@ -119,7 +119,8 @@ def _fit_rows(docs: DataFrame, train: Column, lang_col: str, id_col: str, text_c
     rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), chance)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("chance").alias("least"))
     bound = F.greatest(F.lit(float(fit_documents)) / F.col("n") * 1_000_000, F.col("least") + 1)
-    return rows.join(sizes, "lang").where(F.col("chance") < bound).select("lang", "text")
+    # A row a language, of which the driver and the tasks hold whole profiles besides; texts are not shuffled for it.
+    return rows.join(F.broadcast(sizes), "lang").where(F.col("chance") < bound).select("lang", "text")
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
