@@ -59,16 +59,24 @@ def match_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     s = sidecars.where(F.lower("sidecar").endswith(".json")).select("folder", "sidecar", core.alias("core"), F.regexp_extract("sidecar", r"(\(\d+\))\.json$", 1).alias("num"))
     num = F.regexp_extract("filename", r"(\(\d+\))\.[^.]*$", 1)
     stem, ext = F.lower(F.regexp_replace("filename", r"(\(\d+\))?(\.[^.]*)?$", "")), F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1))
-    plain = F.element_at(stem_variants(stem), -1)
-    m = media.select("id", "folder", num.alias("num"), plain.alias("stem"), F.concat(plain, ext).alias("name"))
-    full = F.concat(F.col("name"), F.lit(SUPPLEMENTAL))
-    cut = full.startswith(F.col("core")) & ((F.length("core") > F.length("name")) | (F.length("core") >= SHORTEST_CUT))
-    rank = F.when(F.col("core") == F.col("name"), 0).when(F.col("core") == full, 1).when(cut, 2).when(F.col("core") == F.col("stem"), 3)
-    # What comes before the first dot begins alike in every rule, so folders with very many files still join by a fine key.
-    keyed = lambda df, c: df.withColumn("head", F.substring(F.split_part(c, F.lit("."), F.lit(1)), 1, 8))
-    both = keyed(m, F.col("name")).join(keyed(s, F.col("core")), ["folder", "num", "head"]).withColumn("rank", rank).where(F.col("rank").isNotNull())
-    by = Window.partitionBy("id").orderBy("rank", F.length("sidecar").desc(), "sidecar")
-    return both.withColumn("r", F.row_number().over(by)).where("r = 1").select("id", "sidecar")
+    # Step by step, so that each is computed once and not for every use of it.
+    m = media.select("id", "folder", num.alias("num"), stem.alias("stem"), ext.alias("ext"))
+    m = m.withColumn("stem", F.element_at(stem_variants(F.col("stem")), -1)).withColumn("name", F.concat("stem", "ext"))
+    # Every rule is an equality: a core that ends in the supplement, whole or cut, is met by the name before it, any other by
+    # the name, the stem, or what is left of the name when it is cut to a length that some core has.
+    tail = F.concat(F.lit("."), F.substring_index("core", ".", -1))
+    more = F.col("core").contains(".") & F.lit(SUPPLEMENTAL).startswith(tail)
+    before = F.substring("core", F.lit(1), F.length("core") - F.length(tail))
+    own = F.struct(F.col("core").alias("key"), F.lit(None).cast("int").alias("added"))
+    added = F.struct(before.alias("key"), F.when(tail == SUPPLEMENTAL, 1).otherwise(2).alias("added"))
+    lengths = s.where(F.length("core") >= SHORTEST_CUT).agg(F.collect_set(F.length("core")).alias("lengths"))  # no more numbers than a name has characters
+    s = s.select("folder", "num", "sidecar", F.inline(F.array_compact(F.array(own, F.when(more, added)))))
+    key = lambda text, rank: F.struct(text.alias("key"), F.lit(rank).alias("rank"))
+    cuts = F.transform(F.filter("lengths", lambda n: n < F.length("name")), lambda n: key(F.substring(F.col("name"), F.lit(1), n), 2))
+    m = m.crossJoin(F.broadcast(lengths)).select("id", "folder", "num", F.inline(F.concat(F.array(key(F.col("name"), 0), key(F.col("stem"), 3)), cuts)))  # one row is broadcast
+    hashed = lambda rows: rows.withColumn("h", F.xxhash64("folder", "num", "key"))  # noqa: E731 - sorts faster than long names
+    met = hashed(m).join(hashed(s), ["h", "folder", "num", "key"]).where(F.col("added").isNull() | (F.col("rank") == 0))
+    return met.groupBy("id").agg(F.min_by("sidecar", F.struct(F.coalesce("added", "rank"), -F.length("sidecar"), "sidecar")).alias("sidecar"))
 
 
 def read_icloud(spark: SparkSession, path: str) -> DataFrame:

@@ -463,3 +463,22 @@ def test_unknown_positions_part_nothing(spark):
     rows = spark.createDataFrame([(1, 1, 0.0, None, None), (2, 1, 3000.0, 1.0, 1.0), (3, 1, 6000.0, None, 2.0), (4, 1, 9000.0, 50.0, 1.0), (5, 1, 12000.0, 0.0, 0.0)], "id int, k int, ts double, lat double, lon double")
     found = segments.numbered_segments(rows, "k", "ts", "id", position=("lat", "lon")).orderBy("id").collect()
     assert [r.segment for r in found] == [0, 0, 0, 0, 1]
+
+
+def test_sidecars_of_a_large_folder_meet_by_whole_names(spark):
+    import time
+
+    ids = spark.range(20_000)
+    stem = F.concat(F.lit("photo of the day number "), F.col("id").cast("string"))
+    media = ids.select("id", F.lit("f").alias("folder"), F.concat(stem, F.lit(".jpg")).alias("filename"))
+    ends = F.array(*map(F.lit, (".jpg.supplemental-metadata.json", ".jpg.suppl.json", ".jp.json", ".json", ".JPG.json")))
+    sidecars = ids.where("id % 7 <> 6").select(F.lit("f").alias("folder"), F.concat(stem, F.get(ends, (F.col("id") % 7).cast("int"))).alias("sidecar")).where("sidecar is not null")
+    before = time.monotonic()
+    found = {r.id: r.sidecar for r in evidence.match_sidecars(media, sidecars).collect()}
+    assert time.monotonic() - before < 60  # all pairs of the folder, 2.9e8, take longer
+    expected = {}
+    for r in sidecars.collect():
+        i = int(r.sidecar[24:].split(".")[0])
+        if i % 7 != 2 or len(f"photo of the day number {i}.jp") >= evidence.SHORTEST_CUT:
+            expected[i] = r.sidecar
+    assert found == expected
