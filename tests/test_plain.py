@@ -110,3 +110,28 @@ def test_closest_names_are_those_of_difflib(spark):
         if len(w) >= 4 and good:
             want[w] = min(good, key=lambda x: (-x[0], x[1]))[1]
     assert {r.word: names[r.entity] for r in found.collect()} == want
+
+
+def test_equal_searches_are_matched_once(spark, monkeypatch):
+    from contactsheet.adapter import Library
+    from contactsheet.operators.predicates import visible
+    from contactsheet.operators import searches
+    from contactsheet.plans import searches as plan
+
+    lib, sizes, real = Library(spark, "/root/testdata/sf0.001"), {}, searches.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(searches, "materialise", counted)
+    texts = spark.range(40).selectExpr("id AS search_id", "CASE WHEN id % 2 = 0 THEN 'photos in NATION_3' ELSE 'photos not in NATION_3' END AS text")
+    named = searches.mentions(texts, plan._vocabulary(lib))
+    found = {}
+    for r in searches.found(searches.clauses(texts, named, plan.NOW), named, visible(lib.photos), lib.faces, lib.photo_tags, lib.places).collect():
+        found.setdefault(r.search_id, set()).add(r.id)
+    every = {r.id: r.place_id for r in visible(lib.photos).select("id", "place_id").collect()}
+    here = {i for i, p in every.items() if p == 3}
+    assert here and all(found[k] == (here if k % 2 == 0 else set(every) - here) for k in range(40))
+    assert sizes["hits"] == 2 * len(here)
