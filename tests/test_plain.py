@@ -135,3 +135,14 @@ def test_equal_searches_are_matched_once(spark, monkeypatch):
     here = {i for i, p in every.items() if p == 3}
     assert here and all(found[k] == (here if k % 2 == 0 else set(every) - here) for k in range(40))
     assert sizes["hits"] == 2 * len(here)
+
+
+def test_words_one_letter_off_are_settled_by_a_join(spark, monkeypatch):
+    from contactsheet.operators import searches
+
+    rest, real = [], searches.name_candidates
+    monkeypatch.setattr(searches, "name_candidates", lambda words, names, **more: (rest.extend(r.word for r in words.collect()), real(words, names, **more))[1])
+    names = spark.createDataFrame([("supplier#12", 2), ("supplier#12", 1), ("supplier#21", 3)], "name string, entity int")
+    words = spark.createDataFrame([("suplier#12",), ("supplier#21",), ("supplixr#21",)], "word string")
+    assert {r.word: r.entity for r in searches.closest_names(words, names).collect()} == {"suplier#12": 1, "supplier#21": 3, "supplixr#21": 3}
+    assert rest == ["supplixr#21"]
