@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contactsheet.llm._common import slices
+from contactsheet.llm._common import materialise, parts_of, slices
 
 #: N-grams of a profile, and of a document that are compared to it.
 PROFILE = 400
 
-#: Documents of a language, in expectation, that its profile is learned from.
-FIT_DOCUMENTS = 2_000
+#: Parts of the range of scores that are counted before the scores of one of them are.
+SCORE_BINS = 10_000
 
 UNKNOWN = "und"
 
@@ -98,12 +98,12 @@ class Profiles:
         return self.langs[best], float(1 - far[best] / (self.size * len(own)))
 
 
-def learn(docs: DataFrame, train: Column, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS, size: int = PROFILE) -> Profiles:
-    """Profiles of the languages of the rows where ``train`` holds and language and text are given.
+def learn(docs: DataFrame, train: Column, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_documents: int | None = None, size: int = PROFILE) -> Profiles:
+    """Profiles of the languages of all rows where ``train`` holds and language and text are given.
 
-    Of a language with more than ``fit_documents`` rows, a share chosen by a hash of id and text is used, so that many
-    are expected; of one that this would leave without a row (rows that all repeat each other), those of the least hash.
-    N-grams are counted in the tasks; the driver receives ``size`` keys a language, of as many languages as the table has.
+    Only with ``fit_documents``, of a language with more rows a share chosen by a hash of id and text is used, so that so
+    many are expected; of one that this would leave without a row (rows that all repeat each other), those of the least
+    hash. N-grams are counted in the tasks; the driver receives ``size`` keys a language, of as many languages as the table has.
     """
     totals = _fit_rows(docs, train, lang_col, id_col, text_col, fit_documents).mapInArrow(_counted, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "key"))
@@ -113,10 +113,12 @@ def learn(docs: DataFrame, train: Column, *, lang_col: str = "lang", id_col: str
     return Profiles(ranked, size)
 
 
-def _fit_rows(docs: DataFrame, train: Column, lang_col: str, id_col: str, text_col: str, fit_documents: int) -> DataFrame:
+def _fit_rows(docs: DataFrame, train: Column, lang_col: str, id_col: str, text_col: str, fit_documents: int | None) -> DataFrame:
     """(lang, text) of the rows that ``learn`` uses."""
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)).alias("chance")
     rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), chance)
+    if fit_documents is None:
+        return rows.select("lang", "text")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("chance").alias("least"))
     bound = F.greatest(F.lit(float(fit_documents)) / F.col("n") * 1_000_000, F.col("least") + 1)
     # A row a language, of which the driver and the tasks hold whole profiles besides; texts are not shuffled for it.
@@ -124,7 +126,7 @@ def _fit_rows(docs: DataFrame, train: Column, lang_col: str, id_col: str, text_c
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts_of(batches, 1):
         parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             parts.setdefault(lang, []).append(ngram_counts(text.as_py()))
@@ -134,12 +136,23 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "key", "n"])
 
 
-def low_scores(docs: DataFrame, train: Column, profiles: Profiles, share: float = 0.001, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> dict[str, float]:
-    """By language, the score below which ``share`` of the rows lie that it was learned from and that it is found in; what
-    is far below it is hardly of that language."""
+def low_scores(docs: DataFrame, train: Column, profiles: Profiles, share: float = 0.001, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_documents: int | None = None) -> dict[str, float]:
+    """By language, the least score that ``share`` of the rows reach at most, of all rows that it was learned from and that
+    it is found in; what is far below it is hardly of that language.
+
+    The score is exact: scores are counted by parts of their range, and then those of the part that holds it.
+    """
     rows = _fit_rows(docs, train, lang_col, id_col, text_col, fit_documents)
-    found = identify(rows, profiles, text_col="text", lang_as="__lang", score_as="__score").where(F.col("__lang") == F.col("lang"))
-    low = found.groupBy("lang").agg(F.percentile_approx("__score", share, F.lit(10_000)).alias("low"))
+    found = identify(rows, profiles, text_col="text", lang_as="__lang", score_as="score").where(F.col("__lang") == F.col("lang"))
+    scores = found.groupBy("lang", "score").agg(F.count("*").alias("n"), F.floor(F.col("score") * SCORE_BINS).alias("bin"))
+    scores = materialise(scores, "language-scores")
+    upto, all_ = (lambda by: F.sum("n").over(Window.partitionBy("lang").orderBy(by))), F.sum("n").over(Window.partitionBy("lang"))
+    bins = scores.groupBy("lang", "bin").agg(F.sum("n").alias("n")).withColumn("upto", upto("bin"))  # SCORE_BINS rows a language
+    bins = bins.withColumn("rank", F.greatest(F.ceil(all_ * share), F.lit(1)))
+    bins = bins.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+    bins = bins.select("lang", "bin", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    low = scores.join(F.broadcast(bins), ["lang", "bin"]).withColumn("upto", upto("score"))  # a row a language
+    low = low.where(F.col("upto") >= F.col("rank")).groupBy("lang").agg(F.min("score").alias("low"))
     return {r["lang"]: r["low"] for r in low.collect()}  # a row a language
 
 

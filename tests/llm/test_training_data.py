@@ -426,6 +426,22 @@ def test_a_language_of_equal_rows_is_learned(spark):
         assert langid.learn(docs, F.lit(True), fit_documents=fit).langs == ["de", "en"]
 
 
+def test_languages_and_their_low_scores_are_of_all_rows(spark):
+    texts = [f"{'the cat' if i % 2 else 'a dog'} {chr(97 + i % 26) * (1 + i % 7)} {chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(6000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    profiles = langid.learn(docs, F.lit(True), size=30)
+    counts = {}
+    for text in texts:
+        for gram, n in gram_counts(text).items():
+            counts[gram] = counts.get(gram, 0) + n
+    plain = langid.Profiles({"en": sorted(counts, key=lambda g: (-counts[g], g))[:30]}, 30)
+    scores = sorted(plain.predict(t)[1] for t in texts)
+    assert [profiles.predict(t) for t in texts[:500]] == [plain.predict(t) for t in texts[:500]]
+    for share, rank in ((0.001, 6), (0.00001, 1), (0.25, 1500), (1.0, 6000)):
+        assert langid.low_scores(docs, F.lit(True), profiles, share) == {"en": scores[rank - 1]}
+    assert langid.low_scores(docs.limit(0), F.lit(True), profiles) == {}
+
+
 # ---- op6
 
 
