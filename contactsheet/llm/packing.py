@@ -33,7 +33,8 @@ def _tokenizer(json_path: str):
 
 @lru_cache(maxsize=2)
 def _special_tokens(json_path: str) -> tuple[str, ...]:
-    return tuple(x.content for x in _tokenizer(json_path).get_added_tokens_decoder().values())
+    # The file's tokenizer is not kept for it: few workers meet a text that needs it.
+    return tuple(x.content for x in _tokenizer.__wrapped__(json_path).get_added_tokens_decoder().values())
 
 
 def text_ids(text: str | None, json_path: str, rank_path: str, pattern: str) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactsheet.llm._common import materialise, parts_of
+from contactsheet.llm._common import materialise, parts_of, slices
 from contactsheet.llm.labelled import held_out, sample
 
 PER_CLASS = 2_500  #: labelled documents of either label, in expectation, that serve as examples
@@ -337,17 +337,20 @@ def _examples(few: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 class _Memo:
-    """A model's scores; texts with the same terms, as often, are scored once."""
+    """A model's scores; texts with the same terms, as often, are scored once, as long as no more than ``most`` terms are
+    held."""
 
-    def __init__(self, model: Model, most: int = 50_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model: Model, most: int = 500_000):
+        self.model, self.most, self.held, self.known = model, most, 0, {}
 
     def __call__(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float]]]:
         """(score, the three nearest examples as (number, cosine))."""
         key = (*terms, -1, *counts) if len(terms) > 1 else tuple(terms)  # one term has the length 1 whatever its count
         if key not in self.known:
-            if len(self.known) >= self.most:
+            if self.held >= self.most:
                 self.known.clear()
+                self.held = 0
+            self.held += len(key) + 10
             value, docs, cosines = self.model.score(dict(zip(terms, counts, strict=True)))
             self.known[key] = value, list(zip(docs[:3].tolist(), cosines[:3].tolist(), strict=True))
         return self.known[key]
@@ -365,7 +368,7 @@ def score(model: Model, all_vectors: DataFrame, *, threshold: float = 0.7, id_co
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _Memo(model)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scored(t, c) for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             scores = [value for value, _ in found]
             predicted = [int(s >= threshold) for s in scores]
@@ -383,7 +386,7 @@ def clean(model: Model, all_vectors: DataFrame, *, threshold: float = 0.7) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _Memo(model)
-        for batch in batches:
+        for batch in slices(batches):
             terms, counts = (batch.column(c).to_pylist() for c in (at_terms, at_counts))
             stays = pa.array([scored(t, c)[0] < threshold for t, c in zip(terms, counts, strict=True)], pa.bool_())
             yield batch.select(keep).filter(stays)

@@ -480,6 +480,19 @@ def test_language_rows(spark):
 # ---- op3, op10
 
 
+def test_scores_held_by_a_task_are_bounded_by_their_terms():
+    class Fixed:
+        def score(self, counts):
+            return float(sum(counts)), np.zeros(0, np.int64), np.zeros(0)
+
+    memo = toxicity._Memo(Fixed(), 1000)
+    for i in range(300):
+        terms = list(range(i, i + 100))
+        assert memo(terms, [1] * 100)[0] == float(sum(terms)) == memo(terms, [1] * 100)[0]
+        assert sum(map(len, memo.known)) <= 1300
+    assert memo.known
+
+
 def test_mil_gradient_matches_differences():
     r = np.random.default_rng(0)
     model = attention_mil.Model.start(1)
