@@ -176,6 +176,43 @@ def test_components_of_a_long_chain(spark):
     assert set(found.values()) == {1, 100} and len(found) == 62
 
 
+def test_links_of_near_hashes_grow_with_the_rows_not_their_pairs(spark):
+    r = np.random.default_rng(3)
+    data = [(i, int(r.integers(0, 256)) << 16 | int(r.integers(0, 4)), int(r.integers(0, 9))) for i in range(400)]
+    rows = spark.createDataFrame(data, "id long, phash long, w long")
+    kind = F.element_at(F.array(*map(F.lit, ("exact", "near", "likely", "similar", None))), (((F.col("w_a") + F.col("w_b")) % 5) + 1).cast("int"))
+    wanted = {}
+    for i, x, v in data:
+        for j, y, w in data:
+            if i < j and bin(x ^ y).count("1") <= 16 and (v + w) % 5 < 4:
+                wanted[i, j] = ("exact", "near", "likely", "similar")[(v + w) % 5]
+    pairs = duplicates.band_kinds(rows, kind, cell=90)
+    found = pairs.collect()
+    assert {(p.a, p.b): p.kind for p in found} == wanted and len(found) == len(wanted) > 50_000
+    links = duplicates.spanning_links(pairs.coalesce(1), most=5000).collect()
+    assert len(links) < 2 * len(data) and all(wanted[x.a, x.b] == x.kind for x in links)
+
+    def roots(edges, kinds):
+        root = list(range(400))
+        for a, b, k in edges:
+            if k in kinds and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+        return root
+
+    for n in range(1, 5):
+        kinds = ("exact", "near", "likely", "similar")[:n]
+        assert roots([(x.a, x.b, x.kind) for x in links], kinds) == roots([(a, b, k) for (a, b), k in wanted.items()], kinds)
+
+
+def test_groups_of_weaker_kinds_join_groups_and_rows(spark):
+    pairs = spark.createDataFrame([(5, 6, "exact"), (6, 9, "near"), (2, 9, "likely"), (3, 4, "exact"), (3, 4, "near"), (4, 5, "similar"), (11, 12, "near"), (11, 12, "similar"), (20, 21, None)], "a long, b long, kind string")
+    found = {}
+    for r in duplicates.groups(pairs).collect():
+        found.setdefault((r.kind, r.root), []).append(r.id)
+    assert {k: sorted(v) for k, v in found.items()} == {("exact", 5): [5, 6], ("exact", 3): [3, 4], ("near", 5): [5, 6, 9], ("near", 11): [11, 12], ("likely", 2): [2, 5, 6, 9], ("similar", 2): [2, 3, 4, 5, 6, 9]}
+
+
 def test_groups_keep_the_strongest(spark):
     pairs = spark.createDataFrame([(1, 2, "exact"), (2, 3, "near"), (5, 6, "exact"), (8, 9, "similar")], "a long, b long, kind string")
     found = {}
