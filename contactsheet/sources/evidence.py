@@ -53,7 +53,8 @@ def read_takeout(spark: SparkSession, path: str) -> DataFrame:
 
 def match_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     """(id, sidecar): each photo's sidecar of its folder: named like the file, with the supplement, cut short, or
-    like the stem, in this order; of several, the longest name, then the first. The "(2)" of both must be equal.
+    like the stem, in this order; of several, the longest name, then the first. The "(2)" of both must be equal. What is
+    the whole name or stem of a photo in the folder was not cut, so it is not the sidecar of a photo whose name goes on.
     ``media`` (id, folder, filename), ``sidecars`` (folder, sidecar: a name that ends in .json)."""
     core = F.lower(F.regexp_replace("sidecar", r"(\(\d+\))?\.json$", ""))
     s = sidecars.where(F.lower("sidecar").endswith(".json")).select("folder", "sidecar", core.alias("core"), F.regexp_extract("sidecar", r"(\(\d+\))\.json$", 1).alias("num"))
@@ -71,11 +72,15 @@ def match_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     added = F.struct(before.alias("key"), F.when(tail == SUPPLEMENTAL, 1).otherwise(2).alias("added"))
     lengths = s.where(F.length("core") >= SHORTEST_CUT).agg(F.collect_set(F.length("core")).alias("lengths"))  # no more numbers than a name has characters
     s = s.select("folder", "num", "sidecar", F.inline(F.array_compact(F.array(own, F.when(more, added)))))
-    key = lambda text, rank: F.struct(text.alias("key"), F.lit(rank).alias("rank"))
-    cuts = F.transform(F.filter("lengths", lambda n: n < F.length("name")), lambda n: key(F.substring(F.col("name"), F.lit(1), n), 2))
-    m = m.crossJoin(F.broadcast(lengths)).select("id", "folder", "num", F.inline(F.concat(F.array(key(F.col("name"), 0), key(F.col("stem"), 3)), cuts)))  # one row is broadcast
+    key = lambda text, rank, other: F.struct(text.alias("key"), F.lit(rank).alias("rank"), other.alias("other"))  # noqa: E731 - other: cut to what is not the photo's own stem
+    cuts = F.transform(F.filter("lengths", lambda n: n < F.length("name")), lambda n: key(F.substring(F.col("name"), F.lit(1), n), 2, n != F.length("stem")))
+    no = F.lit(False)
+    m = m.crossJoin(F.broadcast(lengths)).select("id", "folder", "num", F.inline(F.concat(F.array(key(F.col("name"), 0, no), key(F.col("stem"), 3, no)), cuts)))  # one row is broadcast
     hashed = lambda rows: rows.withColumn("h", F.xxhash64("folder", "num", "key"))  # noqa: E731 - sorts faster than long names
-    met = hashed(m).join(hashed(s), ["h", "folder", "num", "key"]).where(F.col("added").isNull() | (F.col("rank") == 0))
+    # Dealt and sorted as the join needs it.
+    whole = F.max(F.col("rank") != 2).over(Window.partitionBy("h", "folder", "num", "key"))
+    m = hashed(m).withColumn("whole", whole).where(~F.col("other") | ~F.col("whole")).drop("other", "whole")
+    met = m.join(hashed(s), ["h", "folder", "num", "key"]).where(F.col("added").isNull() | (F.col("rank") == 0))
     return met.groupBy("id").agg(F.min_by("sidecar", F.struct(F.coalesce("added", "rank"), -F.length("sidecar"), "sidecar")).alias("sidecar"))
 
 

@@ -521,6 +521,15 @@ def test_sidecars_of_a_large_folder_meet_by_whole_names(spark):
     assert found == expected
 
 
+def test_sidecars_that_name_a_photo_whole_are_no_cut_names(spark):
+    stem = "photo of the day number 123456"  # 30 characters, so it could be a cut name
+    media = [(1, f"{stem}.jpg"), (2, f"{stem}7.jpg"), (3, f"{stem}8.jpg"), (4, f"{stem}9(2).jpg"), (5, f"a {stem}.jpg"), (6, f"a {stem}7.jpg")]
+    names = [f"{stem}.json", f"{stem}8.jpg.json", f"{stem}(2).json", f"a {stem[:-1]}.json", f"a {stem}.json"]
+    found = evidence.match_sidecars(spark.createDataFrame([(i, "f", n) for i, n in media], "id long, folder string, filename string"), spark.createDataFrame([("f", n) for n in names], "folder string, sidecar string"))
+    # 4: no photo has the stem and (2); 5: its own stem before a shorter cut; 6: what is another's stem is not its own.
+    assert {r.id: r.sidecar for r in found.collect()} == {1: names[0], 3: names[1], 4: names[2], 5: names[4], 6: names[3]}
+
+
 def test_date_from_filename_states_each_pattern_a_few_times(spark):
     plan = spark.range(1).select(text.date_from_filename(F.concat(F.lit("IMG_"), F.col("id").cast("string"))).alias("d"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(") == 1 and plan.count("regexp_extract(") < 100
