@@ -227,3 +227,16 @@ def test_bm25_from_block_maxima(spark):
         assert done < 0.8 * met if limit == 3 else done == met, (met, done)
 
 
+
+
+def test_common_words_do_not_go_with_every_search(spark):
+    docs = spark.createDataFrame([(i, " ".join(["common word"] * 150 + [f"rare{i}", "common", "end"])) for i in range(200)], "k long, t string")
+    index = postings.build(docs, "k", "t", block_docs=20)
+    asked = spark.createDataFrame([(i, [f"rare{i}", "common", "end"]) for i in range(100)] + [(500, ["common", f"rare{7}"]), (501, ["end"]), (502, ["none", "common"]), (503, ["rare1", "end"])], "query_id long, terms array<string>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    found = {(r.query_id, r.key, r.at) for r in postings.search_phrase(index, asked).collect()}
+    assert found == {(i, i, 300) for i in range(100)} | {(501, i, 302) for i in range(200)}
+    every = {(r.query_id, r.key) for r in postings.search_all(index, asked).collect()}
+    assert every == {(i, i) for i in range(100)} | {(500, 7), (503, 1)} | {(501, i) for i in range(200)}
+    assert written() - before < 2_000_000  # the places of "common", 60 KB, a hundred times
