@@ -71,6 +71,20 @@ def test_searches_fall_back_to_the_library(spark):
     assert found == {q: ids for q, ids in want.items() if ids}
 
 
+def test_many_searches_are_few_passes_and_one_table(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    m = r.normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>")
+    queries = rows.where("id % 2 = 0").select(F.col("id").alias("query_id"), "vec", (F.col("id") % 3 == 0).alias("structured"))
+    candidates = queries.select("query_id").crossJoin(rows.where("id % 5 = 0").select("id")).where("(query_id + id) % 4 < 2")
+    plain = [[tuple(x) for x in df.orderBy("query_id", "rank").collect()] for df in (visual.visual_cuts(rows, queries), visual.ranked_searches(rows, queries, candidates, 30))]
+    monkeypatch.setattr(visual, "SEARCHES", 80)
+    made = visual.visual_cuts(rows, queries), visual.ranked_searches(rows, queries, candidates, 30)
+    # The plan does not grow with the number of passes.
+    assert all(df._jdf.queryExecution().analyzed().toString().count("Relation") <= 2 for df in made)
+    assert [[tuple(x) for x in df.orderBy("query_id", "rank").collect()] for df in made] == plain and min(map(len, plain)) > 1000
+
+
 # ---- tracks
 
 
