@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contactsheet.operators import clustering, events, library_time, metric, neighbours, postings, segments
+from contactsheet import plans
+from contactsheet.operators import clustering, duplicates, events, library_time, metric, neighbours, postings, segments
 
 
 def clustered(n, groups=None, dim=24, seed=1, spread=0.12):
@@ -240,3 +241,32 @@ def test_common_words_do_not_go_with_every_search(spark):
     every = {(r.query_id, r.key) for r in postings.search_all(index, asked).collect()}
     assert every == {(i, i) for i in range(100)} | {(500, 7), (503, 1)} | {(501, i) for i in range(200)}
     assert written() - before < 2_000_000  # the places of "common", 60 KB, a hundred times
+
+
+def test_kinds_of_contents_and_bands_are_told_where_pairs_meet(spark):
+    r = np.random.default_rng(12)
+    base = [int(x) for x in r.integers(0, 2**62, 12)]
+    data = [(i, None if i % 17 == 0 else base[i % 12] ^ int(sum(1 << int(b) for b in r.integers(0, 62, i % 5))), None if i % 7 == 0 else f"c{i % 40}") for i in range(150)]
+    rows = spark.createDataFrame(data, "id long, phash long, sha256 string")
+    kind = F.when(F.col("sha256_a") == F.col("sha256_b"), "exact").when((F.col("id_a") + F.col("id_b")) % 3 > 0, "near")
+    made = duplicates.content_and_band_kinds(rows, kind)
+    assert "hashpartitioning(a#" not in made._jdf.queryExecution().executedPlan().toString()
+    found = [(x.a, x.b, x.kind) for x in made.collect()]
+    first = {}
+    want = set()
+    for (i, p, c), (j, q, d) in itertools.combinations(data, 2):
+        if c is not None:
+            first.setdefault(c, i)
+        x = None if p is None or q is None else p ^ q
+        banded = x is not None and x.bit_count() <= 16 and any(x >> 16 * k & 0xFFFF == 0 for k in range(4))
+        same = c is not None and c == d
+        if banded and (same or (i + j) % 3):
+            want.add((i, j, "exact" if same else "near"))
+        elif same and not banded and first[c] == i:
+            want.add((i, j, "exact"))
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 300
+
+
+def test_classified_pairs_are_not_joined_with_their_rows(spark):
+    plan = plans.queries()["g13_classify"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" not in plan
