@@ -270,3 +270,11 @@ def test_kinds_of_contents_and_bands_are_told_where_pairs_meet(spark):
 def test_classified_pairs_are_not_joined_with_their_rows(spark):
     plan = plans.queries()["g13_classify"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a#" not in plan
+
+
+def test_knn_multiplies_a_bounded_number_at_a_time(spark, monkeypatch):
+    rows = table(spark, clustered(300))
+    asked = rows.where("id % 3 = 0").select(F.col("id").alias("query_id"), "vec")
+    want = {(r.query_id, r.rank): (r.id, r.cosine) for r in neighbours.knn(asked, rows, 5).collect()}
+    monkeypatch.setattr(neighbours, "PRODUCTS", 700)  # two searches at a time
+    assert {(r.query_id, r.rank): (r.id, r.cosine) for r in neighbours.knn(asked, rows, 5).collect()} == want and len(want) == 500
